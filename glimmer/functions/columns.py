@@ -58,7 +58,7 @@ def unix_nanos(ts: Column) -> Column:
 
 def clock_value(nanos: Column) -> Column:
     """An unsigned reading, held at the largest signed one."""
-    return F.least(nanos, F.lit(MOST_NANOS).cast("decimal(20,0)")).cast("long")
+    return F.when(nanos.isNotNull(), F.least(nanos, F.lit(MOST_NANOS).cast("decimal(20,0)")).cast("long"))
 
 
 def window_length(start: Column, end: Column) -> Column:
