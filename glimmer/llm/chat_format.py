@@ -45,10 +45,10 @@ def _quoted(text: str) -> str:
 
 
 def escaped(text: Column, t: ChatTemplate) -> Column:
-    e = _quoted(t.escape)
-    out = F.regexp_replace(text, e, (e + e).replace("\\", "\\\\") if t.escape == "\\" else e + e)
-    heads = "|".join(f"(?<={_quoted(c[0])})(?={_quoted(c[1:])})" for c in t.controls())
-    return F.regexp_replace(out, f"(?:{heads})", "\\\\" * 1 if t.escape == "\\" else t.escape)
+    sign = t.escape.replace("\\", "\\\\").replace("$", "\\$")  # as a replacement string
+    out = F.regexp_replace(text, _quoted(t.escape), sign + sign)
+    inside = "|".join(f"(?<={_quoted(c[0])})(?={_quoted(c[1:])})" for c in t.controls())
+    return F.regexp_replace(out, f"(?:{inside})", sign)
 
 
 def unescaped(text: Column, t: ChatTemplate) -> Column:
