@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import table
 
 _WORD = re.compile(r"[^\W\d_]+")
-_DIMS = 1 << 22
+_DIMS = 1 << 20
 
 
 @dataclass
@@ -67,7 +67,7 @@ def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: fl
         return ToxicityModel(np.zeros(0, np.int64), np.zeros(0), -40.0, empty=not positive)
 
     def counts(docs):
-        return np.bincount(np.concatenate(docs) if docs else np.zeros(0, np.int64), minlength=_DIMS)
+        return np.bincount(np.concatenate(docs) if docs else np.zeros(0, np.int32), minlength=_DIMS)
 
     np_, nu = len(positive), len(unlabelled)
     cp, cu = counts(positive), counts(unlabelled)
@@ -111,7 +111,7 @@ def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: fl
     return ToxicityModel(keep, w * scale, c)
 
 
-def train_toxicity(docs: DataFrame, labels: DataFrame, held_out: Column, most_positive: int = 8_000, most_unlabelled: int = 24_000) -> ToxicityModel:
+def train_toxicity(docs: DataFrame, labels: DataFrame, held_out: Column, most_positive: int = 6_000, most_unlabelled: int = 14_000) -> ToxicityModel:
     """Fit on documents that are not held out.
 
     ``most_positive`` and ``most_unlabelled`` bound the expected sizes of the two samples (chosen by a hash of
@@ -132,11 +132,11 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, held_out: Column, most_po
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"positive": b.positive.fillna(False).astype(bool), "unlabelled": b.unlabelled.astype(bool), "words": [np.unique(hashed([*set(_WORD.findall(t.lower()))])).astype(np.int32).tobytes() if t else b"" for t in b.text]})
+            yield pd.DataFrame({"positive": b.positive.eq(True), "unlabelled": b.unlabelled.astype(bool), "words": [np.unique(hashed([*set(_WORD.findall(t.lower()))])).astype(np.int32).tobytes() if t else b"" for t in b.text]})
 
     p, u = [], []
-    for r in picked.select("positive", "unlabelled", "text").mapInPandas(features, "positive boolean, unlabelled boolean, words binary").collect():
-        x = np.frombuffer(bytes(r.words), np.int32).astype(np.int64)
+    for r in picked.select("positive", "unlabelled", "text").mapInPandas(features, "positive boolean, unlabelled boolean, words binary").toLocalIterator():
+        x = np.frombuffer(bytes(r.words), np.int32)
         if r.positive:
             p.append(x)
         if r.unlabelled:
