@@ -43,29 +43,42 @@ def _clean(v) -> np.ndarray | None:
     return x / np.sqrt(x @ x)
 
 
+def _raw(v, unit: np.ndarray) -> bytes:
+    """Bytes of the vector as it was given, in single precision where that loses nothing."""
+    x = np.asarray(v, float)
+    small = x.astype(np.float32)
+    return small.tobytes() if (small.astype(float) == x).all() else x.tobytes()
+
+
+def _units(raws, dims: int) -> np.ndarray:
+    """Unit vectors in double precision, a row for each of ``_raw``'s bytes."""
+    x = np.array([np.frombuffer(r, np.float32 if len(r) == 4 * dims else float).astype(float) for r in raws]).reshape(-1, dims)
+    x /= np.abs(x).max(1, keepdims=True)
+    return x / np.sqrt((x * x).sum(1, keepdims=True))
+
+
 def unit_vectors(rows: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """vec_id, dims, unit (float64 bytes; null where the vector links with nothing), digest of the unit vector."""
+    """vec_id, dims, raw (bytes; null where the vector links with nothing), digest of the unit vector."""
 
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
             for v in b.vec:
                 u = _clean(v)
-                raw = None if u is None else (u + 0.0).tobytes()
-                out.append((0 if u is None else len(u), raw, None if raw is None else hashlib.md5(raw).digest()))
-            made = pd.DataFrame(out, columns=["dims", "unit", "digest"])
+                out.append((0, None, None) if u is None else (len(u), _raw(v, u), hashlib.md5((u + 0.0).tobytes()).digest()))
+            made = pd.DataFrame(out, columns=["dims", "raw", "digest"])
             made.insert(0, "vec_id", b.vec_id.astype("Int64").values)
             yield made
 
-    return rows.select(F.col(key).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("vec")).mapInPandas(make, "vec_id long, dims int, unit binary, digest binary")
+    return rows.select(F.col(key).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("vec")).mapInPandas(make, "vec_id long, dims int, raw binary, digest binary")
 
 
 def principal_directions(units: DataFrame, dims: int, most_rows: int, directions: int) -> np.ndarray:
     """Rows are directions; from at most about ``most_rows`` vectors, chosen by a hash of their content."""
     total = max(units.count(), 1)
     drawn = units.where(F.pmod(F.xxhash64("digest"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, most_rows / total)))
-    x = np.array([np.frombuffer(bytes(r.unit)) for r in drawn.select("unit").toLocalIterator()]).reshape(-1, dims)
-    if not len(x):
+    x = _units([bytes(r.raw) for r in drawn.select("raw").toLocalIterator()] or [np.ones(dims).tobytes()], dims)
+    if len(x) < 2:
         return np.eye(dims)[:directions]
     x = x - x.mean(0)
     _, vectors = np.linalg.eigh(x.T @ x)
@@ -90,8 +103,8 @@ def _forest(a: np.ndarray, b: np.ndarray, size: int) -> list[tuple[int, int]]:
     return out
 
 
-def near_links(units: DataFrame, dims: int, cosine: float, directions: int = 16, most_sample: int = 20_000, block: int = 1024, fan: int = 8) -> DataFrame:
-    """For class representatives (vec_id, many, unit) of one length: rows (vec_id, other, links).
+def near_links(units: DataFrame, dims: int, cosine: float, directions: int = 16, most_sample: int = 20_000, block: int | None = None, fan: int = 8) -> DataFrame:
+    """For class representatives (vec_id, many, raw, digest) of one length: rows (vec_id, other, links).
 
     Rows with ``links`` carry a share of a vector's number of links (copies of linked classes counted); rows with
     ``other`` are edges of spanning forests.
@@ -101,19 +114,21 @@ def near_links(units: DataFrame, dims: int, cosine: float, directions: int = 16,
     axes = principal_directions(units, dims, most_sample, min(directions, dims))
     k = len(axes)
     cells = min(4, k)
+    # a task holds two intervals of `fan` blocks: about 16 MB in double precision, whatever the vectors' length
+    block = block or max(16, min(1024, (1 << 17) // dims))
 
     def project(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if len(b):
-                p = np.array([np.frombuffer(x) for x in b.unit]) @ axes.T
-                out = b[["vec_id", "many", "unit"]].copy()
+                p = _units(b.raw, dims) @ axes.T
+                out = b[["vec_id", "many", "raw"]].copy()
                 for i in range(cells):
                     out[f"c{i}"] = np.floor(p[:, i] / max(eps, 1e-6)).astype(np.int64)
                 out["rest"] = p[:, cells] if k > cells else 0.0
                 yield out
 
     names = [f"c{i}" for i in range(cells)] + ["rest"]
-    ordered = materialize(units.select("vec_id", "many", "unit").mapInPandas(project, "vec_id long, many long, unit binary, " + ", ".join(f"{c} long" for c in names[:-1]) + ", rest double"))
+    ordered = materialize(units.select("vec_id", "many", "raw").mapInPandas(project, "vec_id long, many long, raw binary, " + ", ".join(f"{c} long" for c in names[:-1]) + ", rest double"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -122,9 +137,8 @@ def near_links(units: DataFrame, dims: int, cosine: float, directions: int = 16,
         at, number, held = TaskContext.get().partitionId(), 0, []
 
         def made(rows: pd.DataFrame) -> pd.DataFrame:
-            x = np.array([np.frombuffer(u) for u in rows.unit])
-            p = x @ axes.T
-            return pd.DataFrame({"block": [(at << 32) + number], "ids": [rows.vec_id.to_numpy(np.int64).tobytes()], "many": [rows.many.to_numpy(np.int64).tobytes()], "vectors": [x.tobytes()], "low": [p.min(0).tolist()], "high": [p.max(0).tolist()]})
+            p = _units(rows.raw, dims) @ axes.T
+            return pd.DataFrame({"block": [(at << 32) + number], "ids": [rows.vec_id.to_numpy(np.int64).tobytes()], "many": [rows.many.to_numpy(np.int64).tobytes()], "vectors": [rows.raw.tolist()], "low": [p.min(0).tolist()], "high": [p.max(0).tolist()]})
 
         for b in batches:
             held.append(b)
@@ -136,7 +150,7 @@ def near_links(units: DataFrame, dims: int, cosine: float, directions: int = 16,
         if sum(map(len, held)):
             yield made(pd.concat(held, ignore_index=True))
 
-    blocks = materialize(ordered.repartitionByRange(parts, *names).sortWithinPartitions(*names).mapInPandas(cut, "block long, ids binary, many binary, vectors binary, low array<double>, high array<double>"))
+    blocks = materialize(ordered.repartitionByRange(parts, *names).sortWithinPartitions(*names).mapInPandas(cut, "block long, ids binary, many binary, vectors array<binary>, low array<double>, high array<double>"))
     boxes = blocks.select("block", "low", "high")
 
     # positions in the sequence, then intervals of `fan` parts level by level; only boxes move, never vectors
@@ -151,13 +165,13 @@ def near_links(units: DataFrame, dims: int, cosine: float, directions: int = 16,
     level = boxes.join(F.broadcast(starts), F.shiftright("block", 32) == F.col("part")).select((F.col("begin") + F.col("block").bitwiseAND(F.lit(2**32 - 1))).alias("at"), "block", "low", "high")
     levels = [materialize(level)]
     count = offset
-    while count > 1:
+    while count > 1 or len(levels) == 1:
         up = levels[-1].groupBy(F.floor(F.col("at") / fan).alias("at")).agg(*[F.min(F.col("low")[i]).alias(f"l{i}") for i in range(k)], *[F.max(F.col("high")[i]).alias(f"h{i}") for i in range(k)])
         levels.append(materialize(up.select("at", F.array(*[f"l{i}" for i in range(k)]).alias("low"), F.array(*[f"h{i}" for i in range(k)]).alias("high"))))
         count = -(-count // fan)
 
     pairs = spark.createDataFrame([(0, 0)], "a long, b long")
-    for boxes_here in reversed(levels[:-1]):
+    for boxes_here in reversed(levels[1:-1]):
         part = lambda c: F.explode(F.transform(F.sequence(F.lit(0), F.lit(fan - 1)), lambda i: F.col(c) * fan + i))
         pairs = pairs.select(part("a").alias("a"), "b").select("a", part("b").alias("b")).where("a <= b")
         x = boxes_here.select(F.col("at").alias("a"), F.struct("low", "high").alias("x"))
@@ -170,46 +184,55 @@ def near_links(units: DataFrame, dims: int, cosine: float, directions: int = 16,
         )
         pairs = materialize(zipped.where(gap <= (eps + _SLACK) ** 2).select("a", "b"))
 
-    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            for r in rows.itertuples():
-                ia, ib = np.frombuffer(r.ids_a, np.int64), np.frombuffer(r.ids_b, np.int64)
-                ma, mb = np.frombuffer(r.many_a, np.int64), np.frombuffer(r.many_b, np.int64)
-                xa, xb = np.frombuffer(r.vectors_a).reshape(len(ia), dims), np.frombuffer(r.vectors_b).reshape(len(ib), dims)
-                hit = xa @ xb.T >= cosine
-                same = r.a == r.b
+    def compare(rows: pd.DataFrame) -> pd.DataFrame:
+        """The last level of the recursion: blocks of two intervals, each sent once for all its partners there."""
+        rows = rows.sort_values("at", kind="stable")
+        made = [(int(r.at), int(r.at) // fan, np.frombuffer(r.ids, np.int64), np.frombuffer(r.many, np.int64), _units(r.vectors, dims), np.array(r.low), np.array(r.high)) for r in rows.itertuples()]
+        ga, gb = int(rows["a"].iloc[0]), int(rows["b"].iloc[0])
+        ids, counts, edges = [], [], []
+        for x in made:
+            for y in made:
+                if x[1] != ga or y[1] != gb or x[0] > y[0]:
+                    continue
+                apart = np.maximum(np.maximum(x[5] - y[6], y[5] - x[6]), 0)
+                if apart @ apart > (eps + _SLACK) ** 2:
+                    continue
+                same = x[0] == y[0]
+                hit = x[4] @ y[4].T >= cosine
                 if same:
                     np.fill_diagonal(hit, False)
                 i, j = np.nonzero(hit)
                 if not len(i):
                     continue
-                na = np.bincount(i, mb[j], len(ia)).astype(np.int64)
+                ids.append(x[2])
+                counts.append(np.bincount(i, y[3][j], len(x[2])))
                 if same:
-                    forest = _forest(i[i < j], j[i < j], len(ia))
-                    edges = [(ia[p], ia[q]) for p, q in forest]
-                    counted = [(ia, na)]
+                    edges += [(x[2][p], x[2][q]) for p, q in _forest(i[i < j], j[i < j], len(x[2]))]
                 else:
-                    forest = _forest(i, j + len(ia), len(ia) + len(ib))
-                    edges = [(ia[p], ib[q - len(ia)]) for p, q in forest]
-                    counted = [(ia, na), (ib, np.bincount(j, ma[i], len(ib)).astype(np.int64))]
-                ids = np.concatenate([x[n > 0] for x, n in counted])
-                yield pd.DataFrame({"vec_id": np.append(ids, [e[0] for e in edges]).astype(np.int64), "other": pd.array([None] * len(ids) + [int(e[1]) for e in edges], "Int64"), "links": np.append(np.concatenate([n[n > 0] for _, n in counted]), np.zeros(len(edges))).astype(np.int64)})
+                    ids.append(y[2])
+                    counts.append(np.bincount(j, x[3][i], len(y[2])))
+                    edges += [(x[2][p], y[2][q - len(x[2])]) for p, q in _forest(i, j + len(x[2]), len(x[2]) + len(y[2]))]
+        out = pd.DataFrame({"vec_id": np.concatenate(ids) if ids else np.zeros(0, np.int64), "links": np.concatenate(counts) if counts else np.zeros(0)})
+        out = out[out.links > 0].groupby("vec_id", as_index=False).links.sum()
+        joined = pd.DataFrame(edges, columns=["vec_id", "other"]).drop_duplicates()
+        both = pd.concat([out, joined], ignore_index=True)
+        return pd.DataFrame({"vec_id": both.vec_id.astype("int64"), "other": (both.other if "other" in both else pd.Series(index=both.index)).astype("Int64"), "links": both.links.fillna(0).astype("int64")})
 
-    data = levels[0].select("at", "block").join(blocks.select("block", "ids", "many", "vectors"), "block").drop("block")
-    left = data.select(F.col("at").alias("a"), F.col("ids").alias("ids_a"), F.col("many").alias("many_a"), F.col("vectors").alias("vectors_a"))
-    right = data.select(F.col("at").alias("b"), F.col("ids").alias("ids_b"), F.col("many").alias("many_b"), F.col("vectors").alias("vectors_b"))
-    return pairs.join(left, "a").join(right, "b").repartition(parts, "a", "b").mapInPandas(compare, "vec_id long, other long, links long")
+    data = levels[0].select("at", "block", "low", "high").join(blocks.select("block", "ids", "many", "vectors"), "block").drop("block").withColumn("interval", F.floor(F.col("at") / fan))
+    of = lambda side: pairs.withColumn("interval", F.col(side)).join(data, "interval").drop("interval")
+    sent = of("a").unionByName(of("b").where("a <> b"))
+    return sent.groupBy("a", "b").applyInPandas(compare, "vec_id long, other long, links long")
 
 
 def embedding_components(rows: DataFrame, cosine: float = COSINE, key: str = "vec_id", vector: str = "embedding", **knobs) -> DataFrame:
     """vec_id, n_links, component_id, kept: one row per input row."""
     spark = rows.sparkSession
     units = materialize(unit_vectors(rows, key, vector))
-    good = units.where("unit is not null and vec_id is not null")
-    classes = materialize(good.groupBy("digest", "dims").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("many"), F.first("unit").alias("unit")))
+    good = units.where("raw is not null and vec_id is not null")
+    classes = materialize(good.groupBy("digest", "dims").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("many"), F.first("raw").alias("raw")))
     found = None
     for r in sorted(x.dims for x in classes.select("dims").distinct().collect()):  # one row per vector length
-        now = near_links(classes.where(F.col("dims") == r).select(F.col("rep").alias("vec_id"), "many", "unit", "digest"), r, cosine, **knobs)
+        now = near_links(classes.where(F.col("dims") == r).select(F.col("rep").alias("vec_id"), "many", "raw", "digest"), r, cosine, **knobs)
         found = now if found is None else found.unionByName(now)
     if found is None:
         found = spark.createDataFrame([], "vec_id long, other long, links long")
