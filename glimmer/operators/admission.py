@@ -43,7 +43,7 @@ def with_serials(records: DataFrame, order: list[str], first: int = 1, to: str =
     """Serials in arrival order without a global window: rows are ranged by ``order``, counted per partition, and each
     partition starts where the ones before it end."""
     spark = records.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 256)
     # written ranges would be safest on a cluster that loses executors; range bounds are sampled per plan, so the
     # offsets are joined by the range's own key rather than by a partition number of another run
     bounds = records.select(F.percentile_approx(order[0], F.array(*[F.lit((i + 1) / parts) for i in range(parts - 1)]), 1000).alias("b")).first().b if parts > 1 else []
