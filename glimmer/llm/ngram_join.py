@@ -6,15 +6,18 @@ holding the product:
 1. A pass over the texts makes each document's sorted distinct shingle hashes, a key of the whole set (equal sets are
    one class), a parity bitmap, and the columns of its prefix: two sets that reach the threshold must share one of
    their ``n - ceil(t*n) + 1`` smallest hashes, so only those columns enter the product.
-2. The prefix incidences of class representatives are dealt by n-gram and sorted; each column of two or more rows is
-   a run. Entries of the product are only ever formed inside a run.
-3. Links are found in three sweeps, each with exact overlap counts of whole sets against the size-derived bound
-   ``overlap >= ceil(t/(1+t)*(a+b))``: first every document against the leader that it meets in most runs, next the
-   closest pair of every two components that meet in a run, last all pairs of different components that are left.
-   Before sets are fetched a pair must pass the length bound and the bitmap bound: each unshared shingle flips one
-   bit, so the bits in which two parity bitmaps differ never exceed the sets' difference.
-
-After the last sweep no link between different components can be missing, and pairs inside a component, of which a
+2. The prefix incidences of class representatives are dealt by n-gram and sorted. Each column is a run of rows; a
+   block multiplies its runs and adds up the overlap counts of each pair before they leave it. Pairs outside the
+   length bound, or whose count leaves too little for the rest of their sets to make up, are discarded.
+3. Columns with over 128 rows are hot. Their rows are compared in tiles by parity bitmaps: each unshared shingle flips
+   one bit, so the bits in which two bitmaps differ never exceed the sets' difference. First they give only a forest.
+4. Candidates fall into groups, families of copies. Each set travels once to its group's task, which verifies pairs,
+   likest first, by the exact overlap of whole sets against ``overlap >= ceil(t/(1+t)*(a+b))`` and passes over pairs
+   that are joined already. In groups too large for a task the likest pair of each component is verified, components
+   merge, and after a few rounds all pairs left between different components that pass the bitmap bound.
+5. Last, all pairs of the hot columns between different components that pass the bitmap bound are verified.
+
+After that no link between different components can be missing, and pairs inside a component, of which a
 group of near copies has a quadratic number, were never formed.
 
 Defined results: null and empty texts, and texts without words, have n_shingles 0 and link with nothing; a null doc_id
@@ -59,9 +62,9 @@ def shingle_hashes(text: str | None, words: int = WORDS) -> np.ndarray:
 
 
 def bitmap(hashes: np.ndarray) -> bytes:
-    """Parity bitmap of a power of two of bits, about four times the set's size, from 256 to 65,536."""
+    """Parity bitmap of a power of two of bits, two to four times the set's size, from 256 to 65,536."""
     bits = 256
-    while bits < 4 * len(hashes) and bits < 65_536:
+    while bits < 2 * len(hashes) and bits < 65_536:
         bits *= 2
     odd = np.bincount((hashes >> np.uint64(13)).astype(np.int64) & (bits - 1), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
@@ -95,63 +98,115 @@ def sketches(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Dat
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(make, "doc_id long, n long, set_key binary, bits binary, prefix array<long>")
 
 
-def scan_runs(percent: int):
-    """Over rows (gram, n, doc_id) sorted so: rows of runs of two or more, with the run's first row and the one before.
+#: A column of the incidence matrix with more rows than this is hot: its pairs are compared by bitmaps in tiles.
+HOT_RUN = 128
+_ROUNDS = 4
 
-    Holds one row from batch to batch, whatever the length of a run.
+
+def prefix_length(n, percent: int):
+    return n - -(-percent * n // 100) + 1
+
+
+def scan_runs(percent: int, hot: int = HOT_RUN, flush: int = 1_000_000):
+    """Over rows (gram, n, doc_id) sorted so: the block's product, and the rows of hot runs.
+
+    A run of 2 to ``hot`` rows gives its pairs within the length bound, whose counts are added up for the whole block
+    before they leave; a longer run's rows are passed on as they come. Holds at most ``hot`` rows of an open run and
+    ``flush`` pairs.
     """
+    none = {"u": "Int64", "v": "Int64", "nu": "Int64", "nv": "Int64", "c": "Int64", "gram": "Int64", "n": "Int64", "doc_id": "Int64"}
+
+    def product(g, n, d, starts, sizes) -> list[pd.DataFrame]:
+        out = []
+        for m in np.unique(sizes):
+            i, j = np.triu_indices(m, 1)
+            at = starts[sizes == m]
+            step = max(1, flush // len(i))
+            for k in range(0, len(at), step):
+                a, b = (at[k : k + step, None] + i).ravel(), (at[k : k + step, None] + j).ravel()
+                ok = (100 * n[a] >= percent * n[b]) & (d[a] != d[b])
+                a, b = a[ok], b[ok]
+                swap = d[a] > d[b]
+                u, v = np.where(swap, b, a), np.where(swap, a, b)
+                out.append(added(pd.DataFrame({"u": d[u], "v": d[v], "nu": n[u], "nv": n[v], "c": 1})))
+        return out
+
+    def added(pairs: pd.DataFrame) -> pd.DataFrame:
+        return pairs.groupby(["u", "v", "nu", "nv"], sort=False, as_index=False)["c"].sum()
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = None  # last row so far, not yet passed on: gram, n, doc, first n, first doc, prev n, prev doc, in a run
+        rest, hot_gram = None, None
+        held: list[pd.DataFrame] = []
         for b in batches:
             if not len(b):
                 continue
             g, n, d = (b[c].to_numpy(np.int64) for c in ("gram", "n", "doc_id"))
-            if held is not None:
-                g, n, d = np.append(held[0], g), np.append(held[1], n), np.append(held[2], d)
-            same = np.append(False, g[1:] == g[:-1])
-            start = np.maximum.accumulate(np.where(same, 0, np.arange(len(g))))
-            fn, fd = n[start], d[start]
-            pn, pd_ = np.append(0, n[:-1]), np.append(-1, d[:-1])
-            before = same.copy()
-            if held is not None:
-                mine = start == 0
-                fn[mine], fd[mine] = held[3], held[4]
-                pn[0], pd_[0], before[0] = held[5], held[6], held[7]
-            within = before | np.append(same[1:], False)
-            k = len(g) - 1
-            held = (g[k], n[k], d[k], fn[k], fd[k], pn[k], pd_[k], before[k])
-            yield _run_rows(g, n, d, fn, fd, pn, pd_, before, within, slice(0, k), percent)
-        if held is not None and held[7]:
-            yield _run_rows(*(np.array([x]) for x in held), np.array([True]), slice(0, 1), percent)
+            if rest is not None:
+                g, n, d = np.append(rest[0], g), np.append(rest[1], n), np.append(rest[2], d)
+            cuts = np.append(0, np.flatnonzero(g[1:] != g[:-1]) + 1)
+            sizes = np.diff(np.append(cuts, len(g)))
+            burning = sizes > hot
+            if hot_gram is not None and g[0] == hot_gram:
+                burning[0] = True
+            closed = np.ones(len(cuts), bool)
+            closed[-1] = False
+            if burning.any():
+                rows = np.repeat(burning, sizes)
+                yield pd.DataFrame({"gram": g[rows], "n": n[rows], "doc_id": d[rows]}).reindex(columns=[*none]).astype(none)
+            hot_gram = g[-1] if burning[-1] else None
+            last = cuts[-1]
+            rest = None if burning[-1] else (g[last:], n[last:], d[last:])
+            small = closed & ~burning & (sizes > 1)
+            held += product(g, n, d, cuts[small], sizes[small])
+            if sum(map(len, held)) > flush:
+                held = [added(pd.concat(held, ignore_index=True))]
+                if len(held[0]) > flush // 2:
+                    yield held.pop().reindex(columns=[*none]).astype(none)
+        if rest is not None and len(rest[0]) > 1:
+            held += product(*rest, np.array([0]), np.array([len(rest[0])]))
+        if held:
+            yield added(pd.concat(held, ignore_index=True)).reindex(columns=[*none]).astype(none)
 
     return scan
 
 
-def _run_rows(g, n, d, fn, fd, pn, pd_, before, within, part, percent):
-    keep = within[part]
-    lead = np.where(before & (100 * fn >= percent * n) & (fd != d), fd, -1)
-    prev = np.where(before & (100 * pn >= percent * n) & (pd_ != d), pd_, -1)
-    return pd.DataFrame({"gram": g[part][keep], "n": n[part][keep], "doc_id": d[part][keep], "lead": pd.array(lead[part][keep], "Int64").astype("Int64"), "prev": prev[part][keep], "linked": before[part][keep]})
+def hot_pairs(percent: int, forest: bool, tile: int = 512):
+    """Over rows (gram, n, doc_id, label, bits) sorted by gram and n: pairs of different labels within the bounds.
 
-
-def pairs_in_runs(best: bool, percent: int, tile: int = 512):
-    """Over rows (gram, n, doc_id, label, bits) sorted by gram and n: pairs of different labels in reach of the bounds.
-
-    ``best``: only the closest pair of two labels in a run; otherwise all.
+    ``forest``: only a forest that joins all labels that such pairs join, likest pairs first as they come tile by
+    tile; otherwise all pairs. ``rank`` is the likeness that the bitmaps suggest.
     """
 
     def emit(n, d, lab, raw) -> pd.DataFrame | None:
         found: list[np.ndarray] = []
+        ranks: list[np.ndarray] = []
+        parent: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while parent.setdefault(x, x) != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
         size = np.array([len(x) for x in raw])
         top = np.searchsorted(n, n * 100 // percent, "right")
-        for a in range(0, len(n), tile):
-            a2 = min(a + tile, len(n))
+        # a tile holds bitmaps of one size (they grow with n), so a pair is folded no further than its smaller one
+        turns = np.append(0, np.flatnonzero(size[1:] != size[:-1]) + 1)
+        tiles = [(i, min(i + tile, z)) for t, z in zip(turns, np.append(turns[1:], len(n))) for i in range(t, z, tile)]
+        stacks: dict[tuple[int, int], np.ndarray] = {}
+
+        def stack(a: int, a2: int, least: int) -> np.ndarray:
+            if (a, least) not in stacks:
+                stacks[a, least] = np.stack([folded(r, least) for r in raw[a:a2]])
+            return stacks[a, least]
+
+        for k, (a, a2) in enumerate(tiles):
             last = int(top[a:a2].max())
-            for b in range(a, last, tile):
-                b2 = min(b + tile, len(n))
-                least = int(min(size[a:a2].min(), size[b:b2].min()))
-                x, y = (np.stack([folded(r, least) for r in raw[i:j]]) for i, j in ((a, a2), (b, b2)))
+            for b, b2 in tiles[k:]:
+                if b >= last:
+                    break
+                least = int(min(size[a], size[b]))
+                x, y = stack(a, a2, least), stack(b, b2, least)
                 apart = np.zeros((a2 - a, b2 - b), np.int32)
                 for w in range(x.shape[1]):
                     apart += np.bitwise_count(x[:, w, None] ^ y[None, :, w])
@@ -160,37 +215,43 @@ def pairs_in_runs(best: bool, percent: int, tile: int = 512):
                 if a == b:
                     ok &= np.arange(a2 - a)[:, None] < np.arange(b2 - b)[None, :]
                 i, j = np.nonzero(ok)
-                if len(i):
-                    made = np.stack([i + a, j + b, apart[i, j]], 1)
-                    found.append(closest(made, lab) if best else made)
+                if not len(i):
+                    continue
+                rank = (total[i, j] - apart[i, j]) / (total[i, j] + apart[i, j])
+                if forest:
+                    keep = []
+                    for k in np.argsort(-rank, kind="stable"):
+                        p, q = root(int(lab[i[k] + a])), root(int(lab[j[k] + b]))
+                        if p != q:
+                            parent[p] = q
+                            keep.append(k)
+                    i, j, rank = i[keep], j[keep], rank[keep]
+                found.append(np.stack([i + a, j + b], 1))
+                ranks.append(rank)
         if not found:
             return None
         made = np.concatenate(found)
-        if best:
-            made = closest(made, lab)
-        u, v, lu, lv = d[made[:, 0]], d[made[:, 1]], lab[made[:, 0]], lab[made[:, 1]]
-        return pd.DataFrame({"u": u, "v": v, "lu": np.minimum(lu, lv), "lv": np.maximum(lu, lv), "apart": made[:, 2]})
-
-    def closest(made, lab):
-        lu, lv = lab[made[:, 0]], lab[made[:, 1]]
-        order = np.lexsort((made[:, 2], np.maximum(lu, lv), np.minimum(lu, lv)))
-        lo, hi = np.minimum(lu, lv)[order], np.maximum(lu, lv)[order]
-        return made[order[np.append(True, (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1]))]]
+        u, v = d[made[:, 0]], d[made[:, 1]]
+        return pd.DataFrame({"u": np.minimum(u, v), "v": np.maximum(u, v), "rank": np.concatenate(ranks)})
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest: pd.DataFrame | None = None
+        rest: list[pd.DataFrame] = []
+        gram = None
+
+        def run() -> pd.DataFrame | None:
+            x = pd.concat(rest, ignore_index=True)
+            return emit(x.n.to_numpy(np.int64), x.doc_id.to_numpy(np.int64), x.label.to_numpy(np.int64), x.bits.to_numpy())
+
         for b in batches:
-            now = b if rest is None else pd.concat([rest, b], ignore_index=True)
-            g = now.gram.to_numpy()
-            cuts = np.append(0, np.flatnonzero(g[1:] != g[:-1]) + 1)
-            n, d, lab, raw = now.n.to_numpy(np.int64), now.doc_id.to_numpy(np.int64), now.label.to_numpy(np.int64), now.bits.to_numpy()
-            for i, j in zip(cuts[:-1], cuts[1:]):
-                if (out := emit(n[i:j], d[i:j], lab[i:j], raw[i:j])) is not None:
-                    yield out
-            rest = now.iloc[cuts[-1] :]
-        if rest is not None and len(rest) > 1:
-            if (out := emit(rest.n.to_numpy(np.int64), rest.doc_id.to_numpy(np.int64), rest.label.to_numpy(np.int64), rest.bits.to_numpy())) is not None:
-                yield out
+            for g, part in b.groupby("gram", sort=False):
+                if gram is not None and g != gram:
+                    if (out := run()) is not None:
+                        yield out
+                    rest = []
+                gram = g
+                rest.append(part)
+        if rest and (out := run()) is not None:
+            yield out
 
     return scan
 
@@ -224,47 +285,152 @@ def verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Dat
     return out
 
 
-def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+#: A group of candidates whose sets have more members than this together (8 bytes each) is not taken by one task.
+GROUP_MEMBERS = 4_000_000
+
+
+def verified_groups(pairs: DataFrame, members: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links (u, v) that join what the true links among ``pairs`` (group, u, v, rank) join; no more than a forest.
+
+    ``members`` has (group, doc_id). Each set travels once, to its group's task, where pairs are taken likest first
+    and those already joined are passed over. A group's sets are bounded by the caller.
+    """
+    ids = materialize(members)
+    few = ids.count() <= BROADCAST_IDS
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
+    wanted = texts.join(F.broadcast(ids) if few else ids, "doc_id").select("group", "doc_id", "text")
+
+    def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"group": b.group, "u": b.doc_id, "members": [shingle_hashes(t, words).tobytes() for t in b.text]})
+
+    known = wanted.mapInPandas(sets, "group long, u long, members binary").select("group", F.lit(0).alias("step"), "u", F.lit(None).cast("long").alias("v"), F.lit(0.0).alias("order"), "members")
+    asked = pairs.select("group", F.lit(1).alias("step"), "u", "v", (-F.col("rank")).alias("order"), F.lit(None).cast("binary").alias("members"))
+
+    def link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, have, parent = None, {}, {}
+
+        def root(x: int) -> int:
+            while parent.setdefault(x, x) != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        for b in batches:
+            out = []
+            for group, step, u, v, raw in zip(b.group.tolist(), b.step.tolist(), b.u.tolist(), b.v.tolist(), b.members):
+                if group != now:
+                    now, have, parent = group, {}, {}
+                if step == 0:
+                    have[u] = np.frombuffer(raw, np.uint64)
+                    continue
+                v = int(v)
+                p, q = root(u), root(v)
+                if p == q or u not in have or v not in have:
+                    continue
+                x, y = have[u], have[v]
+                least = _least(len(x) + len(y), percent)
+                if min(len(x), len(y)) < least:
+                    continue
+                at = np.searchsorted(x, y)
+                at[at == len(x)] = 0
+                if int((x[at] == y).sum()) >= least:
+                    parent[p] = q
+                    out.append((u, v))
+            if out:
+                yield pd.DataFrame(out, columns=["u", "v"])
+
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sent = known.unionByName(asked).repartition(parts, "group").sortWithinPartitions("group", "step", "order", "u", "v")
+    return materialize(sent.mapInPandas(link, "u long, v long"))
+
+
+def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, hot_run: int = HOT_RUN, group_members: int = GROUP_MEMBERS) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links), one row per input row."""
     all_rows = materialize(sketches(docs, words, percent))
     light = all_rows.select("doc_id", "n", "set_key")
     classes = materialize(light.where("n > 0 and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep")))
     reps = all_rows.join(classes.select(F.col("rep").alias("doc_id"), "set_key"), ["doc_id", "set_key"], "left_semi")
     grams = reps.select(F.explode("prefix").alias("gram"), "n", "doc_id")
-    spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    shared = materialize(grams.repartition(parts, "gram").sortWithinPartitions("gram", "n", "doc_id").mapInPandas(scan_runs(percent), "gram long, n long, doc_id long, lead long, prev long, linked boolean"))
-
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = grams.repartition(parts, "gram").sortWithinPartitions("gram", "n", "doc_id")
+    found = materialize(blocks.mapInPandas(scan_runs(percent, hot_run), "u long, v long, nu long, nv long, c long, gram long, n long, doc_id long"))
     bits = all_rows.select("doc_id", "n", "bits").where("n > 0 and doc_id is not null").dropDuplicates(["doc_id"])
+    hot = found.where("gram is not null").select("gram", "n", "doc_id")
+    any_hot = bool(hot.limit(1).count())
+
+    def labels(df: DataFrame, comps: DataFrame | None, columns: dict[str, str]) -> DataFrame:
+        for c, label in columns.items():
+            if comps is None:
+                df = df.withColumn(label, F.col(c))
+            else:
+                df = df.join(comps.select(F.col("id").alias(c), F.col("component").alias(label)), c, "left").withColumn(label, F.coalesce(label, c))
+        return df
+
+    def pairs_of_hot(comps: DataFrame | None, forest: bool) -> DataFrame:
+        rows = labels(hot, comps, {"doc_id": "label"})
+        mixed = rows.groupBy("gram").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("gram")
+        rows = rows.join(mixed, "gram", "left_semi").join(bits.select("doc_id", "bits"), "doc_id")
+        made = rows.repartition(parts, "gram").sortWithinPartitions("gram", "n", "doc_id").mapInPandas(hot_pairs(percent, forest), "u long, v long, rank double")
+        return made.groupBy("u", "v").agg(F.max("rank").alias("rank"))
+
+    # every pair that shares no hot column has its whole count of shared prefix columns here, so the bound on what
+    # the rest of the two sets can add holds; pairs that share a hot column are taken up with the hot rows as well
+    def rest(n: str):
+        return F.ceil(F.lit(percent) * F.col(n) / 100) - 1
+
+    share = F.col("c") / (F.least(F.col("nu") - rest("nu"), F.col("nv") - rest("nv")))
+    counted = found.where("u is not null").groupBy("u", "v", "nu", "nv").agg(F.sum("c").alias("c"))
+    counted = counted.where(F.col("c") + F.greatest(rest("nu"), rest("nv")) >= F.ceil(F.lit(percent) * (F.col("nu") + F.col("nv")) / (100 + percent)))
+    open_pairs = counted.select("u", "v", (share / (2 - F.least(share, F.lit(1.0)))).alias("rank"))
+    if any_hot:
+        open_pairs = open_pairs.unionByName(pairs_of_hot(None, True)).groupBy("u", "v").agg(F.max("rank").alias("rank"))
+    open_pairs = materialize(open_pairs)
+
+    def near(pairs: DataFrame) -> DataFrame:
+        """Those within the bitmap bound."""
 
-    def within_bounds(pairs: DataFrame) -> DataFrame:
         @F.pandas_udf("boolean")
-        def near(xb: pd.Series, yb: pd.Series, most: pd.Series) -> pd.Series:
+        def fits(xb: pd.Series, yb: pd.Series, most: pd.Series) -> pd.Series:
             return pd.Series([int(np.bitwise_count(folded(x, min(len(x), len(y))) ^ folded(y, min(len(x), len(y)))).sum()) <= m for x, y, m in zip(xb, yb, most)], dtype=bool)
 
         a, b = bits.select(F.col("doc_id").alias("u"), F.col("n").alias("nu"), F.col("bits").alias("xb")), bits.select(F.col("doc_id").alias("v"), F.col("n").alias("nv"), F.col("bits").alias("yb"))
         total = F.col("nu") + F.col("nv")
         most = total - 2 * F.ceil(F.lit(percent) * total / (100 + percent))
-        return pairs.join(a, "u").join(b, "v").where(near("xb", "yb", most)).select("u", "v")
-
-    leaders = shared.where("lead >= 0").groupBy(F.col("doc_id").alias("u"), F.col("lead").alias("v")).agg(F.count(F.lit(1)).alias("runs"))
-    first = leaders.groupBy("u").agg(F.max(F.struct("runs", (-F.col("v")).alias("minus"))).alias("m")).select("u", (-F.col("m.minus")).alias("v"))
-    links = verified(materialize(within_bounds(first)), docs, words, percent)
-
-    for best in (True, False):
-        comps = materialize(connected_components(links))
-        labelled = shared.select("gram", "n", "doc_id").join(comps.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("gram", "n", "doc_id", F.coalesce("component", "doc_id").alias("label"))
-        labelled = materialize(labelled)
-        mixed = labelled.groupBy("gram").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("gram")
-        rows = labelled.join(mixed, "gram", "left_semi").join(bits.select("doc_id", "bits"), "doc_id")
-        pairs = rows.repartition(parts, "gram").sortWithinPartitions("gram", "n", "doc_id").mapInPandas(pairs_in_runs(best, percent), "u long, v long, lu long, lv long, apart long")
-        if best:
-            pairs = pairs.groupBy("lu", "lv").agg(F.min(F.struct("apart", "u", "v")).alias("m")).select("m.u", "m.v")
-        pairs = materialize(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
-        discard(labelled)
-        links = materialize(links.unionByName(verified(pairs, docs, words, percent)))
-    discard(shared)
+        return pairs.join(a, "u").join(b, "v").where(fits("xb", "yb", most)).select("u", "v")
+
+    # groups of candidates: a passage that two texts share is far under the bound, so these are families of copies
+    family = materialize(connected_components(open_pairs).select(F.col("id").alias("doc_id"), F.col("component").alias("group")))
+    sizes = family.join(bits.select("doc_id", "n"), "doc_id").groupBy("group").agg(F.sum("n").alias("members"))
+    large = materialize(sizes.where(F.col("members") > group_members).select("group"))
+    placed = open_pairs.join(family.withColumnRenamed("doc_id", "u"), "u")
+    links = verified_groups(placed.join(F.broadcast(large), "group", "left_anti"), family.join(F.broadcast(large), "group", "left_anti"), docs, words, percent)
     comps = materialize(connected_components(links))
+    open_pairs = materialize(placed.join(F.broadcast(large), "group", "left_semi").select("u", "v", "rank"))
+
+    # the largest groups: pairs travel, each with its two sets
+    for _ in range(_ROUNDS if large.limit(1).count() else 0):  # the likest pair of each component
+        crossing = labels(open_pairs, comps, {"u": "lu", "v": "lv"}).where("lu <> lv")
+        best = crossing.select(F.explode(F.array("lu", "lv")).alias("label"), "rank", "u", "v").groupBy("label").agg(F.max(F.struct("rank", "u", "v")).alias("m"))
+        best = materialize(best.select("m.u", "m.v", "m.rank").distinct())
+        if not best.limit(1).count():
+            break
+        ok = verified(best.where("rank >= 0.5").select("u", "v"), docs, words, percent)
+        still = materialize(crossing.join(best.where("rank >= 0.5").select("u", "v"), ["u", "v"], "left_anti").select("u", "v", "rank"))
+        discard(open_pairs)
+        open_pairs = still
+        if not ok.limit(1).count():
+            break
+        links = materialize(links.unionByName(ok))
+        comps = materialize(connected_components(links))
+    if open_pairs.limit(1).count():
+        left = materialize(near(labels(open_pairs, comps, {"u": "lu", "v": "lv"}).where("lu <> lv").select("u", "v")))
+        links = materialize(links.unionByName(verified(left, docs, words, percent)))
+        comps = materialize(connected_components(links))
+    if any_hot:
+        ok = verified(materialize(pairs_of_hot(comps, False).select("u", "v")), docs, words, percent)
+        comps = materialize(connected_components(links.unionByName(ok)))
+    discard(found)
     with_rep = light.join(classes, "set_key", "left").select("doc_id", "n", F.when(F.col("n") > 0, F.coalesce("rep", "doc_id")).otherwise(F.col("doc_id")).alias("rep"))
     return with_rep.join(comps.withColumnRenamed("id", "rep"), "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep")).alias("component_id"))
 
