@@ -17,6 +17,7 @@ order, ties are ordered by text; repeated rows stay; an empty table gives an emp
 
 from __future__ import annotations
 
+import json
 import math
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -33,21 +34,20 @@ def term_hashes(text: Column) -> Column:
     return F.array_sort(F.array_distinct(F.transform(words, lambda w: F.xxhash64(w))))
 
 
-def build_lexicon(docs: DataFrame, text: str = "text", least_idf: float = 1.5, most_idf: float = math.inf, least_df: int = 2) -> Column:
-    """Literal bitmap (array of longs) of the buckets whose idf = ln(documents / df) is in the band.
+def build_lexicon(docs: DataFrame, text: str = "text", least_idf: float = 1.5, most_idf: float = math.inf, least_df: int = 2) -> DataFrame:
+    """One row: a bitmap (array of longs) of the buckets whose idf = ln(documents / df) is in the band.
 
     ``least_df`` keeps the band's rare end at terms of two documents whatever the size of the corpus.
     """
+    spark = docs.sparkSession
     total = docs.count()
-    if not total:
-        return F.lit(None).cast("array<bigint>")
     terms = docs.select(F.explode(F.array_distinct(F.transform(term_hashes(F.col(text)), lambda h: h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")))).alias("b"))
     df = terms.groupBy("b").agg(F.count(F.lit(1)).alias("df"))
-    idf = F.log(F.lit(float(total)) / F.col("df"))
+    idf = F.log(F.lit(float(max(total, 1))) / F.col("df"))
     kept = df.where((F.col("df") >= least_df) & (idf >= least_idf) & (idf <= most_idf))
     words = kept.groupBy(F.shiftright("b", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, b & 63)")).alias("bits"))
     found = {r.at: r.bits for r in words.collect()}  # at most BUCKETS / 64 rows
-    return F.split(F.lit(",".join(str(found.get(i, 0)) for i in range(BUCKETS // 64))), ",").cast("array<bigint>")
+    return spark.createDataFrame([([found.get(i, 0) for i in range(BUCKETS // 64)],)], "bits array<bigint>")
 
 
 def _subset_hash(terms: str, level: int):
@@ -63,17 +63,18 @@ def _subset_hash(terms: str, level: int):
     return hashed
 
 
-def with_fingerprint(df: DataFrame, text: Column, lexicon: Column, to: str) -> DataFrame:
+def with_fingerprint(df: DataFrame, text: Column, lexicon: DataFrame, to: str) -> DataFrame:
     """``df`` with the subset hashes array<int> (0: no term), level by level."""
     keep = df.columns
     t = f"_{to}_t"
 
     def in_band(h: Column) -> Column:
         bucket = h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
-        word = F.element_at(lexicon, F.shiftright(bucket, 6) + 1)
+        word = F.element_at(F.col("_lexicon"), F.shiftright(bucket, 6) + 1)
         return F.call_function("shiftright", word, bucket.bitwiseAND(F.lit(63))).bitwiseAND(F.lit(1).cast("long")) == 1
 
-    df = df.withColumn(t, term_hashes(text)).withColumn(f"{t}b", F.filter(t, in_band))
+    # a scalar subquery: the bitmap is a constant of each task, and no plan's text holds it
+    df = df.withColumn(t, term_hashes(text)).withColumn("_lexicon", lexicon.scalar()).withColumn(f"{t}b", F.filter(t, in_band)).drop("_lexicon")
     df = df.withColumn(f"{t}0", F.when(F.size(f"{t}b") >= 4, F.col(f"{t}b")).otherwise(F.col(t)))
     parts = []
     for level in range(LEVELS):
@@ -118,22 +119,25 @@ def _bucket(doc_id: Column, bounds: list[int]) -> Column:
 def with_next(df: DataFrame, columns: list[str], order: list[Column], key: str = "doc_id") -> DataFrame:
     """``df`` with next_<column>: the values of the next row in descending order of ``key``, after the last the first's.
 
-    Rows are dealt once, to ranges of the key with about equal counts; the few last rows of ranges are joined to the
-    first rows of the ranges that follow.
+    Rows are dealt once, to ranges of the key with about equal counts, and each range also gets the first row of the
+    range that follows.
     """
     spark = df.sparkSession
     ranges = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     bounds = df.select(F.percentile_approx(key, F.array(*[F.lit((i + 1) / ranges) for i in range(ranges - 1)]), 100 * ranges)).first()[0] if ranges > 1 else []
     bounds = sorted(set(bounds or []))
     placed = df.withColumn("_range", _bucket(F.col(key), bounds))
-    filled = sorted((r[0] for r in df.select(_bucket(F.col(key), bounds).alias("r")).distinct().collect()), reverse=True)
-    follows = F.from_json(F.lit(str({str(a): b for a, b in zip(filled, filled[1:] + filled[:1])}).replace("'", '"')), "map<string,int>")
-    w = Window.partitionBy("_range").orderBy(F.col(key).desc_nulls_last(), *order)
-    ranked = placed.select("*", F.row_number().over(w).alias("_at"), F.lead(F.struct(*columns)).over(w).alias("_next"))
-    heads = ranked.where("_at = 1").select(F.col("_range").alias("_to"), F.struct(*columns).alias("_head"))
-    inner = ranked.where("_next is not null").select(*df.columns, "_next")
-    tails = ranked.where("_next is null").withColumn("_to", F.element_at(follows, F.col("_range").cast("string"))).join(heads, "_to").select(*df.columns, F.col("_head").alias("_next"))
-    return inner.unionByName(tails).select(*df.columns, *[F.col(f"_next.{c}").alias(f"next_{c}") for c in columns])
+    tops = {r[0]: r[1] for r in placed.groupBy("_range").agg(F.max(key)).collect()}  # one row per range
+    filled = sorted(tops, reverse=True)
+    # the first rows of a range also go, as a sentinel, to the range before it
+    before = dict(zip(filled[1:] + filled[:1], filled))
+    top = F.element_at(F.from_json(F.lit(json.dumps({str(a): tops[a] for a in filled})), "map<string,bigint>"), F.col("_range").cast("string"))
+    to = F.element_at(F.from_json(F.lit(json.dumps({str(a): before[a] for a in filled})), "map<string,int>"), F.col("_range").cast("string"))
+    own = F.struct(F.col("_range").alias("r"), F.lit(0).alias("s"))
+    dealt = placed.withColumn("_place", F.explode(F.when(F.col(key).eqNullSafe(top), F.array(own, F.struct(to.alias("r"), F.lit(1).alias("s")))).otherwise(F.array(own))))
+    w = Window.partitionBy("_place.r").orderBy("_place.s", F.col(key).desc_nulls_last(), *order)
+    ranked = dealt.withColumn("_next", F.lead(F.struct(*columns)).over(w)).where("_place.s = 0")
+    return ranked.select(*df.columns, *[F.col(f"_next.{c}").alias(f"next_{c}") for c in columns])
 
 
 def op4_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
