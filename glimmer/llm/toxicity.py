@@ -36,9 +36,14 @@ class ToxicityModel:
     intercept: float
     empty: bool = False
 
-    def scores(self, texts) -> np.ndarray:
+    def scores(self, texts, at_once: int = 256) -> np.ndarray:
+        """Scores of whole texts; the words of ``at_once`` of them are held at a time."""
         if self.empty:
             return np.zeros(len(texts))
+        parts = [self._scores(texts[i : i + at_once]) for i in range(0, len(texts), at_once)]
+        return np.concatenate(parts) if parts else np.zeros(0)
+
+    def _scores(self, texts) -> np.ndarray:
         g = np.full(len(texts), self.intercept)
         at, words = [], []
         for i, t in enumerate(texts):
