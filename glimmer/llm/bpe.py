@@ -51,6 +51,11 @@ def load_ranks(path: str) -> dict[bytes, int]:
     return {base64.b64decode(a): int(b) for a, b in (line.split() for line in Path(path).read_bytes().splitlines() if line)}
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once, however often it is used; a literal so stands in a plan once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 class BytePairCodec:
     def __init__(self, ranks: dict[bytes, int], pattern: str, bits: int = 16):
         self.mask = (1 << bits) - 1
@@ -72,12 +77,11 @@ class BytePairCodec:
         at = F.crc32(key.cast("binary")).bitwiseAND(F.lit(self.mask)).cast("int") + 1
         return F.element_at(F.element_at(literal, at), key)
 
-    def rank(self, piece: Column) -> Column:
-        return F.coalesce(self._find(self.rank_map, piece), F.lit(_NONE))
+    def fold(self, word: Column, ranks: Column) -> Column:
+        """Ids of one word, joined by commas; ``ranks`` is the rank map, bound once by ``let``."""
 
-    def fold(self, word: Column) -> Column:
-        """Ids of one word, joined by commas."""
-        let = lambda value, body: F.element_at(F.transform(F.array(value), body), 1)
+        def rank(piece: Column) -> Column:
+            return F.coalesce(self._find(ranks, piece), F.lit(_NONE))
 
         def step(state: Column) -> Column:
             p, r = state["p"], state["r"]
@@ -85,8 +89,8 @@ class BytePairCodec:
 
             def merged(at: Column) -> Column:
                 mid = F.concat(F.element_at(p, at), F.element_at(p, at + 1))
-                before = F.when(at > 1, F.array(self.rank(F.concat(F.element_at(p, F.greatest(at - 1, F.lit(1))), mid)))).otherwise(F.array().cast("array<int>"))
-                after = F.when(at + 1 < F.size(p), F.array(self.rank(F.concat(mid, F.element_at(p, F.least(at + 2, F.size(p))))))).otherwise(F.array().cast("array<int>"))
+                before = F.when(at > 1, F.array(rank(F.concat(F.element_at(p, F.greatest(at - 1, F.lit(1))), mid)))).otherwise(F.array().cast("array<int>"))
+                after = F.when(at + 1 < F.size(p), F.array(rank(F.concat(mid, F.element_at(p, F.least(at + 2, F.size(p))))))).otherwise(F.array().cast("array<int>"))
                 return F.struct(
                     F.concat(F.slice(p, 1, at - 1), F.array(mid), F.slice(p, at + 2, F.size(p))).alias("p"),
                     F.concat(F.slice(r, 1, F.greatest(at - 2, F.lit(0))), before, after, F.slice(r, at + 2, F.size(p))).alias("r"),
@@ -97,13 +101,13 @@ class BytePairCodec:
         def folded(latin: Column) -> Column:
             n = F.length(latin)
             pieces = F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(latin, i, F.lit(1)))
-            ranks = F.transform(F.sequence(F.lit(1), n - 1), lambda i: self.rank(F.substring(latin, i, F.lit(2))))
-            start = F.struct(pieces.alias("p"), ranks.alias("r"))
+            firsts = F.transform(F.sequence(F.lit(1), n - 1), lambda i: rank(F.substring(latin, i, F.lit(2))))
+            start = F.struct(pieces.alias("p"), firsts.alias("r"))
             done = F.aggregate(F.sequence(F.lit(1), n - 1), start, lambda s, _: step(s), lambda s: s["p"])
-            return F.array_join(F.transform(done, lambda x: self.rank(x).cast("string")), ",")
+            return F.array_join(F.transform(done, lambda x: rank(x).cast("string")), ",")
 
         def whole(latin: Column) -> Column:
-            return let(self._find(self.rank_map, latin), lambda known: F.when(known.isNotNull(), known.cast("string")).otherwise(folded(latin)))
+            return let(self._find(ranks, latin), lambda known: F.when(known.isNotNull(), known.cast("string")).otherwise(folded(latin)))
 
         return let(F.decode(word.cast("binary"), "ISO-8859-1"), whole)
 
@@ -116,16 +120,19 @@ class BytePairCodec:
         drawn = docs.where(F.pmod(F.xxhash64(text), F.lit(1_000_000)) < int(1_000_000 * min(1.0, most_docs / total)))
         counted = drawn.select(F.explode(self.split_words(F.col(text))).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")).where("length(w) <= 64")
         common = counted.orderBy(F.desc("n"), "w").limit(most_words).select("w")
-        made = common.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))).select("w", self.fold(F.col("w")).alias("ids"))
+        made = common.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))).select("w", let(self.rank_map, lambda ranks: self.fold(F.col("w"), ranks)).alias("ids"))
         self.words = self._literal({r.w: r.ids for r in made.collect()}, "string")
 
     def encode(self, docs: DataFrame, text: str = "text", to: str = "ids") -> DataFrame:
         """``docs`` with the decimal ids of each text, joined by commas."""
 
-        def one(w: Column) -> Column:
-            return self.fold(w) if self.words is None else F.coalesce(self._find(self.words, w), self.fold(w))
-
-        return docs.withColumn(to, F.array_join(F.transform(self.split_words(F.col(text)), one), ","))
+        words = self.split_words(F.col(text))
+        if self.words is None:
+            ids = let(self.rank_map, lambda ranks: F.transform(words, lambda w: self.fold(w, ranks)))
+        else:
+            both = F.struct(self.rank_map.alias("ranks"), self.words.alias("known"))
+            ids = let(both, lambda m: F.transform(words, lambda w: F.coalesce(self._find(m["known"], w), self.fold(w, m["ranks"]))))
+        return docs.withColumn(to, F.array_join(ids, ","))
 
     def decode(self, rows: DataFrame, ids: str = "ids", to: str = "decoded") -> DataFrame:
         """``rows`` with the bytes of comma-joined ids."""
