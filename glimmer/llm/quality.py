@@ -191,9 +191,10 @@ def score_quality(docs: DataFrame, model: QualityModel, threshold: float = 0.5)
 
     @F.pandas_udf("struct<quality double, posterior double, kept boolean>")
     def judged(text: pd.Series) -> pd.DataFrame:
-        seen = [measures(t) for t in text]
-        votes = np.array([v for v, _ in seen], int).reshape(-1, len(LABELLERS))
-        quality = np.array([weights.score(s) for _, s in seen], float)
+        quality, votes = np.zeros(len(text)), np.zeros((len(text), len(LABELLERS)), int)
+        for i, t in enumerate(text):
+            votes[i], shapes = measures(t)
+            quality[i] = weights.score(shapes)
         spared = (votes[:, 0] == 0) & (votes.min(1, initial=0) >= 0)
         return pd.DataFrame({"quality": quality, "posterior": weights.labels.posterior(votes), "kept": (quality >= threshold) | spared})
 
