@@ -10,12 +10,14 @@ holding the product:
    block multiplies its runs and adds up the overlap counts of each pair before they leave it. Pairs outside the
    length bound, or whose count leaves too little for the rest of their sets to make up, are discarded.
 3. Columns with over 128 rows are hot. Their rows are compared in tiles by parity bitmaps: each unshared shingle flips
-   one bit, so the bits in which two bitmaps differ never exceed the sets' difference. First they give only a forest.
+   one bit, so the bits in which two bitmaps differ never exceed the sets' difference. First each document
+   takes part in two hot columns only, which give a forest.
 4. Candidates fall into groups, families of copies. Each set travels once to its group's task, which verifies pairs,
    likest first, by the exact overlap of whole sets against ``overlap >= ceil(t/(1+t)*(a+b))`` and passes over pairs
    that are joined already. In groups too large for a task the likest pair of each component is verified, components
    merge, and after a few rounds all pairs left between different components that pass the bitmap bound.
-5. Last, all pairs of the hot columns between different components that pass the bitmap bound are verified.
+5. Last come the pairs of all hot columns between different components that pass the bitmap bound: first a forest of
+   them, and then, as nearly all hot columns by then hold one component only, all.
 
 After that no link between different components can be missing, and pairs inside a component, of which a
 group of near copies has a quadratic number, were never formed.
@@ -367,8 +369,8 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
                 df = df.join(comps.select(F.col("id").alias(c), F.col("component").alias(label)), c, "left").withColumn(label, F.coalesce(label, c))
         return df
 
-    def pairs_of_hot(comps: DataFrame | None, forest: bool) -> DataFrame:
-        rows = labels(hot, comps, {"doc_id": "label"})
+    def pairs_of_hot(rows: DataFrame, comps: DataFrame | None, forest: bool) -> DataFrame:
+        rows = labels(rows, comps, {"doc_id": "label"})
         mixed = rows.groupBy("gram").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("gram")
         rows = rows.join(mixed, "gram", "left_semi").join(bits.select("doc_id", "bits"), "doc_id")
         made = rows.repartition(parts, "gram").sortWithinPartitions("gram", "n", "doc_id").mapInPandas(hot_pairs(percent, forest), "u long, v long, rank double")
@@ -384,7 +386,10 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     counted = counted.where(F.col("c") + F.greatest(rest("nu"), rest("nv")) >= F.ceil(F.lit(percent) * (F.col("nu") + F.col("nv")) / (100 + percent)))
     open_pairs = counted.select("u", "v", (share / (2 - F.least(share, F.lit(1.0)))).alias("rank"))
     if any_hot:
-        open_pairs = open_pairs.unionByName(pairs_of_hot(None, True)).groupBy("u", "v").agg(F.max("rank").alias("rank"))
+        # a document's smallest and largest hot column, which near copies mostly share: two runs for each, not hundreds
+        ends = hot.groupBy("doc_id", "n").agg(F.min("gram").alias("a"), F.max("gram").alias("b"))
+        ends = ends.select(F.explode(F.array_distinct(F.array("a", "b"))).alias("gram"), "n", "doc_id")
+        open_pairs = open_pairs.unionByName(pairs_of_hot(ends, None, True)).groupBy("u", "v").agg(F.max("rank").alias("rank"))
     open_pairs = materialize(open_pairs)
 
     def near(pairs: DataFrame) -> DataFrame:
@@ -427,9 +432,10 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
         left = materialize(near(labels(open_pairs, comps, {"u": "lu", "v": "lv"}).where("lu <> lv").select("u", "v")))
         links = materialize(links.unionByName(verified(left, docs, words, percent)))
         comps = materialize(connected_components(links))
-    if any_hot:
-        ok = verified(materialize(pairs_of_hot(comps, False).select("u", "v")), docs, words, percent)
-        comps = materialize(connected_components(links.unionByName(ok)))
+    for forest in (True, False) if any_hot else ():
+        ok = verified(materialize(pairs_of_hot(hot, comps, forest).select("u", "v")), docs, words, percent)
+        links = materialize(links.unionByName(ok))
+        comps = materialize(connected_components(links))
     discard(found)
     with_rep = light.join(classes, "set_key", "left").select("doc_id", "n", F.when(F.col("n") > 0, F.coalesce("rep", "doc_id")).otherwise(F.col("doc_id")).alias("rep"))
     return with_rep.join(comps.withColumnRenamed("id", "rep"), "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep")).alias("component_id"))
