@@ -44,6 +44,8 @@ def discard(df: DataFrame) -> None:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the driver; texts go to Python in batches of 16 MB, so that a worker's memory does not follow them."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -12,61 +12,136 @@ empty table gives an empty one; extra columns are ignored; texts of any length a
 
 from __future__ import annotations
 
+import re
+import struct
 import unicodedata
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
-from itertools import chain
+from itertools import compress
+from operator import not_
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, table
+from .common import materialize, table
+from .word_bpe import WordMerger
 
 CAPACITY = 2048
 _ODD_SPACE = "\x1c\x1d\x1e\x1f᠎"
 
 
+#: How the tokenizer file parts lower-cased text; only used for words whose letters all Unicode versions agree on.
+_PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+_BEYOND = re.compile("[^\\x00-\u024f]")
+
+
 class WordTokenizer:
-    """Ids of whole texts by a ``tokenizers`` file whose pre-tokens never hold white space: words repeat, so the ids
-    of words are kept (at most ``most_words`` of them, then the store starts anew)."""
-
-    def __init__(self, path: str, most_words: int = 400_000):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, tuple[int, ...]] = {}
-        self.most = most_words
-
-    def learn(self, words: list[str]) -> None:
-        if len(self.known) + len(words) > self.most:
-            self.known.clear()
-        for i in range(0, len(words), 20_000):
-            part = words[i : i + 20_000]
-            made = self.tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
-            of, ids = np.array(made.word_ids, np.int64), made.ids
-            cuts = np.searchsorted(of, np.arange(len(part) + 1)).tolist()
-            for k, w in enumerate(part):
-                self.known[w] = tuple(ids[cuts[k] : cuts[k + 1]])
+    """Ids of whole texts by a ``tokenizers`` file whose pre-tokens never hold white space.
+
+    Words repeat, and their parts even more, so the ids of both are kept as bytes: two generations of each,
+    of which the older is dropped when the younger is full. Parts are merged by
+    ``WordMerger``, many at a time. Words with letters beyond Latin, on whose classes and cases Unicode versions may
+    differ, go to the library's tokenizer whole.
+    """
+
+    def __init__(self, path: str, most_words: int = 250_000, most_pieces: int = 250_000):
+        self.path = path
+        self._tokenizer = None
+        self.merger = WordMerger(path)
+        self.most = {"words": most_words, "pieces": most_pieces}
+        self.words: tuple[dict, dict] = ({}, {})
+        self.pieces: tuple[dict, dict] = ({}, {})
+
+    @property
+    def tokenizer(self):
+        """The library's tokenizer, loaded when a word first needs it."""
+        if self._tokenizer is None:
+            from tokenizers import Tokenizer
+
+            self._tokenizer = Tokenizer.from_file(self.path)
+            self._tokenizer.encode_special_tokens = True
+        return self._tokenizer
+
+    def _whole(self, words: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(words, add_special_tokens=False)] if words else []
+
+    def _known(self, name: str, want: set[str]) -> tuple[dict[str, bytes], list[str]]:
+        """(ids of those of ``want`` that are kept, the others); what is met again moves to the younger generation."""
+        young, old = getattr(self, name)
+        if len(young) > self.most[name]:
+            young, old = {}, young
+            setattr(self, name, (young, old))
+        have: dict[str, bytes] = {}
+        new = []
+        for w in want:
+            ids = young.get(w)
+            if ids is None:
+                ids = old.get(w)
+                if ids is None:
+                    new.append(w)
+                    continue
+                young[w] = ids
+            have[w] = ids
+        return have, new
+
+    def learn(self, words: set[str]) -> dict[str, bytes]:
+        """Ids of all of ``words``."""
+        have, new = self._known("words", words)
+        made: dict[str, bytes] = {}
+        if _BEYOND.search("".join(new)):
+            odd = [w for w in new if _BEYOND.search(w)]
+            made.update(zip(odd, self._whole(odd)))
+            new = [w for w in new if w not in made]
+        low = [*map(str.lower, new)]
+        plain = [*map(str.isalpha, low)]
+        single, singles = [*compress(new, plain)], [*compress(low, plain)]
+        parted: list[tuple[str, list[str]]] = []
+        for w, x in zip(compress(new, map(not_, plain)), compress(low, map(not_, plain))):
+            parted.append((w, [x[:-1], x[-1]] if x[-1] in ".,:;?!" and x[:-1].isalpha() else _PIECE.findall(x)))
+        want = set(singles)
+        for _, ps in parted:
+            want.update(ps)
+        pieces, ask = self._known("pieces", want)
+        for i in range(0, len(ask), 20_000):
+            some = ask[i : i + 20_000]
+            pieces.update(zip(some, self.merger.encode([p.encode() for p in some])))
+        self.pieces[0].update((p, pieces[p]) for p in ask)
+        get = pieces.__getitem__
+        made.update(zip(single, map(get, singles)))
+        made.update((w, b"".join(map(get, ps))) for w, ps in parted)
+        self.words[0].update(made)
+        have.update(made)
+        return have
+
+    def encode_batch(self, texts: list[str | None], most_chars: int = 4_000_000) -> Iterator[bytes]:
+        """Little-endian 32-bit ids of each text, in order; words are learned for some texts at a time."""
+        i = 0
+        while i < len(texts):
+            part: list = []
+            vocabulary: set[str] = set()
+            size = 0
+            while i < len(texts) and (not part or size < most_chars):
+                text = texts[i] or ""
+                i += 1
+                size += len(text)
+                if any(c in text for c in _ODD_SPACE):
+                    part.append(text)
+                    continue
+                if not unicodedata.is_normalized("NFC", text):
+                    text = unicodedata.normalize("NFC", text)
+                words = text.split()
+                vocabulary.update(words)
+                part.append(words)
+            get = self.learn(vocabulary).__getitem__
+            for x in part:
+                yield b"".join(map(get, x)) if isinstance(x, list) else self._whole([x])[0]
 
     def encode(self, text: str | None) -> list[int]:
-        if not text:
-            return []
-        if any(c in text for c in _ODD_SPACE):
-            return self.tokenizer.encode(text, add_special_tokens=False).ids
-        if not unicodedata.is_normalized("NFC", text):
-            text = unicodedata.normalize("NFC", text)
-        words = text.split()
-        new = [w for w in set(words) if w not in self.known]
-        if new:
-            before = len(self.known)
-            self.learn(new)
-            if len(self.known) < before + len(new):  # it started anew
-                self.learn([w for w in set(words) if w not in self.known])
-        return list(chain.from_iterable(map(self.known.__getitem__, words)))
+        return np.frombuffer(next(self.encode_batch([text])), "<u4").tolist()
 
 
 _TOKENIZERS: dict[str, WordTokenizer] = {}
@@ -85,12 +160,13 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
         t = tokenizer_for(tokenizer_path)
         for b in batches:
             out = []
-            for doc_id, text in zip(b.doc_id.array, b.text):
-                ids = np.array([*t.encode(text), closing], "<u4")
+            end = struct.pack("<I", closing)
+            for doc_id, ids in zip(b.doc_id.array, t.encode_batch(b.text.tolist())):
+                ids += end
                 doc_id = None if pd.isna(doc_id) else int(doc_id)
-                for piece, start in enumerate(range(0, len(ids), capacity)):
-                    part = ids[start : start + capacity]
-                    out.append((doc_id, piece, start, len(part), zlib.crc32(part.tobytes())))
+                for piece, start in enumerate(range(0, len(ids), 4 * capacity)):
+                    part = ids[start : start + 4 * capacity]
+                    out.append((doc_id, piece, start // 4, len(part) // 4, zlib.crc32(part)))
             made = pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
             yield made.astype({"doc_id": "Int64"})
 
