@@ -16,8 +16,10 @@ then the first name; repeated rows are judged alike; an empty table gives an emp
 
 from __future__ import annotations
 
+import math
 import re
 from bisect import bisect_left
+from collections import Counter, deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -115,11 +117,46 @@ def best_run(pairs: list[tuple[int, int]], slack: int) -> tuple[int, int, int]:
     return best
 
 
-def scan_text(text: str | None, templates: dict[str, list[str]], slack: int = 12) -> tuple[str | None, float, int, int]:
+def longest_run(text: list[str], template: list[str], slack: int) -> tuple[int, int, int]:
+    """As ``best_run``, of the best of all alignments; needs no unique word."""
+    at: dict[str, list[int]] = {}
+    for j, w in enumerate(template):
+        at.setdefault(w, []).append(j)
+    best = (0, 0, 0)
+    near: deque[tuple[int, list[tuple[int, int, int]]]] = deque()
+    for i, w in enumerate(text):
+        if w not in at:
+            continue
+        while near and near[0][0] < i - slack - 1:
+            near.popleft()
+        # runs that may go on here by template position, and the best of them so far (the shortest of equals)
+        before = sorted(x for _, runs in near for x in runs)
+        tops: list[tuple[int, int]] = []
+        for _, n, s in before:
+            tops.append(max(tops[-1], (n, s)) if tops else (n, s))
+        runs = []
+        for j in at[w]:
+            k = bisect_left(before, (j,))
+            n, s = tops[k - 1] if k else (0, i)
+            runs.append((j, n + 1, s))
+            if n + 1 > best[0]:
+                best = (n + 1, s, i + 1)
+        near.append((i, runs))
+    return best
+
+
+def needed(template: list[str], least_coverage: float) -> int:
+    """The fewest words whose share of the template reaches least_coverage."""
+    n = max(1, math.floor(least_coverage * len(template)))
+    return n if n / len(template) >= least_coverage else n + 1
+
+
+def scan_text(text: str | None, templates: dict[str, list[str]], slack: int = 12, least_coverage: float = 0.8) -> tuple[str | None, float, int, int]:
     """(license, coverage, first word, one past the last word) of the best template.
 
-    A repeated notice leaves no unique anchors in the whole text, so the text is aligned in windows around the
-    template's rarest word in it: each window spans the template's length plus slack on either side.
+    The text is aligned in windows around the template's rarest word in it: each window spans the template's length
+    plus slack on either side. A window that holds a notice twice may have no unique anchor, so a window whose words
+    could make up ``least_coverage`` and whose alignment leaves some unmatched gets its longest run.
     """
     words = words_of(text)
     where: dict[str, list[int]] = {}
@@ -143,6 +180,11 @@ def scan_text(text: str | None, templates: dict[str, list[str]], slack: int = 12
             if b <= a:
                 continue
             n, s, e = best_run([(x + a, y) for x, y in align(words[a:b], t)], slack)
+            could = sum((Counter(words[a:b]) & Counter(t)).values()) if n < len(t) else 0
+            if could > n and could >= needed(t, least_coverage):
+                whole = longest_run(words[a:b], t, slack)
+                if whole[0] > n:
+                    n, s, e = whole[0], whole[1] + a, whole[2] + a
             score = (n / len(t), len(t))
             if score > rank and n:
                 rank, best = score, (name, n / len(t), s, e)
@@ -155,7 +197,7 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, leas
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            found = [scan_text(t, parsed) for t in b.text]
+            found = [scan_text(t, parsed, least_coverage=least_coverage) for t in b.text]
             ok = [f[1] >= least_coverage for f in found]
             yield pd.DataFrame(
                 {

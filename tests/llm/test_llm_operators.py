@@ -261,6 +261,15 @@ def test_patience_alignment_is_a_common_subsequence():
     assert licenses.scan_text("Words before. " + edited + " and after", {"MIT-text": licenses.words_of(licenses.TEMPLATES["MIT-text"])})[1] > 0.9
 
 
+@pytest.mark.parametrize("name", ["MIT", "Apache-2.0", "GPL-3.0", "CC-BY-NC-4.0"])
+def test_a_notice_that_stands_twice_is_found(name):
+    parsed = {k: licenses.words_of(v) for k, v in licenses.TEMPLATES.items()}
+    notice = licenses.TEMPLATES[name]
+    for between in ("\n", "\nsome other words here\n"):
+        found = licenses.scan_text(f"Words stand before it.\n{notice}{between}{notice}\nAnd words stand after it.", parsed)
+        assert found[:2] == (name, 1.0) and found[3] - found[2] == len(parsed[name])
+
+
 def test_license_scan_on_awkward_tables(odd, nothing):
     assert licenses.scan_licenses(odd).count() == len(ODD) and licenses.scan_licenses(nothing).count() == 0
     assert {r.license for r in licenses.scan_licenses(odd).collect()} == {None}
