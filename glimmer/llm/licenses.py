@@ -151,12 +151,38 @@ def needed(template: list[str], least_coverage: float) -> int:
     return n if n / len(template) >= least_coverage else n + 1
 
 
+def anchors(template: list[str], where: dict[str, list[int]], need: int) -> list[int]:
+    """Positions in the text of so many template words, rarest in it first, that no run of need words is without one."""
+    count = Counter(template)
+    out: list[int] = []
+    left = len(template)
+    for w in sorted(count, key=lambda w: (len(where.get(w, ())), w)):
+        if left < need:
+            break
+        left -= count[w]
+        out.extend(where.get(w, ()))
+    return sorted(out)
+
+
+def stretches(at: list[int], reach: int, end: int) -> list[tuple[int, int]]:
+    """The ranges that lie within reach of the sorted positions, overlapping ones merged."""
+    out: list[tuple[int, int]] = []
+    for i in at:
+        a, b = max(0, i - reach), min(end, i + reach + 1)
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], b)
+        else:
+            out.append((a, b))
+    return out
+
+
 def scan_text(text: str | None, templates: dict[str, list[str]], slack: int = 12, least_coverage: float = 0.8) -> tuple[str | None, float, int, int]:
     """(license, coverage, first word, one past the last word) of the best template.
 
     The text is aligned in windows around the template's rarest word in it: each window spans the template's length
-    plus slack on either side. A window that holds a notice twice may have no unique anchor, so a window whose words
-    could make up ``least_coverage`` and whose alignment leaves some unmatched gets its longest run.
+    plus slack on either side. A notice may lack that word, and a window that holds it twice may have no unique anchor,
+    so stretches around ``anchors``, as far as a run can reach from one, get their longest run wherever their words
+    could make up ``least_coverage``. From there on coverage is exact; below it is what the alignment found.
     """
     words = words_of(text)
     where: dict[str, list[int]] = {}
@@ -170,24 +196,25 @@ def scan_text(text: str | None, templates: dict[str, list[str]], slack: int = 12
         t = templates[name]
         distinct = set(t)
         present = distinct & where.keys()
-        if sum(w in present for w in t) <= rank[0] * len(t) and rank[0] > 0 or not present:
+        if not present or sum(w in present for w in t) < rank[0] * len(t):
             continue
         rare = min(present, key=lambda w: (len(where[w]), w))
         reach = len(t) + slack
-        done = -1
+        own = (0, 0, 0)
         for i in where[rare]:
-            a, b = max(0, i - reach, done), min(len(words), i + reach + 1)
-            if b <= a:
-                continue
-            n, s, e = best_run([(x + a, y) for x, y in align(words[a:b], t)], slack)
-            could = sum((Counter(words[a:b]) & Counter(t)).values()) if n < len(t) else 0
-            if could > n and could >= needed(t, least_coverage):
-                whole = longest_run(words[a:b], t, slack)
-                if whole[0] > n:
-                    n, s, e = whole[0], whole[1] + a, whole[2] + a
-            score = (n / len(t), len(t))
-            if score > rank and n:
-                rank, best = score, (name, n / len(t), s, e)
+            a, b = max(0, i - reach), min(len(words), i + reach + 1)
+            own = max(own, best_run([(x + a, y) for x, y in align(words[a:b], t)], slack), key=lambda r: r[0])
+        need = needed(t, least_coverage)
+        if own[0] < len(t):
+            reach = (len(t) - 1) * (slack + 1)
+            for a, b in stretches(anchors(t, where, need), reach, len(words)):
+                could = sum((Counter(words[a:b]) & Counter(t)).values())
+                if could >= need and could > own[0]:
+                    n, s, e = longest_run(words[a:b], t, slack)
+                    own = max(own, (n, s + a, e + a), key=lambda r: r[0])
+        score = (own[0] / len(t), len(t))
+        if score > rank and own[0]:
+            rank, best = score, (name, score[0], own[1], own[2])
     return best
 
 

@@ -270,6 +270,30 @@ def test_a_notice_that_stands_twice_is_found(name):
         assert found[:2] == (name, 1.0) and found[3] - found[2] == len(parsed[name])
 
 
+def test_a_notice_is_found_without_the_rarest_word():
+    parsed = {k: licenses.words_of(v) for k, v in licenses.TEMPLATES.items()}
+    edited = "This work is licensed under the GNU General Public License, v3."
+    for stray in ("3", "version 3", "3 version the work is"):
+        for text in (f"{edited} {'filler ' * 40}{stray}", f"{stray} {'filler ' * 40}{edited}"):
+            assert licenses.scan_text(text, parsed)[:2] == ("GPL-3.0", 10 / 12)
+
+
+def test_license_coverage_is_that_of_the_longest_run():
+    rng = random.Random(9)
+    for _ in range(300):
+        t = [rng.choice("abcdef") for _ in range(rng.randint(1, 8))]
+        x = [rng.choice("abcdefxyz") for _ in range(rng.randint(1, 40))]
+        slack = rng.randint(0, 3)
+        best = {}  # (text position, template position): words of the longest run that ends there
+        for i, w in enumerate(x):
+            for j, v in enumerate(t):
+                if v == w:
+                    best[i, j] = 1 + max((n for (a, b), n in best.items() if b < j and 0 < i - a <= slack + 1), default=0)
+        want = max(best.values(), default=0) / len(t)
+        got = licenses.scan_text(" ".join(x), {"t": t}, slack)[1]
+        assert got == want if want >= 0.8 else got <= want
+
+
 def test_license_scan_on_awkward_tables(odd, nothing):
     assert licenses.scan_licenses(odd).count() == len(ODD) and licenses.scan_licenses(nothing).count() == 0
     assert {r.license for r in licenses.scan_licenses(odd).collect()} == {None}
