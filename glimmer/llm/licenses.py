@@ -4,24 +4,25 @@ Text and template are word sequences. Words that occur exactly once in both are
 subsequence of their positions is kept and the gaps between are aligned the same way, down to gaps without a common
 word. Matched template words over template words is the coverage.
 
-Every whole document is scanned against every template; a document that holds no word that is rare enough to tell a
-license from prose still goes through the same alignment, which then matches little. A document may align a template
-only within a window as long as the template allows around its anchors, so the words of a long text can't add up to a
+Every whole document is scanned against every template; a template is passed over only where the document has too few
+of its words to reach the floor or to beat the best template so far. A document may align a template only within a window as long as the template allows around its anchors, so the words of a long text can't add up to a
 license by chance: the aligned pairs are cut where the text skips more than ``slack`` words between two of them, and
 the best run counts.
 
-Defined results: null and empty texts have no match (license null, coverage 0.0); ties go to the longer template,
+Defined results: null and empty texts have no match (license null, coverage 0.0, licenses empty); ties go to the longer template,
 then the first name; repeated rows are judged alike; an empty table gives an empty one; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
+import pkgutil
 import re
 from bisect import bisect_left
 from collections import Counter, deque
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,7 +31,7 @@ from .common import table
 
 _WORD = re.compile(r"[a-z0-9]+(?:[.\-'][a-z0-9]+)*")
 
-#: Short notices by which works name their license.
+#: Short notices by which works name their license, the notices that licenses ask for, and license texts.
 TEMPLATES = {
     "MIT": "Released under the MIT License.",
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
@@ -45,6 +46,70 @@ TEMPLATES = {
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
         "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."
     ),
+    "MIT-whole-text": (
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the "
+        "Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies "
+        "of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this "
+        "permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, "
+        "EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE "
+        "AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN "
+        "CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+    ),
+    "BSD-2-Clause-text": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+        "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+        "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or "
+        "other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, "
+        "INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER "
+        "OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE "
+        "GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR "
+        "TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+    ),
+    "ISC-text": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice "
+        "and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL "
+        "IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES "
+        "WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH "
+        "THE USE OR PERFORMANCE OF THIS SOFTWARE."
+    ),
+    "Apache-2.0-notice": (
+        "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at "
+        "http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "
+        "\"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and "
+        "limitations under the License."
+    ),
+    "MPL-2.0-notice": (
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at "
+        "https://mozilla.org/MPL/2.0/."
+    ),
+} | {
+    # the notices that the GNU licenses ask for
+    f"{name}-notice": (
+        f"{it} is free software{mark} you can redistribute it and/or modify it under the terms of the GNU {kind} General Public License as published by the Free Software "
+        f"Foundation{sep} either version {version} of the License, or (at your option) any later version. {it} is distributed in the hope that it will be useful, but WITHOUT ANY "
+        f"WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {kind} General Public License for more details."
+    )
+    for name, it, mark, kind, sep, version in (
+        ("GPL-2.0", "This program", ";", "", ";", "2"),
+        ("GPL-3.0", "This program", ":", "", ",", "3"),
+        ("AGPL-3.0", "This program", ":", "Affero", ",", "3"),
+        ("LGPL-2.1", "This library", ";", "Lesser", ";", "2.1"),
+        ("LGPL-3.0", "This library", ":", "Lesser", ",", "3"),
+    )
+} | {
+    f"CC-{name}-4.0-notice": f"This work is licensed under a Creative Commons {kind} 4.0 International License."
+    for name, kind in (
+        ("BY", "Attribution"),
+        ("BY-SA", "Attribution-ShareAlike"),
+        ("BY-ND", "Attribution-NoDerivatives"),
+        ("BY-NC", "Attribution-NonCommercial"),
+        ("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"),
+        ("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives"),
+    )
+} | {
+    # whole texts, as files of this package
+    f"{name}-text": pkgutil.get_data(__package__, f"license_texts/{name}-text.txt").decode()
+    for name in "Apache-2.0 Artistic-1.0 BSD-3-Clause CC0-1.0 GFDL-1.2 GFDL-1.3 GPL-1.0 GPL-2.0 GPL-3.0 LGPL-2.0 LGPL-2.1 LGPL-3.0 MPL-1.1 MPL-2.0".split()
 }
 
 
@@ -72,8 +137,20 @@ def increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
-def align(text: list[str], template: list[str]) -> list[tuple[int, int]]:
-    """(position in text, position in template) of aligned words, both increasing."""
+def gaps(pairs: list[tuple[int, int]], a: int, b: int, c: int, d: int) -> Iterator[tuple[int, int, int, int]]:
+    """What lies between the pairs in text[a:b] and template[c:d], where both have words."""
+    for i, j in [*pairs, (b, d)]:
+        if i > a and j > c:
+            yield a, i, c, j
+        a, c = i + 1, j + 1
+
+
+def align(text: list, template: list, xs: np.ndarray | None = None, ts: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """(position in text, position in template) of aligned words, both increasing.
+
+    Words may be numbers from 1, and 0 in the text what the template lacks; xs and ts, the same as arrays, find the
+    anchors of wide gaps faster.
+    """
     out: list[tuple[int, int]] = []
     todo = [(0, len(text), 0, len(template))]
     while todo:
@@ -86,10 +163,22 @@ def align(text: list[str], template: list[str]) -> list[tuple[int, int]]:
             out.append((b, d))
         if a >= b or c >= d:
             continue
-        want: dict[str, int] = {}
+        if xs is not None and b - a + d - c > 96:
+            many = int(ts.max()) + 1
+            once = (np.bincount(xs[a:b], minlength=many) == 1) & (np.bincount(ts[c:d], minlength=many) == 1)
+            once[0] = False
+            at = np.zeros(many, dtype=np.int64)
+            at[ts[c:d]] = np.arange(c, d)
+            found = np.flatnonzero(once[xs[a:b]]) + a
+            pairs = increasing(list(zip(found.tolist(), at[xs[found]].tolist())))
+            if pairs:
+                todo.extend(gaps(pairs, a, b, c, d))
+                out.extend(pairs)
+            continue
+        want: dict = {}
         for j in range(c, d):
             want[template[j]] = -1 if template[j] in want else j
-        seen: dict[str, int] = {}
+        seen: dict = {}
         for i in range(a, b):
             w = text[i]
             if want.get(w, -1) >= 0:
@@ -97,11 +186,7 @@ def align(text: list[str], template: list[str]) -> list[tuple[int, int]]:
         pairs = increasing(sorted((i, want[w]) for w, i in seen.items() if i >= 0))
         if not pairs:
             continue
-        pa, pc = a, c
-        for i, j in [*pairs, (b, d)]:
-            if i > pa and j > pc:
-                todo.append((pa, i, pc, j))
-            pa, pc = i + 1, j + 1
+        todo.extend(gaps(pairs, a, b, c, d))
         out.extend(pairs)
     return sorted(out)
 
@@ -151,11 +236,10 @@ def needed(template: list[str], least_coverage: float) -> int:
     return n if n / len(template) >= least_coverage else n + 1
 
 
-def anchors(template: list[str], where: dict[str, list[int]], need: int) -> list[int]:
+def anchors(count: Counter, where: dict[str, list[int]], need: int) -> list[int]:
     """Positions in the text of so many template words, rarest in it first, that no run of need words is without one."""
-    count = Counter(template)
     out: list[int] = []
-    left = len(template)
+    left = count.total()
     for w in sorted(count, key=lambda w: (len(where.get(w, ())), w)):
         if left < need:
             break
@@ -176,55 +260,98 @@ def stretches(at: list[int], reach: int, end: int) -> list[tuple[int, int]]:
     return out
 
 
-def scan_text(text: str | None, templates: dict[str, list[str]], slack: int = 12, least_coverage: float = 0.8) -> tuple[str | None, float, int, int]:
-    """(license, coverage, first word, one past the last word) of the best template.
+Run = tuple[str | None, float, int, int]
+
+
+class Scanner:
+    """Finds (license, coverage, first word, one past the last word) for each template.
 
     The text is aligned in windows around the template's rarest word in it: each window spans the template's length
     plus slack on either side. A notice may lack that word, and a window that holds it twice may have no unique anchor,
     so stretches around ``anchors``, as far as a run can reach from one, get their longest run wherever their words
-    could make up ``least_coverage``. From there on coverage is exact; below it is what the alignment found.
+    could make up ``least_coverage``. So no run from there on is missed, and its coverage is exact, but that a template
+    over ``long`` words which the alignment already carries that far keeps the alignment's. Below ``least_coverage`` it
+    is what the alignment found.
     """
-    words = words_of(text)
-    where: dict[str, list[int]] = {}
-    vocabulary = set().union(*templates.values()) if templates else set()
-    for i, w in enumerate(words):
-        if w in vocabulary:
-            where.setdefault(w, []).append(i)
-    best: tuple[str | None, float, int, int] = (None, 0.0, 0, 0)
-    rank = (0.0, 0)
-    for name in sorted(templates):
-        t = templates[name]
-        distinct = set(t)
-        present = distinct & where.keys()
-        if not present or sum(w in present for w in t) < rank[0] * len(t):
-            continue
-        rare = min(present, key=lambda w: (len(where[w]), w))
-        reach = len(t) + slack
-        own = (0, 0, 0)
+
+    def __init__(self, templates: dict[str, list[str]], slack: int = 12, least_coverage: float = 0.8, long: int = 400):
+        self.slack, self.long = slack, long
+        ordered = sorted(((k, t) for k, t in templates.items() if t), key=lambda x: (len(x[1]), x[0]))  # short ones first: they raise what long ones must beat
+        self.index = {w: i for i, w in enumerate(sorted(set().union(*templates.values())))}
+        self.templates = []
+        for name, t in ordered:
+            count = Counter(sorted(t))
+            own = np.zeros(len(self.index) + 1, dtype=np.int32)  # number of a word within the template, 0 for others
+            own[[self.index[w] for w in count]] = range(1, len(count) + 1)
+            self.templates.append((name, t, count, needed(t, least_coverage), own, np.array([0, *count.values()]), own[[self.index[w] for w in t]]))
+
+    def run(self, words: list[str], where: dict[str, list[int]], t: list[str], count: Counter, need: int, least: float, could, xs: np.ndarray, ts: np.ndarray) -> tuple[int, int, int]:
+        seen = np.bincount(xs, minlength=len(count) + 1)[1:]
+        rare = list(count)[int(np.where(seen > 0, seen, len(xs) + 1).argmin())]
+        reach = len(t) + self.slack
+        own, done, numbers = (0, 0, 0), None, ts.tolist()
         for i in where[rare]:
             a, b = max(0, i - reach), min(len(words), i + reach + 1)
-            own = max(own, best_run([(x + a, y) for x, y in align(words[a:b], t)], slack), key=lambda r: r[0])
-        need = needed(t, least_coverage)
-        if own[0] < len(t):
-            reach = (len(t) - 1) * (slack + 1)
-            for a, b in stretches(anchors(t, where, need), reach, len(words)):
-                could = sum((Counter(words[a:b]) & Counter(t)).values())
-                if could >= need and could > own[0]:
-                    n, s, e = longest_run(words[a:b], t, slack)
-                    own = max(own, (n, s + a, e + a), key=lambda r: r[0])
-        score = (own[0] / len(t), len(t))
-        if score > rank and own[0]:
-            rank, best = score, (name, score[0], own[1], own[2])
-    return best
+            if (a, b) != done and could(a, b) >= max(least, own[0] + 1):  # else the same window again, or one that makes no difference
+                own = max(own, best_run([(x + a, y) for x, y in align(xs[a:b].tolist(), numbers, xs[a:b], ts)], self.slack), key=lambda r: r[0])
+            done = a, b
+        if could(0, len(words)) < need or own[0] == len(t) or own[0] >= need and len(t) > self.long:
+            return own
+        for a, b in stretches(anchors(count, where, need), (len(t) - 1) * (self.slack + 1), len(words)):
+            if could(a, b) >= max(need, own[0] + 1):
+                n, s, e = longest_run(words[a:b], t, self.slack)
+                own = max(own, (n, s + a, e + a), key=lambda r: r[0])
+        return own
+
+    def __call__(self, text: str | None) -> tuple[Run, list[Run]]:
+        """The best template, and all that reach least_coverage, the best first."""
+        words = words_of(text)
+        where: dict[str, list[int]] = {}
+        for i, w in enumerate(words):
+            if w in self.index:
+                where.setdefault(w, []).append(i)
+        ids = np.full(len(words), len(self.index))
+        for w, at in where.items():
+            ids[at] = self.index[w]
+        hits = sum(map(len, where.values()))
+        best: Run = (None, 0.0, 0, 0)
+        rank = (0.0, 0)
+        found: list[tuple[float, int, Run]] = []
+        for name, t, count, need, number, counts, ts in self.templates:
+            least = min(need, rank[0] * len(t))  # a template that can't have so many words is neither best nor found
+            if not hits or hits < least:
+                continue
+            mine = number[ids]
+
+            def could(a: int, b: int) -> int:
+                return int(np.minimum(np.bincount(mine[a:b], minlength=len(counts)), counts).sum())
+
+            if could(0, len(words)) < max(least, 1):
+                continue
+            n, s, e = self.run(words, where, t, count, need, least, could, mine, ts)
+            score = (n / len(t), len(t))
+            if n >= need:
+                found.append((-score[0], -len(t), (name, score[0], s, e)))
+            if n and score > rank:
+                rank, best = score, (name, score[0], s, e)
+        return best, [x[2] for x in sorted(found, key=lambda x: (x[0], x[1], x[2][0]))]
+
+
+def scan_text(text: str | None, templates: dict[str, list[str]], slack: int = 12, least_coverage: float = 0.8) -> Run:
+    """(license, coverage, first word, one past the last word) of the best template."""
+    return Scanner(templates, slack, least_coverage)(text)[0]
 
 
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, least_coverage: float = 0.8) -> DataFrame:
-    """doc_id, license (null under ``least_coverage``), coverage of the best template, first_word, end_word."""
-    parsed = {k: words_of(v) for k, v in (templates or TEMPLATES).items()}
+    """doc_id, license (null under ``least_coverage``), coverage of the best template, first_word, end_word, and
+    licenses: every template that reaches ``least_coverage``, the best first."""
+    parsed = {k: words_of(v) for k, v in (TEMPLATES if templates is None else templates).items()}
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        scanner = Scanner(parsed, least_coverage=least_coverage)
         for b in batches:
-            found = [scan_text(t, parsed, least_coverage=least_coverage) for t in b.text]
+            both = [scanner(t) for t in b.text]
+            found = [f for f, _ in both]
             ok = [f[1] >= least_coverage for f in found]
             yield pd.DataFrame(
                 {
@@ -233,10 +360,13 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, leas
                     "coverage": [float(f[1]) for f in found],
                     "first_word": pd.Series([f[2] if k else None for f, k in zip(found, ok)], dtype="Int64"),
                     "end_word": pd.Series([f[3] if k else None for f, k in zip(found, ok)], dtype="Int64"),
+                    "licenses": pd.Series([[dict(zip(("license", "coverage", "first_word", "end_word"), f)) for f in every] for _, every in both], dtype=object),
                 }
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(scan, "doc_id long, license string, coverage double, first_word long, end_word long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    one = "license string, coverage double, first_word long, end_word long"
+    return rows.mapInPandas(scan, f"doc_id long, {one}, licenses array<struct<{one.replace(' ', ': ').replace(',:', ',')}>>")
 
 
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -294,6 +294,18 @@ def test_license_coverage_is_that_of_the_longest_run():
         assert got == want if want >= 0.8 else got <= want
 
 
+def test_every_license_of_a_text_is_found(spark):
+    parsed = {k: licenses.words_of(v) for k, v in licenses.TEMPLATES.items()}
+    for name, text in licenses.TEMPLATES.items():
+        assert licenses.scan_text(f"Some words before. {text} Some words after.", parsed)[:2] == (name, 1.0)
+    texts = [licenses.TEMPLATES["MIT"] + " filler" * 30 + " " + licenses.TEMPLATES["Apache-2.0-text"], licenses.TEMPLATES["ISC-text"], "no license at all"]
+    got = [[x.license for x in r.licenses] for r in licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    assert got[0][0] == "Apache-2.0-text" and "MIT" in got[0] and got[1:] == [["ISC-text"], []]
+    # a tie goes to the longer template, whatever the names
+    assert licenses.scan_text("a b c d", {"x": ["a", "b"], "y": ["a", "b", "c"]})[0] == "y"
+    assert licenses.scan_text("a b c d", {"x": ["a", "b", "c"], "y": ["a", "b"]})[0] == "x"
+
+
 def test_license_scan_on_awkward_tables(odd, nothing):
     assert licenses.scan_licenses(odd).count() == len(ODD) and licenses.scan_licenses(nothing).count() == 0
     assert {r.license for r in licenses.scan_licenses(odd).collect()} == {None}
