@@ -60,17 +60,17 @@ def url_tokens(host: Column, path: Column) -> Column:
     return F.array_distinct(F.concat(by_depth, F.transform(words, lambda x: F.concat(F.lit("p="), x))))
 
 
-def mine_rules(labelled: DataFrame, min_support: float = 0.002, min_confidence: float = 0.9, most_rows: int = 200_000, most_tokens: int = 24) -> list[MinedRule]:
+def mine_rules(labelled: DataFrame, min_support: float = 0.002, min_confidence: float = 0.9, most_rows: int = 200_000) -> list[MinedRule]:
     """Block rules from (tokens, verdict) rows, by Spark's FP-growth.
 
     ``most_rows`` bounds the expected labelled sample (chosen by a hash of the row, so alike on every run and without
-    a sort); a transaction longer than ``most_tokens`` keeps its first tokens for mining only. A rule stays if its support and
-    confidence reach the floors and no rule on a subset of its tokens is as confident.
+    a sort); all tokens of a transaction count, and FP-growth itself leaves out those under the support floor. A rule
+    stays if its support and confidence reach the floors and no rule on a subset of its tokens is as confident.
     """
     decided = labelled.where("verdict is not null")
     share = int(1_000_000 * min(1.0, most_rows / max(decided.count(), 1)))
     bounded = decided.where(F.pmod("order_hash", F.lit(1_000_000)) < share)
-    items = bounded.select(F.concat(F.slice("tokens", 1, most_tokens), F.array(F.concat(F.lit("label="), F.col("verdict")))).alias("items"))
+    items = bounded.select(F.concat("tokens", F.array(F.concat(F.lit("label="), F.col("verdict")))).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence, numPartitions=16).fit(items)
     found = model.associationRules.where(F.element_at("consequent", 1) == BLOCK).where(~F.array_contains("antecedent", ALLOW)).select("antecedent", "support", "confidence")
     kept: list[MinedRule] = []

@@ -181,6 +181,12 @@ def test_mined_rules_are_those_of_counting(spark):
     assert mined[frozenset("y")].confidence == 1.0 and abs(mined[frozenset("y")].support - 40 / 380) < 1e-9
 
 
+def test_rules_are_mined_from_all_tokens_of_a_long_url(spark):
+    rows = [([f"p=r{i}x{k}" for k in range(40)] + ["p=late"] * (i % 2), "block" if i % 2 else "allow", i) for i in range(60)]
+    labelled = spark.createDataFrame(rows, "tokens array<string>, verdict string, order_hash long")
+    assert [set(r.tokens) for r in url_filter.mine_rules(labelled, min_support=0.1)] == [{"p=late"}]
+
+
 # --- 4 I-Match -----------------------------------------------------------------------------------------------------
 def imatch_rows(spark, docs, tmp_path):
     docs.write.parquet(f"{tmp_path}/documents.parquet")
