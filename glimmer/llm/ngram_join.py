@@ -1,30 +1,32 @@
 """N-gram Jaccard join: which documents share at least a given part of their word shingles.
 
-The document by n-gram incidence matrix is multiplied with its own transpose in blocks of n-grams, without ever
-holding the product:
-
-1. A pass over the texts makes each document's sorted distinct shingle hashes, a key of the whole set (equal sets are
-   one class), a parity bitmap, and the columns of its prefix: two sets that reach the threshold must share one of
-   their ``n - ceil(t*n) + 1`` smallest hashes, so only those columns enter the product.
-2. The prefix incidences of class representatives are dealt by n-gram and sorted. Each column is a run of rows; a
-   block multiplies its runs and adds up the overlap counts of each pair before they leave it. Pairs outside the
-   length bound, or whose count leaves too little for the rest of their sets to make up, are discarded.
-3. Columns with over 128 rows are hot. Their rows are compared in tiles by parity bitmaps: each unshared shingle flips
-   one bit, so the bits in which two bitmaps differ never exceed the sets' difference. First each document
-   takes part in two hot columns only, which give a forest.
-4. Candidates fall into groups, families of copies. Each set travels once to its group's task, which verifies pairs,
-   likest first, by the exact overlap of whole sets against ``overlap >= ceil(t/(1+t)*(a+b))`` and passes over pairs
-   that are joined already. In groups too large for a task the likest pair of each component is verified, components
-   merge, and after a few rounds all pairs left between different components that pass the bitmap bound.
-5. Last come the pairs of all hot columns between different components that pass the bitmap bound: first a forest of
-   them, and then, as nearly all hot columns by then hold one component only, all.
-
-After that no link between different components can be missing, and pairs inside a component, of which a
-group of near copies has a quadratic number, were never formed.
+The document by n-gram incidence matrix is multiplied with its own transpose in blocks, without ever holding the
+product. Rows are classes of equal sets (``node``); columns are shingle hashes in one global order: frequent columns
+after all others, and by hash within both. Frequent means held by more than ``hot_run`` documents, or by more where
+over a million columns are; the frequencies are counted over all documents for the half of the columns whose hashes
+come first, and travel as a bitmap of 1 MB (two columns may share a bit: the order stays one order, so results do not
+depend on it).
+
+1. *Prefixes.* Two sets that reach the threshold share one of their first ``n - ceil(t*n) + 1`` columns in that order,
+   so only those columns enter the product. A passage that many texts share comes last and is in few prefixes.
+2. *Columns of up to* ``hot_run`` *rows* are multiplied where they meet: overlap counts of each pair are added up in the
+   block, then over blocks; pairs outside the length bound, or whose count leaves too little for the rest of their sets
+   to make up, are discarded. The others meet in groups, where whole sets are multiplied.
+3. *Hot columns* belong to large families of copies. Their rows are cut into blocks of about 256 sets, and each block
+   multiplies its whole sets in its own task: exact overlaps, of which a forest of true links leaves it. Twice every
+   row goes to one block, by its first and by its last hot column; then labels are joined.
+4. *Settling.* Only hot columns that hold several labels are left. Each of their rows has one home block; blocks of a
+   large label hold no other. A row visits the blocks with which it shares such a column, rows of the smaller label
+   those of the larger, and never a block of its own label; visitors are multiplied with the block. Every pair of
+   different labels in a hot column so meets once, and each visit gives one link at most.
+
+No step lists the pairs inside a label, and no pair leaves a task but as a link or as a candidate of step 2, which each
+row has fewer than ``hot_run`` of in a column.
 
 Defined results: null and empty texts, and texts without words, have n_shingles 0 and link with nothing; a null doc_id
-keeps its row with a null component and links with nothing; rows that share a doc_id are one node; repeated rows all
-come back; empty tables give empty results; extra columns are ignored; whole texts are read.
+keeps its row with a null component and links with nothing; rows that share a doc_id are one document, with the links
+of all their texts; repeated rows all come back; empty tables give empty results; extra columns are ignored; whole
+texts are read.
 """
 
 from __future__ import annotations
@@ -35,15 +37,23 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pandas.util import hash_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import connected_components, discard, materialize, table
 
 WORDS, PERCENT = 5, 75
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-#: Beyond so many ids a semi join is no longer a broadcast (16 bytes each) but a shuffle.
+#: Beyond so many ids a semi join is no longer a broadcast (40 bytes each) but a shuffle.
 BROADCAST_IDS = 1_000_000
+#: A column of the product with more rows than this is hot.
+HOT_RUN = 32
+#: Rows, and members of their sets, that a block of a hot column holds about.
+BLOCK_ROWS, BLOCK_MEMBERS = 256, 1_000_000
+#: A group of candidates whose sets have more members than this together (8 bytes each) is taken by several tasks.
+GROUP_MEMBERS = 4_000_000
+#: Bits of the bitmap of frequent columns, and how many of those it is to tell apart.
+_BITS, _MOST_FREQUENT = 1 << 23, 1_000_000
 
 
 def shingle_hashes(text: str | None, words: int = WORDS) -> np.ndarray:
@@ -63,20 +73,8 @@ def shingle_hashes(text: str | None, words: int = WORDS) -> np.ndarray:
     return np.unique(out)
 
 
-def bitmap(hashes: np.ndarray) -> bytes:
-    """Parity bitmap of a power of two of bits, two to four times the set's size, from 256 to 65,536."""
-    bits = 256
-    while bits < 2 * len(hashes) and bits < 65_536:
-        bits *= 2
-    odd = np.bincount((hashes >> np.uint64(13)).astype(np.int64) & (bits - 1), minlength=bits) & 1
-    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
-
-
-def folded(raw: bytes, size: int) -> np.ndarray:
-    x = np.frombuffer(raw, np.uint64)
-    while len(x) * 8 > size:
-        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
-    return x
+def set_key(members: np.ndarray) -> bytes:
+    return hashlib.md5(members.tobytes()).digest()
 
 
 def _least(total, percent: int):
@@ -84,7 +82,60 @@ def _least(total, percent: int):
     return -(-percent * total // (100 + percent))
 
 
-def sketches(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+def _bit(gram: np.ndarray) -> np.ndarray:
+    return (gram & np.uint64(_BITS - 1)).astype(np.int64)
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
+def frequent_columns(docs: DataFrame, words: int, more_than: int) -> np.ndarray:
+    """Bitmap (packed) of the columns that more than ``more_than`` documents hold, over all documents.
+
+    Columns of the upper half of the hash range are never marked. Where more than a million columns are frequent, the
+    floor doubles until no more are, so the bitmap stays sparse at any size.
+    """
+
+    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, size = [], 0
+        for b in batches:
+            for text in b.text:
+                s = shingle_hashes(text, words)
+                held.append(s[: np.searchsorted(s, np.uint64(1 << 63))])
+                size += len(held[-1])
+                if size > 1_000_000:
+                    gram, c = np.unique(np.concatenate(held), return_counts=True)
+                    yield pd.DataFrame({"gram": gram.view(np.int64), "c": c})
+                    held, size = [], 0
+        if size:
+            gram, c = np.unique(np.concatenate(held), return_counts=True)
+            yield pd.DataFrame({"gram": gram.view(np.int64), "c": c})
+
+    often = materialize(_texts(docs).select("text").mapInPandas(counted, "gram long, c long").groupBy("gram").agg(F.sum("c").alias("c")).where(F.col("c") > more_than))
+    floor, by_size = more_than, often.groupBy(F.floor(F.log2("c")).alias("power")).agg(F.count(F.lit(1)).alias("n")).collect()
+    while sum(r.n for r in by_size if 2 ** (r.power + 1) > floor + 1) > _MOST_FREQUENT:
+        floor *= 2
+    at = F.col("gram").bitwiseAND(F.lit(_BITS - 1)) + 1
+    chunks = often.where(F.col("c") > floor).select(at.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("chunk")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
+    out = np.zeros(_BITS // 8, np.uint8)
+    for r in chunks.collect():  # at most 256 rows of 4 KB
+        out[(r.chunk - 1) * 4096 : r.chunk * 4096] = np.frombuffer(bytes(r.bits), np.uint8)
+    discard(often)
+    return out
+
+
+def in_order(members: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+    """A set's columns in the global order: those not marked frequent first, by hash within both."""
+    at = _bit(members)
+    late = ((frequent[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool) & (members < np.uint64(1 << 63))
+    return np.concatenate([members[~late], members[late]])
+
+
+def sketches(docs: DataFrame, frequent: np.ndarray, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n, set_key and the prefix of each text's set."""
+    bits = docs.sparkSession.sparkContext.broadcast(frequent)  # 1 MB
+
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
@@ -92,33 +143,24 @@ def sketches(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Dat
                 s = shingle_hashes(text, words)
                 n = len(s)
                 take = n - -(-percent * n // 100) + 1 if n else 0
-                out.append((n, hashlib.md5(s.tobytes()).digest() if n else None, bitmap(s) if n else None, s[:take].view(np.int64)))
-            made = pd.DataFrame(out, columns=["n", "set_key", "bits", "prefix"])
+                out.append((n, set_key(s) if n else None, in_order(s, bits.value)[:take].view(np.int64)))
+            made = pd.DataFrame(out, columns=["n", "set_key", "prefix"])
             made.insert(0, "doc_id", b.doc_id.astype("Int64").values)
             yield made
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(make, "doc_id long, n long, set_key binary, bits binary, prefix array<long>")
-
-
-#: A column of the incidence matrix with more rows than this is hot: its pairs are compared by bitmaps in tiles.
-HOT_RUN = 128
-_ROUNDS = 4
-
-
-def prefix_length(n, percent: int):
-    return n - -(-percent * n // 100) + 1
+    return _texts(docs).mapInPandas(make, "doc_id long, n long, set_key binary, prefix array<long>")
 
 
 def scan_runs(percent: int, hot: int = HOT_RUN, flush: int = 1_000_000):
-    """Over rows (gram, n, doc_id) sorted so: the block's product, and the rows of hot runs.
+    """Over rows (gram, n, node) sorted so: the block's product, and the rows of hot runs.
 
     A run of 2 to ``hot`` rows gives its pairs within the length bound, whose counts are added up for the whole block
     before they leave; a longer run's rows are passed on as they come. Holds at most ``hot`` rows of an open run and
     ``flush`` pairs.
     """
-    none = {"u": "Int64", "v": "Int64", "nu": "Int64", "nv": "Int64", "c": "Int64", "gram": "Int64", "n": "Int64", "doc_id": "Int64"}
+    none = {"u": "Int64", "v": "Int64", "nu": "Int64", "nv": "Int64", "c": "Int64", "gram": "Int64", "n": "Int64", "node": "Int64"}
 
-    def product(g, n, d, starts, sizes) -> list[pd.DataFrame]:
+    def product(n, d, starts, sizes) -> list[pd.DataFrame]:
         out = []
         for m in np.unique(sizes):
             i, j = np.triu_indices(m, 1)
@@ -126,7 +168,7 @@ def scan_runs(percent: int, hot: int = HOT_RUN, flush: int = 1_000_000):
             step = max(1, flush // len(i))
             for k in range(0, len(at), step):
                 a, b = (at[k : k + step, None] + i).ravel(), (at[k : k + step, None] + j).ravel()
-                ok = (100 * n[a] >= percent * n[b]) & (d[a] != d[b])
+                ok = 100 * n[a] >= percent * n[b]
                 a, b = a[ok], b[ok]
                 swap = d[a] > d[b]
                 u, v = np.where(swap, b, a), np.where(swap, a, b)
@@ -142,7 +184,7 @@ def scan_runs(percent: int, hot: int = HOT_RUN, flush: int = 1_000_000):
         for b in batches:
             if not len(b):
                 continue
-            g, n, d = (b[c].to_numpy(np.int64) for c in ("gram", "n", "doc_id"))
+            g, n, d = (b[c].to_numpy(np.int64) for c in ("gram", "n", "node"))
             if rest is not None:
                 g, n, d = np.append(rest[0], g), np.append(rest[1], n), np.append(rest[2], d)
             cuts = np.append(0, np.flatnonzero(g[1:] != g[:-1]) + 1)
@@ -154,181 +196,138 @@ def scan_runs(percent: int, hot: int = HOT_RUN, flush: int = 1_000_000):
             closed[-1] = False
             if burning.any():
                 rows = np.repeat(burning, sizes)
-                yield pd.DataFrame({"gram": g[rows], "n": n[rows], "doc_id": d[rows]}).reindex(columns=[*none]).astype(none)
+                yield pd.DataFrame({"gram": g[rows], "n": n[rows], "node": d[rows]}).reindex(columns=[*none]).astype(none)
             hot_gram = g[-1] if burning[-1] else None
             last = cuts[-1]
             rest = None if burning[-1] else (g[last:], n[last:], d[last:])
             small = closed & ~burning & (sizes > 1)
-            held += product(g, n, d, cuts[small], sizes[small])
+            held += product(n, d, cuts[small], sizes[small])
             if sum(map(len, held)) > flush:
                 held = [added(pd.concat(held, ignore_index=True))]
                 if len(held[0]) > flush // 2:
                     yield held.pop().reindex(columns=[*none]).astype(none)
         if rest is not None and len(rest[0]) > 1:
-            held += product(*rest, np.array([0]), np.array([len(rest[0])]))
+            held += product(rest[1], rest[2], np.array([0]), np.array([len(rest[0])]))
         if held:
             yield added(pd.concat(held, ignore_index=True)).reindex(columns=[*none]).astype(none)
 
     return scan
 
 
-def hot_pairs(percent: int, forest: bool, tile: int = 512):
-    """Over rows (gram, n, doc_id, label, bits) sorted by gram and n: pairs of different labels within the bounds.
-
-    ``forest``: only a forest that joins all labels that such pairs join, likest pairs first as they come tile by
-    tile; otherwise all pairs. ``rank`` is the likeness that the bitmaps suggest.
-    """
-
-    def emit(n, d, lab, raw) -> pd.DataFrame | None:
-        found: list[np.ndarray] = []
-        ranks: list[np.ndarray] = []
-        parent: dict[int, int] = {}
-
-        def root(x: int) -> int:
-            while parent.setdefault(x, x) != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
-            return x
-
-        size = np.array([len(x) for x in raw])
-        top = np.searchsorted(n, n * 100 // percent, "right")
-        # a tile holds bitmaps of one size (they grow with n), so a pair is folded no further than its smaller one
-        turns = np.append(0, np.flatnonzero(size[1:] != size[:-1]) + 1)
-        tiles = [(i, min(i + tile, z)) for t, z in zip(turns, np.append(turns[1:], len(n))) for i in range(t, z, tile)]
-        stacks: dict[tuple[int, int], np.ndarray] = {}
-
-        def stack(a: int, a2: int, least: int) -> np.ndarray:
-            if (a, least) not in stacks:
-                stacks[a, least] = np.stack([folded(r, least) for r in raw[a:a2]])
-            return stacks[a, least]
-
-        for k, (a, a2) in enumerate(tiles):
-            last = int(top[a:a2].max())
-            for b, b2 in tiles[k:]:
-                if b >= last:
-                    break
-                least = int(min(size[a], size[b]))
-                x, y = stack(a, a2, least), stack(b, b2, least)
-                apart = np.zeros((a2 - a, b2 - b), np.int32)
-                for w in range(x.shape[1]):
-                    apart += np.bitwise_count(x[:, w, None] ^ y[None, :, w])
-                total = n[a:a2, None] + n[None, b:b2]
-                ok = (apart <= total - 2 * _least(total, percent)) & (lab[a:a2, None] != lab[None, b:b2]) & (100 * n[a:a2, None] >= percent * n[None, b:b2])
-                if a == b:
-                    ok &= np.arange(a2 - a)[:, None] < np.arange(b2 - b)[None, :]
-                i, j = np.nonzero(ok)
-                if not len(i):
-                    continue
-                rank = (total[i, j] - apart[i, j]) / (total[i, j] + apart[i, j])
-                if forest:
-                    keep = []
-                    for k in np.argsort(-rank, kind="stable"):
-                        p, q = root(int(lab[i[k] + a])), root(int(lab[j[k] + b]))
-                        if p != q:
-                            parent[p] = q
-                            keep.append(k)
-                    i, j, rank = i[keep], j[keep], rank[keep]
-                found.append(np.stack([i + a, j + b], 1))
-                ranks.append(rank)
-        if not found:
-            return None
-        made = np.concatenate(found)
-        u, v = d[made[:, 0]], d[made[:, 1]]
-        return pd.DataFrame({"u": np.minimum(u, v), "v": np.maximum(u, v), "rank": np.concatenate(ranks)})
-
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest: list[pd.DataFrame] = []
-        gram = None
-
-        def run() -> pd.DataFrame | None:
-            x = pd.concat(rest, ignore_index=True)
-            return emit(x.n.to_numpy(np.int64), x.doc_id.to_numpy(np.int64), x.label.to_numpy(np.int64), x.bits.to_numpy())
-
-        for b in batches:
-            for g, part in b.groupby("gram", sort=False):
-                if gram is not None and g != gram:
-                    if (out := run()) is not None:
-                        yield out
-                    rest = []
-                gram = g
-                rest.append(part)
-        if rest and (out := run()) is not None:
-            yield out
-
-    return scan
-
-
-def verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Those (u, v) whose whole sets reach the threshold."""
-    ids = materialize(pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct())
-    few = ids.count() <= BROADCAST_IDS
-    wanted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
-
-    def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({"doc_id": b.doc_id, "members": [shingle_hashes(t, words).tobytes() for t in b.text]})
+class Labels:
+    """Union-find over labels that a task has seen."""
+
+    def __init__(self):
+        self.parent: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        while self.parent.setdefault(x, x) != x:
+            self.parent[x] = self.parent[self.parent[x]]
+            x = self.parent[x]
+        return x
+
+    def join(self, x: int, y: int) -> bool:
+        p, q = self.root(x), self.root(y)
+        self.parent[p] = q
+        return p != q
+
+
+def overlaps(left: list[np.ndarray], right: list[np.ndarray] | None = None, wide: int = 8192) -> np.ndarray:
+    """Overlap counts of all sets of ``left`` with all of ``right``, or among themselves: the incidence matrix of the
+    block, without columns that one set alone holds, times its transpose, some columns at a time."""
+    sets = left + (right or [])
+    grams = np.concatenate(sets)
+    rows = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, column, held = np.unique(grams, return_inverse=True, return_counts=True)
+    shared = held[column] > 1
+    rows, column = rows[shared], column[shared]
+    column = np.unique(column, return_inverse=True)[1]
+    out = np.zeros((len(left), len(right) if right else len(left)), np.int64)
+    order = np.argsort(column, kind="stable")
+    rows, column = rows[order], column[order]
+    for k in range(0, int(column[-1]) + 1 if len(column) else 0, wide):
+        i, j = np.searchsorted(column, [k, k + wide])
+        x = np.zeros((len(sets), wide), np.float32)  # counts stay exact under 2^24
+        x[rows[i:j], column[i:j] - k] = 1
+        out += (x[: len(left)] @ (x[len(left) :] if right else x).T).astype(np.int64)
+    return out
 
-    known = materialize(wanted.mapInPandas(sets, "doc_id long, members binary"))
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            ok = []
-            for x, y in zip(b.x, b.y):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = np.sort(np.concatenate([x, y]))
-                overlap = int((both[1:] == both[:-1]).sum())
-                ok.append(overlap >= _least(len(x) + len(y), percent))
-            yield b.loc[ok, ["u", "v"]]
-
-    left, right = known.select(F.col("doc_id").alias("u"), F.col("members").alias("x")), known.select(F.col("doc_id").alias("v"), F.col("members").alias("y"))
-    out = materialize(pairs.select("u", "v").join(left, "u").join(right, "v").mapInPandas(count, "u long, v long").distinct())
-    discard(known)
-    discard(ids)
-    return out
+def block_links(percent: int):
+    """Over rows (kind, key, part, role, node, label, members) sorted so: a forest of the true links in each block.
 
+    Role 0 are the block's own sets, which are multiplied with each other unless the block is of one label (kind 0);
+    role 1 are visitors, multiplied with the block as they come.
+    """
 
-#: A group of candidates whose sets have more members than this together (8 bytes each) is not taken by one task.
-GROUP_MEMBERS = 4_000_000
+    def forest(ids, labels, sets, others, other_labels, other_sets, seen: Labels) -> list[tuple[int, int]]:
+        n = np.array([len(s) for s in sets])
+        m = n if others is None else np.array([len(s) for s in other_sets])
+        total = n[:, None] + m[None, :]
+        ok = overlaps(sets, None if others is None else other_sets) >= _least(total, percent)
+        ok &= np.array(labels)[:, None] != np.array(labels if others is None else other_labels)[None, :]
+        out = []
+        for i in np.flatnonzero(ok.any(1)):
+            for j in np.flatnonzero(ok[i]):
+                if others is None:
+                    if i < j and seen.join(labels[i], labels[j]):
+                        out.append((ids[i], ids[j]))
+                elif seen.join(labels[i], other_labels[j]):
+                    out.append((ids[i], others[j]))
+        return out
 
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, home, guests, seen = None, ([], [], []), ([], [], []), Labels()
+        closed = False
 
-def verified_groups(pairs: DataFrame, members: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Links (u, v) that join what the true links among ``pairs`` (group, u, v, rank) join; no more than a forest.
+        def close() -> list[tuple[int, int]]:
+            """The block's own sets are complete."""
+            return forest(*home, None, None, None, seen) if now is not None and now[0] and len(home[0]) > 1 else []
 
-    ``members`` has (group, doc_id). Each set travels once, to its group's task, where pairs are taken likest first
-    and those already joined are passed over. A group's sets are bounded by the caller.
-    """
-    ids = materialize(members)
-    few = ids.count() <= BROADCAST_IDS
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    wanted = texts.join(F.broadcast(ids) if few else ids, "doc_id").select("group", "doc_id", "text")
+        def receive() -> list[tuple[int, int]]:
+            found = forest(*home, *guests, seen) if home[0] and guests[0] else []
+            for x in guests:
+                x.clear()
+            return found
 
-    def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"group": b.group, "u": b.doc_id, "members": [shingle_hashes(t, words).tobytes() for t in b.text]})
+            out = []
+            for kind, key, part, role, node, label, raw in zip(b.kind.tolist(), b["key"].tolist(), b.part.tolist(), b.role.tolist(), b.node.tolist(), b.label.tolist(), b.members):
+                if (kind, key, part) != now:
+                    out += receive() if closed else close()
+                    now, home, guests, seen, closed = (kind, key, part), ([], [], []), ([], [], []), Labels(), False
+                if role and not closed:
+                    out += close()
+                    closed = True
+                to = guests if role else home
+                for x, value in zip(to, (node, label, np.frombuffer(raw, np.uint64))):
+                    x.append(value)
+                if role and len(guests[0]) >= BLOCK_ROWS:
+                    out += receive()
+            if out:
+                yield pd.DataFrame(out, columns=["u", "v"])
+        if out := receive() if closed else close():
+            yield pd.DataFrame(out, columns=["u", "v"])
 
-    known = wanted.mapInPandas(sets, "group long, u long, members binary").select("group", F.lit(0).alias("step"), "u", F.lit(None).cast("long").alias("v"), F.lit(0.0).alias("order"), "members")
-    asked = pairs.select("group", F.lit(1).alias("step"), "u", "v", (-F.col("rank")).alias("order"), F.lit(None).cast("binary").alias("members"))
+    return scan
 
-    def link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, have, parent = None, {}, {}
 
-        def root(x: int) -> int:
-            while parent.setdefault(x, x) != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
-            return x
+def group_links(percent: int):
+    """Over rows (group, part, step, node, label, v, order, members) sorted so: first the sets of a group, then its
+    candidates; a forest of those that are true links. Candidates that are joined already are passed over."""
 
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, have, seen = None, {}, Labels()
         for b in batches:
             out = []
-            for group, step, u, v, raw in zip(b.group.tolist(), b.step.tolist(), b.u.tolist(), b.v.tolist(), b.members):
-                if group != now:
-                    now, have, parent = group, {}, {}
+            for group, part, step, u, v, lu, lv, raw in zip(b.group.tolist(), b.part.tolist(), b.step.tolist(), b.node.tolist(), b.v.tolist(), b.lu.tolist(), b.lv.tolist(), b.members):
+                if (group, part) != now:
+                    now, have, seen = (group, part), {}, Labels()
                 if step == 0:
                     have[u] = np.frombuffer(raw, np.uint64)
                     continue
-                v = int(v)
-                p, q = root(u), root(v)
-                if p == q or u not in have or v not in have:
+                v, lu, lv = int(v), int(lu), int(lv)
+                if seen.root(lu) == seen.root(lv):
                     continue
                 x, y = have[u], have[v]
                 least = _least(len(x) + len(y), percent)
@@ -336,109 +335,148 @@ def verified_groups(pairs: DataFrame, members: DataFrame, docs: DataFrame, words
                     continue
                 at = np.searchsorted(x, y)
                 at[at == len(x)] = 0
-                if int((x[at] == y).sum()) >= least:
-                    parent[p] = q
+                if int((x[at] == y).sum()) >= least and seen.join(lu, lv):
                     out.append((u, v))
             if out:
                 yield pd.DataFrame(out, columns=["u", "v"])
 
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sent = known.unionByName(asked).repartition(parts, "group").sortWithinPartitions("group", "step", "order", "u", "v")
-    return materialize(sent.mapInPandas(link, "u long, v long"))
+    return scan
+
+
+def whole_sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """(node, members) of the wanted nodes, made again from their texts."""
+    asked = materialize(wanted.distinct().join(nodes.select("node", "rep", "set_key"), "node"))
+    few = asked.count() <= BROADCAST_IDS
+    texts = _texts(docs).where("doc_id is not null").join(F.broadcast(asked.withColumnRenamed("rep", "doc_id")) if few else asked.withColumnRenamed("rep", "doc_id"), "doc_id").select("node", "set_key", "text")
+
+    def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            made = [shingle_hashes(t, words) for t in b.text]
+            same = np.array([set_key(s) == bytes(k) for s, k in zip(made, b.set_key)], bool)
+            yield pd.DataFrame({"node": b.node, "members": [s.tobytes() for s in made]})[same]
+
+    out = materialize(texts.mapInPandas(sets, "node long, members binary"))
+    discard(asked)
+    return out
+
+
+def _blocks(rows: Column, members: Column) -> Column:
+    return F.greatest(F.ceil(rows / BLOCK_ROWS), F.ceil(members / BLOCK_MEMBERS)).cast("long")
+
+
+def _labelled(df: DataFrame, comps: DataFrame, columns: dict[str, str]) -> DataFrame:
+    for c, label in columns.items():
+        df = df.join(comps.select(F.col("id").alias(c), F.col("component").alias(label)), c, "left").withColumn(label, F.coalesce(label, c))
+    return df
 
 
 def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, hot_run: int = HOT_RUN, group_members: int = GROUP_MEMBERS) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links), one row per input row."""
-    all_rows = materialize(sketches(docs, words, percent))
-    light = all_rows.select("doc_id", "n", "set_key")
-    classes = materialize(light.where("n > 0 and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep")))
-    reps = all_rows.join(classes.select(F.col("rep").alias("doc_id"), "set_key"), ["doc_id", "set_key"], "left_semi")
-    grams = reps.select(F.explode("prefix").alias("gram"), "n", "doc_id")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    blocks = grams.repartition(parts, "gram").sortWithinPartitions("gram", "n", "doc_id")
-    found = materialize(blocks.mapInPandas(scan_runs(percent, hot_run), "u long, v long, nu long, nv long, c long, gram long, n long, doc_id long"))
-    bits = all_rows.select("doc_id", "n", "bits").where("n > 0 and doc_id is not null").dropDuplicates(["doc_id"])
-    hot = found.where("gram is not null").select("gram", "n", "doc_id")
-    any_hot = bool(hot.limit(1).count())
-
-    def labels(df: DataFrame, comps: DataFrame | None, columns: dict[str, str]) -> DataFrame:
-        for c, label in columns.items():
-            if comps is None:
-                df = df.withColumn(label, F.col(c))
-            else:
-                df = df.join(comps.select(F.col("id").alias(c), F.col("component").alias(label)), c, "left").withColumn(label, F.coalesce(label, c))
-        return df
-
-    def pairs_of_hot(rows: DataFrame, comps: DataFrame | None, forest: bool) -> DataFrame:
-        rows = labels(rows, comps, {"doc_id": "label"})
-        mixed = rows.groupBy("gram").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("gram")
-        rows = rows.join(mixed, "gram", "left_semi").join(bits.select("doc_id", "bits"), "doc_id")
-        made = rows.repartition(parts, "gram").sortWithinPartitions("gram", "n", "doc_id").mapInPandas(hot_pairs(percent, forest), "u long, v long, rank double")
-        return made.groupBy("u", "v").agg(F.max("rank").alias("rank"))
+    rows = materialize(sketches(docs, frequent_columns(docs, words, hot_run), words, percent))
+    light = rows.select("doc_id", "n", "set_key")
+    nodes = rows.where("n > 0 and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()))
+    grams = nodes.select(F.explode("prefix").alias("gram"), "n", "node").repartition(parts, "gram").sortWithinPartitions("gram", "n", "node")
+    found = materialize(grams.mapInPandas(scan_runs(percent, hot_run), "u long, v long, nu long, nv long, c long, gram long, n long, node long"))
+    hot = found.where("gram is not null").select("gram", "n", "node")
 
     # every pair that shares no hot column has its whole count of shared prefix columns here, so the bound on what
     # the rest of the two sets can add holds; pairs that share a hot column are taken up with the hot rows as well
-    def rest(n: str):
+    def rest(n: str) -> Column:
         return F.ceil(F.lit(percent) * F.col(n) / 100) - 1
 
     share = F.col("c") / (F.least(F.col("nu") - rest("nu"), F.col("nv") - rest("nv")))
     counted = found.where("u is not null").groupBy("u", "v", "nu", "nv").agg(F.sum("c").alias("c"))
     counted = counted.where(F.col("c") + F.greatest(rest("nu"), rest("nv")) >= F.ceil(F.lit(percent) * (F.col("nu") + F.col("nv")) / (100 + percent)))
-    open_pairs = counted.select("u", "v", (share / (2 - F.least(share, F.lit(1.0)))).alias("rank"))
-    if any_hot:
-        # a document's smallest and largest hot column, which near copies mostly share: two runs for each, not hundreds
-        ends = hot.groupBy("doc_id", "n").agg(F.min("gram").alias("a"), F.max("gram").alias("b"))
-        ends = ends.select(F.explode(F.array_distinct(F.array("a", "b"))).alias("gram"), "n", "doc_id")
-        open_pairs = open_pairs.unionByName(pairs_of_hot(ends, None, True)).groupBy("u", "v").agg(F.max("rank").alias("rank"))
-    open_pairs = materialize(open_pairs)
-
-    def near(pairs: DataFrame) -> DataFrame:
-        """Those within the bitmap bound."""
-
-        @F.pandas_udf("boolean")
-        def fits(xb: pd.Series, yb: pd.Series, most: pd.Series) -> pd.Series:
-            return pd.Series([int(np.bitwise_count(folded(x, min(len(x), len(y))) ^ folded(y, min(len(x), len(y)))).sum()) <= m for x, y, m in zip(xb, yb, most)], dtype=bool)
-
-        a, b = bits.select(F.col("doc_id").alias("u"), F.col("n").alias("nu"), F.col("bits").alias("xb")), bits.select(F.col("doc_id").alias("v"), F.col("n").alias("nv"), F.col("bits").alias("yb"))
-        total = F.col("nu") + F.col("nv")
-        most = total - 2 * F.ceil(F.lit(percent) * total / (100 + percent))
-        return pairs.join(a, "u").join(b, "v").where(fits("xb", "yb", most)).select("u", "v")
-
-    # groups of candidates: a passage that two texts share is far under the bound, so these are families of copies
-    family = materialize(connected_components(open_pairs).select(F.col("id").alias("doc_id"), F.col("component").alias("group")))
-    sizes = family.join(bits.select("doc_id", "n"), "doc_id").groupBy("group").agg(F.sum("n").alias("members"))
-    large = materialize(sizes.where(F.col("members") > group_members).select("group"))
-    placed = open_pairs.join(family.withColumnRenamed("doc_id", "u"), "u")
-    links = verified_groups(placed.join(F.broadcast(large), "group", "left_anti"), family.join(F.broadcast(large), "group", "left_anti"), docs, words, percent)
-    comps = materialize(connected_components(links))
-    open_pairs = materialize(placed.join(F.broadcast(large), "group", "left_semi").select("u", "v", "rank"))
-
-    # the largest groups: pairs travel, each with its two sets
-    for _ in range(_ROUNDS if large.limit(1).count() else 0):  # the likest pair of each component
-        crossing = labels(open_pairs, comps, {"u": "lu", "v": "lv"}).where("lu <> lv")
-        best = crossing.select(F.explode(F.array("lu", "lv")).alias("label"), "rank", "u", "v").groupBy("label").agg(F.max(F.struct("rank", "u", "v")).alias("m"))
-        best = materialize(best.select("m.u", "m.v", "m.rank").distinct())
-        if not best.limit(1).count():
-            break
-        ok = verified(best.where("rank >= 0.5").select("u", "v"), docs, words, percent)
-        still = materialize(crossing.join(best.where("rank >= 0.5").select("u", "v"), ["u", "v"], "left_anti").select("u", "v", "rank"))
-        discard(open_pairs)
-        open_pairs = still
-        if not ok.limit(1).count():
-            break
-        links = materialize(links.unionByName(ok))
+    pairs = materialize(counted.select("u", "v", "nu", "nv", share.alias("rank")))
+
+    # whole sets travel for rows of hot columns and of candidates only
+    ends = materialize(hot.groupBy("node", "n").agg(F.min("gram").alias("first"), F.max("gram").alias("last")))
+    sets = whole_sets(docs, nodes, ends.select("node").unionByName(pairs.select(F.explode(F.array("u", "v")).alias("node"))), words)
+    links = None
+    comps = docs.sparkSession.createDataFrame([], "id long, component long")
+
+    def product(homes: DataFrame, visits: DataFrame | None = None) -> DataFrame:
+        """Links of blocks: ``homes`` and ``visits`` have (kind, key, part, node, label)."""
+        sent = homes.withColumn("role", F.lit(0))
+        sent = sent if visits is None else sent.unionByName(visits.withColumn("role", F.lit(1)))
+        sent = sent.join(sets, "node").select("kind", "key", "part", "role", "node", "label", "members")
+        dealt = sent.repartition(parts, "kind", "key", "part").sortWithinPartitions("kind", "key", "part", "role", "node")
+        return materialize(dealt.mapInPandas(block_links(percent), "u long, v long"))
+
+    def take_up(new: DataFrame) -> None:
+        nonlocal links, comps
+        links = new if links is None else materialize(links.unionByName(new))
         comps = materialize(connected_components(links))
-    if open_pairs.limit(1).count():
-        left = materialize(near(labels(open_pairs, comps, {"u": "lu", "v": "lv"}).where("lu <> lv").select("u", "v")))
-        links = materialize(links.unionByName(verified(left, docs, words, percent)))
-        comps = materialize(connected_components(links))
-    for forest in (True, False) if any_hot else ():
-        ok = verified(materialize(pairs_of_hot(hot, comps, forest).select("u", "v")), docs, words, percent)
-        links = materialize(links.unionByName(ok))
-        comps = materialize(connected_components(links))
-    discard(found)
-    with_rep = light.join(classes, "set_key", "left").select("doc_id", "n", F.when(F.col("n") > 0, F.coalesce("rep", "doc_id")).otherwise(F.col("doc_id")).alias("rep"))
-    return with_rep.join(comps.withColumnRenamed("id", "rep"), "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep")).alias("component_id"))
+
+    any_hot = bool(ends.limit(1).count())
+    for turn, gram in enumerate(("first", "last") if any_hot else ()):
+        now = _labelled(ends.select("node", "n", F.col(gram).alias("key")), comps, {"node": "label"})
+        cut = now.groupBy("key").agg(_blocks(F.count(F.lit(1)), F.sum("n")).alias("blocks"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi")
+        homes = now.join(cut, "key").select(F.lit(1).alias("kind"), "key", F.pmod(F.xxhash64("node", F.lit(turn)), "blocks").alias("part"), "node", "label")
+        take_up(product(homes))
+
+    # candidates of the columns that are not hot, group by group
+    if pairs.limit(1).count():
+        apart = _labelled(pairs, comps, {"u": "lu", "v": "lv"}).where("lu <> lv")
+        asked = materialize(apart.join(connected_components(pairs).select(F.col("id").alias("u"), F.col("component").alias("group")), "u"))
+        weight = asked.groupBy("group").agg(F.sum(F.col("nu") + F.col("nv")).alias("members"))
+        asked = asked.join(weight, "group").withColumn("part", F.pmod(F.xxhash64("u"), F.ceil(F.col("members") / group_members).cast("long")))
+        needed = asked.select("group", "part", F.explode(F.array("u", "v")).alias("node")).distinct().join(sets, "node")
+        known = needed.select("group", "part", F.lit(0).alias("step"), "node", *(F.lit(None).cast("long").alias(c) for c in ("v", "lu", "lv")), F.lit(0.0).alias("order"), "members")
+        asked = asked.select("group", "part", F.lit(1).alias("step"), F.col("u").alias("node"), "v", "lu", "lv", (-F.col("rank")).alias("order"), F.lit(None).cast("binary").alias("members"))
+        sent = known.unionByName(asked).repartition(parts, "group", "part").sortWithinPartitions("group", "part", "step", "order", "node", "v")
+        take_up(materialize(sent.mapInPandas(group_links(percent), "u long, v long")))
+
+    # hot columns that still hold several labels
+    if any_hot:
+        now = _labelled(hot, comps, {"node": "label"})
+        several = now.groupBy("gram").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("gram")
+        mixed = materialize(now.join(several, "gram", "left_semi"))
+        if mixed.limit(1).count():
+            take_up(product(*settling(mixed, percent)))
+
+    twins = materialize(light.where("doc_id is not null").groupBy("doc_id").agg(F.min("set_key").alias("a"), F.max("set_key").alias("b"), F.count("set_key").alias("k"), F.count(F.lit(1)).alias("m")).where("a < b or (0 < k and k < m)").select("doc_id"))
+    if twins.limit(1).count():  # the texts of one document are linked, whatever they say
+        texts = light.join(twins, "doc_id", "left_semi").join(nodes.select("set_key", "node"), "set_key").select("doc_id", "node").distinct()
+        first = texts.groupBy("doc_id").agg(F.min("node").alias("u"))
+        take_up(texts.join(first, "doc_id").where("u < node").select("u", F.col("node").alias("v")))
+    named = _labelled(nodes.select("node", "set_key", "rep"), comps, {"node": "label"})
+    named = named.join(named.groupBy("label").agg(F.min("rep").alias("component_id")), "label").select("set_key", "component_id")
+    out = light.join(named, "set_key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+    if twins.limit(1).count():  # also for their texts without words
+        least = out.join(twins, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("component_id").alias("least"))
+        out = out.join(least, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("least", "component_id").alias("component_id"))
+    for spent in (found, pairs, sets):
+        discard(spent)
+    return out
+
+
+def settling(mixed: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(homes, visits) over rows (gram, n, node, label) of hot columns that hold several labels.
+
+    A row's home is a block of its label, where that has over ``BLOCK_ROWS`` rows here, else a block of its first
+    column. It visits the blocks with which it shares a column and that stand later in one order of blocks (small
+    labels and mixed blocks first), unless all in there have its label or no length there fits.
+    """
+    at_home = mixed.groupBy("node", "n", "label").agg(F.min("gram").alias("first"))
+    size = at_home.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
+    large = F.col("size") > BLOCK_ROWS
+    placed = at_home.join(size, "label").select("node", "n", "label", F.when(large, 0).otherwise(1).alias("kind"), F.when(large, F.col("label")).otherwise(F.col("first")).alias("key"), F.when(large, F.col("size")).otherwise(0).alias("size"))
+    cut = placed.groupBy("kind", "key").agg(_blocks(F.count(F.lit(1)), F.sum("n")).alias("blocks"))
+    homes = materialize(placed.join(cut, ["kind", "key"]).select("node", "n", "label", "kind", "key", F.pmod(F.xxhash64("node", F.lit(7)), "blocks").alias("part"), "size"))
+    block = F.struct("size", "kind", "key", "part")
+    rows = mixed.select("gram", "node").join(homes, "node")
+    lengths = homes.groupBy("kind", "key", "part").agg(F.min("n").alias("shortest"), F.max("n").alias("longest"))
+    blocks = rows.select("gram", "kind", "key", "part", "size", block.alias("block")).distinct().join(lengths, ["kind", "key", "part"])
+    most = rows.groupBy("gram").agg(F.max(F.when(F.col("kind") == 0, F.struct("size", "key"))).alias("most"))
+    # rows of a column's largest label are only visited
+    guests = rows.select("gram", "node", "n", "label", block.alias("own"), (F.col("kind") == 0).alias("pure"), F.struct("size", "key").alias("mine")).join(most, "gram").where(~(F.col("pure") & F.coalesce(F.col("mine") == F.col("most"), F.lit(False))))
+    met = guests.select("gram", "node", "n", "label", "own").join(blocks, "gram").where(F.col("own") < F.col("block")).where("not (kind = 0 and key = label)")
+    met = met.where((100 * F.col("n") >= percent * F.col("shortest")) & (100 * F.col("longest") >= percent * F.col("n")))
+    visits = met.select("kind", "key", "part", "node", "label").distinct()
+    return homes.select("kind", "key", "part", "node", "label"), visits
 
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -142,6 +142,47 @@ def test_ngram_join_equals_brute_force(spark, docs, hot, members):
     assert len(set(want.values())) < len(want)
 
 
+def test_hot_columns_settle_in_blocks(spark, monkeypatch):
+    """Chains of which only neighbours link, two families and strangers under one common passage, in blocks of three."""
+    monkeypatch.setattr(ngram_join, "BLOCK_ROWS", 3)
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(400)]
+    passage = [rng.choice(words) for _ in range(60)]
+    rows = []
+    for family in range(2):
+        text = [rng.choice(words) for _ in range(30)] + passage
+        for _ in range(40):
+            text[rng.randrange(30)] = rng.choice(words)
+            rows.append((len(rows), " ".join(text)))
+    for _ in range(30):
+        rows.append((len(rows), " ".join(passage + [rng.choice(words) for _ in range(rng.choice([3, 14, 17, 18, 60]))])))
+    rng.shuffle(rows)
+    sets = {i: shingles(t) for i, t in rows}
+    want = groups(similar(sets), sets)
+    assert 3 < len(set(want.values())) < 100
+    got = ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), hot_run=2).collect()
+    assert {r.doc_id: r.component_id for r in got} == want
+
+
+def test_rows_that_share_a_doc_id_keep_every_link(spark):
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [(1, a), (5, a + " x"), (5, b), (9, b + " y"), (9, b + " y"), (12, ""), (12, b + " z"), (14, "alone")]
+    got = ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(1, 1), (5, 1), (5, 1), (9, 1), (9, 1), (12, 1), (12, 1), (14, 14)]
+
+
+def test_large_families_leave_a_forest(spark):
+    """Pairs that leave the hot columns follow the rows, not their square."""
+    rng = random.Random(12)
+    base = [f"w{i}" for i in range(120)]
+    made = {}
+    for n in (200, 400):
+        rows = [(i, " ".join(w if rng.random() > 0.01 else f"r{rng.random()}" for w in base)) for i in range(n)]
+        df = spark.createDataFrame([(1, 5, 0, 0, i, i, ngram_join.shingle_hashes(t).tobytes()) for i, t in rows], "kind int, key long, part long, role int, node long, label long, members binary")
+        made[n] = df.coalesce(1).mapInPandas(ngram_join.block_links(75), "u long, v long").count()
+    assert made[200] < 200 and made[400] < 400
+
+
 def test_ngram_join_on_awkward_tables(odd, nothing):
     got = [tuple(r) for r in ngram_join.jaccard_components(odd).collect()]
     assert sorted(got, key=str) == sorted([(1, 0, 1), (2, 0, 2), (3, 0, 3), (4, 6, 4), (4, 6, 4), (5, 6, 4), (None, 3, None), (6, 6, 6), (7, 7, 6), (8, len(shingles(ODD[-1][1])), 8)], key=str)
