@@ -1,41 +1,61 @@
-"""Byte-level BPE encoding and decoding with Spark's higher-order functions (no Python on the executors).
+"""Byte-level BPE encoding and decoding: Spark's higher-order functions fold the distinct words.
 
-The rank map is a literal: an array of 65,536 small maps, addressed by the CRC-32 of a piece, so a lookup costs the
-same for any vocabulary size. A word is the array of its bytes (each byte as one Latin-1 character); a fold over its
-possible merges joins the leftmost pair of lowest rank until no pair has a rank, as the published byte-pair encoders
-do. Decoding concatenates the pieces of the ids.
+Encoding is one narrow stage without a shuffle, so a lost executor costs no more than its tasks:
 
-Distinct words repeat, so the commonest of them are folded once and become a second literal of bounded size; any other
-word is folded where it stands. That literal changes the cost and never a result, so it may come from a bounded sample.
+1. A pass over the texts cuts them into words. A word that is itself a piece has its id; any other gets a number, and
+   its byte array leaves once in a task, ahead of the first document that needs it.
+2. Higher-order functions fold these byte arrays: the leftmost pair of lowest rank is joined until no pair has a rank,
+   as the published encoders do. The rank map of pairs of ids is a literal: a perfect hash of two arrays, so a lookup
+   is two reads and an XOR at any size.
+3. The next pass receives the folded words in the same order and writes the ids of each document.
+
+Decoding concatenates the binary pieces of the ids.
+
+Bounds: a task holds at most ``most_words`` folded words and then begins anew, which costs time and changes nothing. A
+fold of n bytes costs n^2 small steps, so words of over ``LONG_WORD`` bytes are joined by a heap (n log n) in the first
+pass instead, to the same ids; tests hold both against the library.
 
 Defined results: a null or empty text has no ids and decodes to no bytes; a null doc_id keeps its row; repeated rows
-all come back; an empty table gives an empty one; extra columns pass through ``encode`` and ``decode``. Whole texts
-are read; a single unbroken word of n bytes costs n^2 simple steps.
+all come back; an empty table gives an empty one; whole texts are read; extra columns pass through ``encode`` and
+``decode``, whose own columns win a clash of names; columns named ``_words``, ``_done``, ``_first`` or ``_numbers`` are
+refused by ``encode``.
 """
 
 from __future__ import annotations
 
 import base64
+import heapq
 import json
-import zlib
+import random
+from collections.abc import Iterator
 from pathlib import Path
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import table
 
-_NONE = 2**31 - 1
-_SPACE = r"\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+_SPACE = r"\t-\r \x85\xA0  -     　"
+#: Words of more bytes are not folded by higher-order functions.
+LONG_WORD = 1024
+_ROW_WORDS = 512
+_ID_BITS, _RANK_BITS = 20, 22
+_NONE = 1 << _RANK_BITS
 
 
-def java_pattern(pattern: str) -> str:
-    """The same pattern for Java, whose \\s and \\S know ASCII alone."""
+def unicode_spaces(pattern: str) -> str:
+    """The same pattern with \\s and \\S written out, as Python counts four control characters among them as well."""
     out, inside, i = [], False, 0
     while i < len(pattern):
         two = pattern[i : i + 2]
         if two in (r"\s", r"\S"):
-            out.append(_SPACE if inside and two == r"\s" else f"[{_SPACE}]" if two == r"\s" else f"[^{_SPACE}]")
+            if inside and two == r"\S":
+                raise ValueError("\\S inside a class can't be written out")
+            out.append(_SPACE if inside else f"[{_SPACE}]" if two == r"\s" else f"[^{_SPACE}]")
             i += 2
         elif two[:1] == "\\":
             out.append(two)
@@ -56,89 +76,220 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def joined_pairs(ranks: dict[bytes, int]) -> dict[int, dict[int, int]]:
+    """Left id to right id to the id of the two pieces together."""
+    out: dict[int, dict[int, int]] = {}
+    for piece, joined in ranks.items():
+        for i in range(1, len(piece)):
+            left, right = ranks.get(piece[:i]), ranks.get(piece[i:])
+            if left is not None and right is not None:
+                out.setdefault(left, {})[right] = joined
+    return out
+
+
+def _prime(least: int) -> int:
+    n = least | 1
+    while any(n % k == 0 for k in range(3, int(n**0.5) + 1, 2)):
+        n += 2
+    return n
+
+
+def displaced(pairs: dict[int, dict[int, int]]) -> tuple[list[int], list[int]]:
+    """(shifts, entries): a perfect hash of the pairs. With ``key = left * 2^20 + right``, the joined id is
+    ``entries[(key + shifts[key % len(shifts)]) % len(entries)] ^ (key << 22)``, and a pair without a rank gives at
+    least 2^22. Groups of keys with one shift are placed from the largest."""
+    joined = {(left << _ID_BITS) + right: r for left, row in pairs.items() for right, r in row.items()}
+    p, q = _prime(max(3, len(joined) // 3)), _prime(max(5, len(joined) * 3 // 2))
+    groups: dict[int, list[int]] = {}
+    for key in joined:
+        groups.setdefault(key % p, []).append(key)
+    empty = 1 << (2 * _ID_BITS + _RANK_BITS)
+    shifts, entries = [0] * p, [empty] * q
+    rng = random.Random(0)
+    for at, keys in sorted(groups.items(), key=lambda x: (-len(x[1]), x[0])):
+        while True:
+            d = rng.randrange(q)
+            slots = [(k + d) % q for k in keys]
+            if all(entries[s] == empty for s in slots) and len({*slots}) == len(slots):
+                break
+        shifts[at] = d
+        for s, k in zip(slots, keys):
+            entries[s] = (k << _RANK_BITS) ^ joined[k]
+    return shifts, entries
+
+
+def heap_fold(word: bytes, byte_ids: list[int], pairs: dict[int, dict[int, int]]) -> list[int]:
+    """The ids of one word by a heap of pairs and a linked list, in n log n."""
+    ids: list[int | None] = [byte_ids[x] for x in word]
+    after, before = list(range(1, len(ids) + 1)), list(range(-1, len(ids) - 1))
+    rank = lambda i: pairs.get(ids[i], {}).get(ids[after[i]]) if after[i] < len(ids) else None
+    heap = [(r, i, ids[i], ids[after[i]]) for i in range(len(ids)) if (r := rank(i)) is not None]
+    heapq.heapify(heap)
+    while heap:
+        r, i, left, right = heapq.heappop(heap)
+        j = after[i]
+        if ids[i] != left or j >= len(ids) or ids[j] != right:
+            continue
+        ids[i], ids[j], after[i] = r, None, after[j]
+        if after[i] < len(ids):
+            before[after[i]] = i
+        for k in (before[i], i):
+            if k >= 0 and (x := rank(k)) is not None:
+                heapq.heappush(heap, (x, k, ids[k], ids[after[k]]))
+    return [x for x in ids if x is not None]
+
+
+class _Numbers(dict):
+    """Word to number: the negative of an id and one for a piece, a running number for any other word."""
+
+    def __init__(self, pieces: dict[str, int]):
+        super().__init__(pieces)
+        self.new: list[str] = []
+        self.next = 0
+
+    def __missing__(self, word: str) -> int:
+        self.new.append(word)
+        self[word] = n = self.next
+        self.next += 1
+        return n
+
+
 class BytePairCodec:
-    def __init__(self, ranks: dict[bytes, int], pattern: str, bits: int = 16):
-        self.mask = (1 << bits) - 1
-        self.pattern = java_pattern(pattern)
-        self.rank_map = self._literal({k.decode("latin-1"): v for k, v in ranks.items()}, "int")
-        pieces = [""] * (max(ranks.values(), default=-1) + 1)
-        for k, v in ranks.items():
-            pieces[v] = k.decode("latin-1")
-        self.pieces = F.from_json(F.lit(json.dumps(pieces)), "array<string>")
-        self.words: Column | None = None
-
-    def _literal(self, entries: dict[str, object], kind: str) -> Column:
-        buckets: list[dict] = [{} for _ in range(self.mask + 1)]
-        for k, v in entries.items():
-            buckets[zlib.crc32(k.encode()) & self.mask][k] = v
-        return F.from_json(F.lit(json.dumps(buckets)), f"array<map<string,{kind}>>")
-
-    def _find(self, literal: Column, key: Column) -> Column:
-        at = F.crc32(key.cast("binary")).bitwiseAND(F.lit(self.mask)).cast("int") + 1
-        return F.element_at(F.element_at(literal, at), key)
-
-    def fold(self, word: Column, ranks: Column) -> Column:
-        """Ids of one word, joined by commas; ``ranks`` is the rank map, bound once by ``let``."""
-
-        def rank(piece: Column) -> Column:
-            return F.coalesce(self._find(ranks, piece), F.lit(_NONE))
+    def __init__(self, ranks: dict[bytes, int], pattern: str, most_words: int = 200_000):
+        """Every byte must be a piece. ``most_words`` bounds the folded words that a task holds."""
+        self.ranks, self.pattern, self.most_words = ranks, unicode_spaces(pattern), most_words
+        self.pairs = joined_pairs(ranks)
+        self.byte_ids = [ranks[bytes([i])] for i in range(256)]
+        self.edge = max(ranks.values()) + 1  # stands before and behind a word; no pair with it has a rank
+        if self.edge >> _ID_BITS:
+            raise ValueError("ids over 2^20 have no place in the rank map")
+        shifts, entries = displaced(self.pairs)
+        self.sizes = len(shifts), len(entries)
+        literal = {"bytes": self.byte_ids, "shifts": shifts, "entries": entries}
+        self.rank_map = F.from_json(F.lit(json.dumps(literal, separators=(",", ":"))), "bytes array<bigint>, shifts array<bigint>, entries array<bigint>")
+
+    def fold(self, word: Column, literal: Column) -> Column:
+        """Ids of one word (an array of byte values), joined by commas; ``literal`` is the rank map, bound by ``let``."""
+
+        def rank(left: Column, right: Column) -> Column:
+            key = F.shiftleft(left, _ID_BITS) + right
+            return F.get(literal["entries"], (key + F.get(literal["shifts"], key % self.sizes[0])) % self.sizes[1]).bitwiseXOR(F.shiftleft(key, _RANK_BITS))
+
+        def merged(p: Column, r: Column, low: Column, at: Column) -> Column:
+            all_of = F.lit(2**30)
+            return F.struct(
+                F.concat(F.slice(p, F.lit(1), at - 1), F.array(low), F.slice(p, at + 2, all_of)).alias("p"),
+                F.concat(F.slice(r, F.lit(1), at - 2), F.array(rank(F.get(p, at - 2), low), rank(low, F.get(p, at + 1))), F.slice(r, at + 2, all_of)).alias("r"),
+            )
 
         def step(state: Column) -> Column:
             p, r = state["p"], state["r"]
-            low = F.array_min(r)
-
-            def merged(at: Column) -> Column:
-                mid = F.concat(F.element_at(p, at), F.element_at(p, at + 1))
-                before = F.when(at > 1, F.array(rank(F.concat(F.element_at(p, F.greatest(at - 1, F.lit(1))), mid)))).otherwise(F.array().cast("array<int>"))
-                after = F.when(at + 1 < F.size(p), F.array(rank(F.concat(mid, F.element_at(p, F.least(at + 2, F.size(p))))))).otherwise(F.array().cast("array<int>"))
-                return F.struct(
-                    F.concat(F.slice(p, 1, at - 1), F.array(mid), F.slice(p, at + 2, F.size(p))).alias("p"),
-                    F.concat(F.slice(r, 1, F.greatest(at - 2, F.lit(0))), before, after, F.slice(r, at + 2, F.size(p))).alias("r"),
-                )
-
-            return F.when(F.coalesce(low, F.lit(_NONE)) == _NONE, state).otherwise(let(F.array_position(r, low).cast("int"), merged))
-
-        def folded(latin: Column) -> Column:
-            n = F.length(latin)
-            pieces = F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(latin, i, F.lit(1)))
-            firsts = F.transform(F.sequence(F.lit(1), n - 1), lambda i: rank(F.substring(latin, i, F.lit(2))))
-            start = F.struct(pieces.alias("p"), firsts.alias("r"))
-            done = F.aggregate(F.sequence(F.lit(1), n - 1), start, lambda s, _: step(s), lambda s: s["p"])
-            return F.array_join(F.transform(done, lambda x: rank(x).cast("string")), ",")
-
-        def whole(latin: Column) -> Column:
-            return let(self._find(ranks, latin), lambda known: F.when(known.isNotNull(), known.cast("string")).otherwise(folded(latin)))
-
-        return let(F.decode(word.cast("binary"), "ISO-8859-1"), whole)
-
-    def split_words(self, text: Column) -> Column:
-        return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(self.pattern), F.lit(0))
-
-    def learn_words(self, docs: DataFrame, text: str = "text", most_words: int = 65_536, most_docs: int = 20_000) -> None:
-        """Fold the commonest distinct words of about ``most_docs`` documents once, into a literal of ``most_words``."""
-        total = max(docs.count(), 1)
-        drawn = docs.where(F.pmod(F.xxhash64(text), F.lit(1_000_000)) < int(1_000_000 * min(1.0, most_docs / total)))
-        counted = drawn.select(F.explode(self.split_words(F.col(text))).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")).where("length(w) <= 64")
-        common = counted.orderBy(F.desc("n"), "w").limit(most_words).select("w")
-        made = common.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))).select("w", let(self.rank_map, lambda ranks: self.fold(F.col("w"), ranks)).alias("ids"))
-        self.words = self._literal({r.w: r.ids for r in made.collect()}, "string")
-
-    def encode(self, docs: DataFrame, text: str = "text", to: str = "ids") -> DataFrame:
-        """``docs`` with the decimal ids of each text, joined by commas."""
-
-        words = self.split_words(F.col(text))
-        if self.words is None:
-            ids = let(self.rank_map, lambda ranks: F.transform(words, lambda w: self.fold(w, ranks)))
-        else:
-            both = F.struct(self.rank_map.alias("ranks"), self.words.alias("known"))
-            ids = let(both, lambda m: F.transform(words, lambda w: F.coalesce(self._find(m["known"], w), self.fold(w, m["ranks"]))))
-        return docs.withColumn(to, F.array_join(ids, ","))
+            return let(F.array_min(r), lambda low: F.when(low >= _NONE, state).otherwise(let(F.array_position(r, low).cast("int"), lambda at: merged(p, r, low, at))))
+
+        edge = F.array(F.lit(self.edge).cast("bigint"))
+        start = let(F.concat(edge, F.transform(word, lambda b: F.get(literal["bytes"], b)), edge), lambda p: F.struct(p.alias("p"), F.zip_with(F.slice(p, F.lit(1), F.size(p) - 1), F.slice(p, F.lit(2), F.size(p) - 1), rank).alias("r")))
+        return F.aggregate(F.sequence(F.lit(1), F.size(word)), start, lambda s, _: step(s), lambda s: F.array_join(F.slice(s["p"], F.lit(2), F.size(s["p"]) - 2).cast("array<string>"), ","))
+
+    def encode(self, docs: DataFrame, text: str = "text", to: str = "ids", count: str = "n_tokens", keep_text: bool = True) -> DataFrame:
+        """``docs`` with the decimal ids of each text, joined by commas, and their number."""
+        own = {"_words", "_done", "_first", "_numbers"}
+        if clash := own & set(docs.columns):
+            raise ValueError(f"columns {sorted(clash)} are reserved")
+        rest = docs.select([c for c in docs.columns if c not in (to, count) and (keep_text or c != text)])
+        source = docs.select(*rest.columns, F.col(text).cast("string").alias("_words"))
+        pieces = {}
+        for piece, i in self.ranks.items():
+            try:
+                pieces[piece.decode()] = -1 - i
+            except UnicodeDecodeError:  # no text holds it alone
+                continue
+        sc = docs.sparkSession.sparkContext
+        shared = sc.broadcast((pieces, self.byte_ids, self.pairs, self.edge))  # as large as the vocabulary
+        pattern, most_words, width = self.pattern, self.most_words, len(rest.columns)
+
+        def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            import regex
+
+            find = regex.compile(pattern).findall
+            pieces, byte_ids, pairs, _ = shared.value
+            numbers = _Numbers(pieces)
+            sent = 0
+
+            def words_of(new: list[str], first: int, schema: pa.Schema) -> pa.RecordBatch:
+                raw = [w.encode() for w in new]
+                done = [",".join(map(str, heap_fold(w, byte_ids, pairs))) if len(w) > LONG_WORD else None for w in raw]
+                raw = [w if d is None else b"" for w, d in zip(raw, done)]
+                flat = np.frombuffer(b"".join(raw), np.uint8).astype(np.int32)
+                inner = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum([len(w) for w in raw])), pa.int32()), pa.array(flat))
+                starts = [*range(0, len(new), _ROW_WORDS)]
+                outer = pa.array([*starts, len(new)], pa.int32())
+                out = {"_words": pa.ListArray.from_arrays(outer, inner), "_done": pa.ListArray.from_arrays(outer, pa.array(done, pa.string())), "_first": pa.array([first + s for s in starts], pa.int32()), "_numbers": pa.nulls(len(starts), pa.binary())}
+                return pa.RecordBatch.from_arrays([pa.nulls(len(starts), f.type) for f in schema][:width] + [*out.values()], names=schema.names[:width] + [*out])
+
+            for batch in batches:
+                schema, coded = batch.schema, []
+                texts = batch.column(width)
+                begin = 0
+
+                def documents(begin: int, coded: list) -> pa.RecordBatch:
+                    n = len(coded)
+                    out = {"_words": pa.nulls(n, pa.list_(pa.list_(pa.int32()))), "_done": pa.nulls(n, pa.list_(pa.string())), "_first": pa.nulls(n, pa.int32()), "_numbers": pa.array(coded, pa.binary())}
+                    return pa.RecordBatch.from_arrays([batch.column(i).slice(begin, n) for i in range(width)] + [*out.values()], names=schema.names[:width] + [*out])
+
+                for k in range(len(texts)):
+                    t = texts[k].as_py()
+                    if numbers.next > most_words:  # no document needs words of two generations
+                        if coded:
+                            if numbers.new:
+                                yield words_of(numbers.new, sent, schema)
+                            yield documents(begin, coded)
+                            begin, coded = k, []
+                        numbers, sent = _Numbers(pieces), 0
+                    coded.append(np.array([numbers[w] for w in find(t)] if t else [], np.int32).tobytes())
+                if numbers.new:
+                    yield words_of(numbers.new, sent, schema)
+                    numbers.new, sent = [], numbers.next
+                if coded:
+                    yield documents(begin, coded)
+
+        plain = T.StructType([T.StructField(f.name, f.dataType, True) for f in rest.schema])
+        sent = source.mapInArrow(cut, T.StructType([*plain, *T._parse_datatype_string("_words array<array<int>>, _done array<string>, _first int, _numbers binary").fields]))
+        folded = F.when(F.col("_words").isNotNull(), let(self.rank_map, lambda literal: F.zip_with("_words", "_done", lambda w, d: F.coalesce(d, self.fold(w, literal)))))
+        sent = sent.select(*(F.col(f"`{c}`") for c in rest.columns), folded.alias("_words"), "_first", "_numbers")
+
+        def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            names = {n: str(-1 - n) for n in shared.value[0].values()}
+            known = len(names)
+            for batch in batches:
+                first, words, numbers = (batch.column(width + i) for i in (1, 0, 2))
+                rows, ids, size = [], [], []
+                for k, at in enumerate(first.to_pylist()):
+                    if at is None:
+                        ns = np.frombuffer(numbers[k].as_py(), np.int32)
+                        ids.append(",".join(map(names.__getitem__, ns.tolist())))
+                        size.append(ids[-1].count(",") + 1 if ids[-1] else 0)
+                        rows.append(k)
+                        continue
+                    if at == 0:
+                        if len(names) > known:
+                            names = {n: str(-1 - n) for n in shared.value[0].values()}
+                    names.update(enumerate(words[k].as_py(), at))
+                if rows:
+                    out = [batch.column(i).take(pa.array(rows)) for i in range(width)]
+                    yield pa.RecordBatch.from_arrays([*out, pa.array(ids, pa.string()), pa.array(size, pa.int64())], names=[*batch.schema.names[:width], to, count])
+
+        return sent.mapInArrow(write, T.StructType([*plain, T.StructField(to, T.StringType()), T.StructField(count, T.LongType())]))
 
     def decode(self, rows: DataFrame, ids: str = "ids", to: str = "decoded") -> DataFrame:
         """``rows`` with the bytes of comma-joined ids."""
-        listed = F.when(F.col(ids) == "", F.array().cast("array<int>")).otherwise(F.split(ids, ",").cast("array<int>"))
-        joined = F.array_join(F.transform(listed, lambda i: F.element_at(self.pieces, i + 1)), "")
-        return rows.withColumn(to, F.encode(joined, "ISO-8859-1"))
+        pieces = rows.sparkSession.sparkContext.broadcast({str(i): piece for piece, i in self.ranks.items()})
+
+        @F.pandas_udf("binary")
+        def concatenated(ids: pd.Series) -> pd.Series:
+            piece = pieces.value.__getitem__
+            return pd.Series([b"".join(map(piece, x.split(","))) if x else b"" for x in ids], dtype=object)
+
+        return rows.withColumn(to, concatenated(F.col(ids)))
 
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -146,7 +297,5 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     codec = BytePairCodec(load_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")), public_tokenizers.PATTERN)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    codec.learn_words(docs)
-    done = codec.decode(codec.encode(docs).drop("text"))
-    count = F.when(F.col("ids") == "", F.lit(0)).otherwise(F.length("ids") - F.length(F.translate("ids", ",", "")) + 1)
-    return done.select("doc_id", count.cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    done = codec.decode(codec.encode(docs, keep_text=False))
+    return done.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

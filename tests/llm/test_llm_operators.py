@@ -423,15 +423,32 @@ def test_chat_query_digests(spark, sf_dir):
 def test_bpe_equals_tiktoken(spark, odd, docs, nothing):
     ranks = bpe.load_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
     library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    codec = bpe.BytePairCodec(ranks, public_tokenizers.PATTERN)
-    rows = odd.select("doc_id", "text").unionByName(docs.limit(40)).unionByName(spark.createDataFrame([(900, "a\u00a0\u2003b\u3000 \u0085c  d\u200be"), (901, "x" * 3000), (902, "!!??" * 200 + "\n\n \t"), (903, "It's we'll I'D １２３ ⅷ")], "doc_id long, text string"))
-    for learn in (False, True):
-        if learn:
-            codec.learn_words(rows, most_words=500)
-        for r in codec.decode(codec.encode(rows)).collect():
+    rows = odd.unionByName(docs.limit(40), allowMissingColumns=True)
+    special = [(900, "a\u00a0\u2003b\u3000 \u0085c  d\u200be"), (901, "x" * 3000), (902, "!!??" * 200 + "\n\n \t"), (903, "It's we'll I'D １２３ ⅷ"), (904, "q\x1c\x1f z\u180e"), (905, "".join(random.Random(3).choice("abcdeé漢") for _ in range(5000))), (906, "zqx" * 341 + "z"), (907, "a" * 1025)]
+    rows = rows.unionByName(spark.createDataFrame(special, "doc_id long, text string"), allowMissingColumns=True)
+    for most_words in (200_000, 3):
+        codec = bpe.BytePairCodec(ranks, public_tokenizers.PATTERN, most_words)
+        got = codec.decode(codec.encode(rows)).collect()
+        assert len(got) == rows.count() and set(rows.columns) < set(got[0].asDict())
+        for r in got:
             want = library.encode_ordinary(r.text or "")
-            assert r.ids == ",".join(map(str, want)) and bytes(r.decoded) == (r.text or "").encode()
-    assert codec.encode(nothing).count() == 0
+            assert r.ids == ",".join(map(str, want)) and r.n_tokens == len(want) and bytes(r.decoded) == (r.text or "").encode()
+    assert codec.decode(codec.encode(nothing)).count() == 0
+    clash = spark.createDataFrame([(1, "some text", 7, "x")], "doc_id long, text string, ids long, decoded string")
+    assert codec.decode(codec.encode(clash)).first().ids == ",".join(map(str, library.encode_ordinary("some text")))
+
+
+def test_heap_and_fold_join_alike(spark):
+    ranks = bpe.load_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    codec = bpe.BytePairCodec(ranks, public_tokenizers.PATTERN)
+    rng = random.Random(6)
+    words = ["".join(rng.choice("etaoinsrhlé漢字xyz") for _ in range(rng.randint(2, 40))) for _ in range(500)]
+    df = spark.createDataFrame([([*w.encode()], w) for w in words], "word array<int>, w string")
+    for r in df.select("w", bpe.let(codec.rank_map, lambda m: codec.fold(F.col("word"), m)).alias("ids")).collect():
+        want = library._encode_single_piece(r.w)
+        if r.w.encode() not in ranks:
+            assert [int(x) for x in r.ids.split(",")] == want == bpe.heap_fold(r.w.encode(), codec.byte_ids, codec.pairs)
 
 
 # --- 10 packing ----------------------------------------------------------------------------------------------------
