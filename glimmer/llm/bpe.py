@@ -27,11 +27,13 @@ import base64
 import heapq
 import json
 import random
+import re
+import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 from pathlib import Path
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,12 +41,17 @@ from pyspark.sql import types as T
 
 from .common import table
 
-_SPACE = r"\t-\r \x85\xA0  -     　"
+_SPACE = r"\t-\r \x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
+#: Where a text has only characters under this one, letters and numbers are written out for the faster matcher.
+_NEAR = 0x250
 #: Words of more bytes are not folded by higher-order functions.
 LONG_WORD = 1024
 _ROW_WORDS = 512
 _ID_BITS, _RANK_BITS = 20, 22
 _NONE = 1 << _RANK_BITS
+#: A token in a fold is one long: rank of the pair that it opens, place in the word, id.
+_PLACE_BITS = 12
+_LOW = _PLACE_BITS + _ID_BITS
 
 
 def unicode_spaces(pattern: str) -> str:
@@ -67,6 +74,30 @@ def unicode_spaces(pattern: str) -> str:
     return "".join(out)
 
 
+def near_pattern(pattern: str) -> str:
+    """The same pattern for characters under ``_NEAR``, with \\p{L} and its like written out."""
+
+    def written(found: re.Match) -> str:
+        return "".join(re.escape(chr(c)) for c in range(_NEAR) if unicodedata.category(chr(c)).startswith(found[1]))
+
+    out, inside = [], False
+    for part in re.findall(r"\\p\{\w+\}|\\.|.", pattern, re.S):
+        inside = True if part == "[" else False if part == "]" else inside
+        if found := re.fullmatch(r"\\p\{(\w+)\}", part):
+            part = written(found) if inside else f"[{written(found)}]"
+        out.append(part)
+    return "".join(out)
+
+
+def word_finder(pattern: str):
+    """All matches of the pattern in a text."""
+    import regex
+
+    any_text, near_text = regex.compile(pattern).findall, re.compile(near_pattern(pattern)).findall
+    far = re.compile(f"[^\0-{chr(_NEAR - 1)}]").search
+    return lambda text: near_text(text) if far(text) is None else any_text(text)
+
+
 def load_ranks(path: str) -> dict[bytes, int]:
     return {base64.b64decode(a): int(b) for a, b in (line.split() for line in Path(path).read_bytes().splitlines() if line)}
 
@@ -139,8 +170,22 @@ def heap_fold(word: bytes, byte_ids: list[int], pairs: dict[int, dict[int, int]]
     return [x for x in ids if x is not None]
 
 
+def byte_array(words: list[bytes], ids: np.ndarray, first: np.ndarray) -> pa.ListArray:
+    """The byte array of each word between two edges, as a fold begins with it: each byte's id, its place, and the rank
+    of the byte pair that it opens, in one long."""
+    size = np.array([len(w) + 2 for w in words], np.int64)
+    starts = np.append(0, np.cumsum(size))
+    raw = np.full(int(starts[-1]), 256, np.int64)
+    inside = np.ones(len(raw), bool)
+    inside[starts[:-1]] = inside[starts[1:] - 1] = False
+    raw[inside] = np.frombuffer(b"".join(words), np.uint8)
+    ranks = first[raw, np.append(raw[1:], 256)]
+    place = np.arange(len(raw)) - np.repeat(starts[:-1], size)
+    return pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array((ranks << _LOW) + (place << _ID_BITS) + ids[raw]))
+
+
 class _Numbers(dict):
-    """Word to number: the negative of an id and one for a piece, a running number for any other word."""
+    """Word to number: under 0 for a piece or learnt word, a running number for any other."""
 
     def __init__(self, pieces: dict[str, int]):
         super().__init__(pieces)
@@ -161,133 +206,176 @@ class BytePairCodec:
         self.pairs = joined_pairs(ranks)
         self.byte_ids = [ranks[bytes([i])] for i in range(256)]
         self.edge = max(ranks.values()) + 1  # stands before and behind a word; no pair with it has a rank
-        if self.edge >> _ID_BITS:
-            raise ValueError("ids over 2^20 have no place in the rank map")
+        if self.edge >> _ID_BITS or LONG_WORD + 2 >> _PLACE_BITS:
+            raise ValueError("ids over 2^20 and words over 2^12 bytes have no place in a fold")
         shifts, entries = displaced(self.pairs)
         self.sizes = len(shifts), len(entries)
-        literal = {"bytes": self.byte_ids, "shifts": shifts, "entries": entries}
-        self.rank_map = F.from_json(F.lit(json.dumps(literal, separators=(",", ":"))), "bytes array<bigint>, shifts array<bigint>, entries array<bigint>")
+        self.rank_map = F.from_json(F.lit(json.dumps({"shifts": shifts, "entries": entries}, separators=(",", ":"))), "shifts array<bigint>, entries array<bigint>")
+        ids = np.array([*self.byte_ids, self.edge], np.int64)
+        first = np.full((257, 257), _NONE, np.int64)
+        for i, left in enumerate(self.byte_ids):
+            row = self.pairs.get(left, {})
+            first[i, :256] = [row.get(right, _NONE) for right in self.byte_ids]
+        self.byte_rows = ids, first
+        self.known: dict[str, str] = {}
 
     def fold(self, word: Column, literal: Column) -> Column:
-        """Ids of one word (an array of byte values), joined by commas; ``literal`` is the rank map, bound by ``let``."""
+        """Ids of one word, joined by commas. ``word`` is the byte array as ``byte_array`` makes it; ``literal`` is the
+        rank map, bound by ``let``."""
 
         def rank(left: Column, right: Column) -> Column:
             key = F.shiftleft(left, _ID_BITS) + right
-            return F.get(literal["entries"], (key + F.get(literal["shifts"], key % self.sizes[0])) % self.sizes[1]).bitwiseXOR(F.shiftleft(key, _RANK_BITS))
+            found = F.get(literal["entries"], (key + F.get(literal["shifts"], key % self.sizes[0])) % self.sizes[1]).bitwiseXOR(F.shiftleft(key, _RANK_BITS))
+            return F.shiftleft(F.least(found, F.lit(_NONE).cast("bigint")), _LOW)
 
-        def merged(p: Column, r: Column, low: Column, at: Column) -> Column:
-            all_of = F.lit(2**30)
-            return F.struct(
-                F.concat(F.slice(p, F.lit(1), at - 1), F.array(low), F.slice(p, at + 2, all_of)).alias("p"),
-                F.concat(F.slice(r, F.lit(1), at - 2), F.array(rank(F.get(p, at - 2), low), rank(low, F.get(p, at + 1))), F.slice(r, at + 2, all_of)).alias("r"),
-            )
+        def token(state: Column) -> Column:
+            return state.bitwiseAND((1 << _ID_BITS) - 1)
 
-        def step(state: Column) -> Column:
-            p, r = state["p"], state["r"]
-            return let(F.array_min(r), lambda low: F.when(low >= _NONE, state).otherwise(let(F.array_position(r, low).cast("int"), lambda at: merged(p, r, low, at))))
+        def merged(s: Column, low: Column, at: Column) -> Column:
+            joined, before, after = F.shiftright(low, _LOW), F.get(s, at - 2), F.get(s, at + 1)
+            place = ((1 << _PLACE_BITS) - 1) << _ID_BITS
+            middle = F.array(rank(token(before), joined) + before.bitwiseAND((1 << _LOW) - 1), rank(joined, token(after)) + low.bitwiseAND(place) + joined)
+            return F.flatten(F.array(F.slice(s, F.lit(1), at - 2), middle, F.slice(s, at + 2, F.lit(2**30))))
 
-        edge = F.array(F.lit(self.edge).cast("bigint"))
-        start = let(F.concat(edge, F.transform(word, lambda b: F.get(literal["bytes"], b)), edge), lambda p: F.struct(p.alias("p"), F.zip_with(F.slice(p, F.lit(1), F.size(p) - 1), F.slice(p, F.lit(2), F.size(p) - 1), rank).alias("r")))
-        return F.aggregate(F.sequence(F.lit(1), F.size(word)), start, lambda s, _: step(s), lambda s: F.array_join(F.slice(s["p"], F.lit(2), F.size(s["p"]) - 2).cast("array<string>"), ","))
+        def step(s: Column) -> Column:
+            # the least entry is the leftmost pair of lowest rank
+            return let(F.array_min(s), lambda low: F.when(low >= (_NONE << _LOW), s).otherwise(let(F.array_position(s, low).cast("int"), lambda at: merged(s, low, at))))
 
-    def encode(self, docs: DataFrame, text: str = "text", to: str = "ids", count: str = "n_tokens", keep_text: bool = True) -> DataFrame:
-        """``docs`` with the decimal ids of each text, joined by commas, and their number."""
-        own = {"_words", "_done", "_first", "_numbers"}
-        if clash := own & set(docs.columns):
-            raise ValueError(f"columns {sorted(clash)} are reserved")
-        rest = docs.select([c for c in docs.columns if c not in (to, count) and (keep_text or c != text)])
-        source = docs.select(*rest.columns, F.col(text).cast("string").alias("_words"))
-        pieces = {}
+        return F.aggregate(F.sequence(F.lit(1), F.size(word)), word, lambda s, _: step(s), lambda s: F.array_join(F.transform(F.slice(s, F.lit(2), F.size(s) - 2), lambda x: token(x).cast("string")), ","))
+
+    def learn_words(self, docs: DataFrame, text: str = "text", most_words: int = 200_000, most_docs: int = 20_000) -> None:
+        """Fold the commonest words of about ``most_docs`` documents (drawn by a hash) once for all tasks.
+
+        The bounded table that tasks then share changes the cost and never a result."""
+        total = max(docs.count(), 1)
+        drawn = docs.where(F.pmod(F.xxhash64(text), F.lit(1_000_000)) < int(1_000_000 * min(1.0, most_docs / total))).select(F.col(text).cast("string"))
+        pieces, pattern = self._pieces(), self.pattern
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            find, seen = word_finder(pattern), Counter()
+            for batch in batches:
+                for t in batch.column(0).to_pylist():
+                    seen.update(find(t) if t else ())
+                found = [(w, n) for w, n in seen.items() if w not in pieces and len(w) <= 64]
+                yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in found], pa.string()), pa.array([n for _, n in found], pa.int64())], names=["w", "n"])
+                seen = Counter()
+
+        common = drawn.mapInArrow(count, "w string, n long").groupBy("w").agg(F.sum("n").alias("n")).where("n > 1").orderBy(F.desc("n"), "w").limit(most_words)
+        rows = self.byte_rows
+
+        def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                words = batch.column(0).to_pylist()
+                yield pa.RecordBatch.from_arrays([batch.column(0), byte_array([w.encode() for w in words], *rows)], names=["w", "word"])
+
+        parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        made = common.select("w").repartition(parts).mapInArrow(arrays, "w string, word array<bigint>").select("w", let(self.rank_map, lambda literal: self.fold(F.col("word"), literal)).alias("ids")).toArrow()
+        self.known = dict(zip(made.column(0).to_pylist(), made.column(1).to_pylist()))
+
+    def _pieces(self) -> dict[str, int]:
+        """Pieces that are texts of their own, by the negative of their id and one."""
+        out = {}
         for piece, i in self.ranks.items():
             try:
-                pieces[piece.decode()] = -1 - i
-            except UnicodeDecodeError:  # no text holds it alone
+                out[piece.decode()] = -1 - i
+            except UnicodeDecodeError:
                 continue
-        sc = docs.sparkSession.sparkContext
-        shared = sc.broadcast((pieces, self.byte_ids, self.pairs, self.edge))  # as large as the vocabulary
+        return out
+
+    def encode(self, docs: DataFrame, text: str = "text", to: str = "ids", count: str = "n_tokens", decoded: str | None = None, keep_text: bool = True) -> DataFrame:
+        """``docs`` with the decimal ids of each text, joined by commas, and their number; with ``decoded`` also the
+        bytes that these ids decode to, in the same pass."""
+        own = {"_words", "_done", "_first", "_numbers"}
+        if clash := own & set(docs.columns):
+            raise ValueError(f"columns {sorted(clash)} are reserved")
+        rest = docs.select([c for c in docs.columns if c not in (to, count, decoded) and (keep_text or c != text)])
+        source = docs.select(*(F.col(f"`{c}`") for c in rest.columns), F.col(text).cast("string").alias("_words"))
+        numbered = self._pieces()
+        lowest = -1 - max(self.ranks.values())
+        named = {n: str(-1 - n) for n in numbered.values()}
+        for k, (word, ids) in enumerate(self.known.items(), 1):
+            numbered[word], named[lowest - k] = lowest - k, ids
+        # as large as the vocabulary and the learnt words
+        shared = docs.sparkSession.sparkContext.broadcast((numbered, named, self.byte_ids, self.byte_rows, self.pairs, {str(i): piece for piece, i in self.ranks.items()}))
         pattern, most_words, width = self.pattern, self.most_words, len(rest.columns)
 
         def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            import regex
-
-            find = regex.compile(pattern).findall
-            pieces, byte_ids, pairs, _ = shared.value
-            numbers = _Numbers(pieces)
+            find = word_finder(pattern)
+            numbered, _, byte_ids, byte_rows, pairs, _ = shared.value
+            numbers = _Numbers(numbered)
             sent = 0
 
-            def words_of(new: list[str], first: int, schema: pa.Schema) -> pa.RecordBatch:
-                raw = [w.encode() for w in new]
+            def words_of(schema: pa.Schema) -> pa.RecordBatch:
+                raw = [w.encode() for w in numbers.new]
                 done = [",".join(map(str, heap_fold(w, byte_ids, pairs))) if len(w) > LONG_WORD else None for w in raw]
-                raw = [w if d is None else b"" for w, d in zip(raw, done)]
-                flat = np.frombuffer(b"".join(raw), np.uint8).astype(np.int32)
-                inner = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum([len(w) for w in raw])), pa.int32()), pa.array(flat))
-                starts = [*range(0, len(new), _ROW_WORDS)]
-                outer = pa.array([*starts, len(new)], pa.int32())
-                out = {"_words": pa.ListArray.from_arrays(outer, inner), "_done": pa.ListArray.from_arrays(outer, pa.array(done, pa.string())), "_first": pa.array([first + s for s in starts], pa.int32()), "_numbers": pa.nulls(len(starts), pa.binary())}
+                inner = byte_array([w if d is None else b"" for w, d in zip(raw, done)], *byte_rows)
+                starts = [*range(0, len(raw), _ROW_WORDS)]
+                outer = pa.array([*starts, len(raw)], pa.int32())
+                out = {"_words": pa.ListArray.from_arrays(outer, inner), "_done": pa.ListArray.from_arrays(outer, pa.array(done, pa.string())), "_first": pa.array([sent + s for s in starts], pa.int32()), "_numbers": pa.nulls(len(starts), pa.binary())}
                 return pa.RecordBatch.from_arrays([pa.nulls(len(starts), f.type) for f in schema][:width] + [*out.values()], names=schema.names[:width] + [*out])
 
             for batch in batches:
-                schema, coded = batch.schema, []
-                texts = batch.column(width)
-                begin = 0
-
-                def documents(begin: int, coded: list) -> pa.RecordBatch:
-                    n = len(coded)
-                    out = {"_words": pa.nulls(n, pa.list_(pa.list_(pa.int32()))), "_done": pa.nulls(n, pa.list_(pa.string())), "_first": pa.nulls(n, pa.int32()), "_numbers": pa.array(coded, pa.binary())}
-                    return pa.RecordBatch.from_arrays([batch.column(i).slice(begin, n) for i in range(width)] + [*out.values()], names=schema.names[:width] + [*out])
+                schema, texts = batch.schema, batch.column(width)
+                begin, coded = 0, []
+
+                def documents() -> Iterator[pa.RecordBatch]:
+                    if numbers.new:
+                        yield words_of(schema)
+                        numbers.new = []
+                    if coded:
+                        n = len(coded)
+                        out = {"_words": pa.nulls(n, pa.list_(pa.list_(pa.int64()))), "_done": pa.nulls(n, pa.list_(pa.string())), "_first": pa.nulls(n, pa.int32()), "_numbers": pa.array(coded, pa.binary())}
+                        yield pa.RecordBatch.from_arrays([batch.column(i).slice(begin, n) for i in range(width)] + [*out.values()], names=schema.names[:width] + [*out])
 
                 for k in range(len(texts)):
                     t = texts[k].as_py()
                     if numbers.next > most_words:  # no document needs words of two generations
-                        if coded:
-                            if numbers.new:
-                                yield words_of(numbers.new, sent, schema)
-                            yield documents(begin, coded)
-                            begin, coded = k, []
-                        numbers, sent = _Numbers(pieces), 0
-                    coded.append(np.array([numbers[w] for w in find(t)] if t else [], np.int32).tobytes())
-                if numbers.new:
-                    yield words_of(numbers.new, sent, schema)
-                    numbers.new, sent = [], numbers.next
-                if coded:
-                    yield documents(begin, coded)
+                        yield from documents()
+                        begin, coded, numbers, sent = k, [], _Numbers(numbered), 0
+                    coded.append(np.fromiter(map(numbers.__getitem__, find(t)), np.int32).tobytes() if t else b"")
+                yield from documents()
+                sent = numbers.next
 
         plain = T.StructType([T.StructField(f.name, f.dataType, True) for f in rest.schema])
-        sent = source.mapInArrow(cut, T.StructType([*plain, *T._parse_datatype_string("_words array<array<int>>, _done array<string>, _first int, _numbers binary").fields]))
+        sent = source.mapInArrow(cut, T.StructType([*plain, *T._parse_datatype_string("_words array<array<bigint>>, _done array<string>, _first int, _numbers binary").fields]))
         folded = F.when(F.col("_words").isNotNull(), let(self.rank_map, lambda literal: F.zip_with("_words", "_done", lambda w, d: F.coalesce(d, self.fold(w, literal)))))
         sent = sent.select(*(F.col(f"`{c}`") for c in rest.columns), folded.alias("_words"), "_first", "_numbers")
+        names = [to, count] + [decoded] * bool(decoded)
 
         def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            names = {n: str(-1 - n) for n in shared.value[0].values()}
-            known = len(names)
+            _, named, *_, pieces = shared.value
+            new: list[str] = []  # by number; numbers under 0 are of pieces and learnt words
+            old, piece = named.__getitem__, pieces.__getitem__
             for batch in batches:
                 first, words, numbers = (batch.column(width + i) for i in (1, 0, 2))
-                rows, ids, size = [], [], []
+                rows, out = [], ([], [], [])
                 for k, at in enumerate(first.to_pylist()):
-                    if at is None:
-                        ns = np.frombuffer(numbers[k].as_py(), np.int32)
-                        ids.append(",".join(map(names.__getitem__, ns.tolist())))
-                        size.append(ids[-1].count(",") + 1 if ids[-1] else 0)
-                        rows.append(k)
+                    if at is not None:
+                        if at == 0:
+                            new = []
+                        new += words[k].as_py()
                         continue
-                    if at == 0:
-                        if len(names) > known:
-                            names = {n: str(-1 - n) for n in shared.value[0].values()}
-                    names.update(enumerate(words[k].as_py(), at))
+                    ns = np.frombuffer(numbers[k].as_py(), np.int32).tolist()
+                    said = ",".join([new[n] if n >= 0 else old(n) for n in ns])
+                    ids = said.split(",") if said else []
+                    rows.append(k)
+                    for column, value in zip(out, (said, len(ids), b"".join(map(piece, ids)) if decoded else None)):
+                        column.append(value)
                 if rows:
-                    out = [batch.column(i).take(pa.array(rows)) for i in range(width)]
-                    yield pa.RecordBatch.from_arrays([*out, pa.array(ids, pa.string()), pa.array(size, pa.int64())], names=[*batch.schema.names[:width], to, count])
+                    made = [pa.array(out[0], pa.string()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary())]
+                    yield pa.RecordBatch.from_arrays([batch.column(i).take(pa.array(rows)) for i in range(width)] + made[: len(names)], names=[*batch.schema.names[:width], *names])
 
-        return sent.mapInArrow(write, T.StructType([*plain, T.StructField(to, T.StringType()), T.StructField(count, T.LongType())]))
+        kinds = [T.StringType(), T.LongType(), T.BinaryType()]
+        return sent.mapInArrow(write, T.StructType([*plain, *(T.StructField(n, k) for n, k in zip(names, kinds))]))
 
     def decode(self, rows: DataFrame, ids: str = "ids", to: str = "decoded") -> DataFrame:
         """``rows`` with the bytes of comma-joined ids."""
         pieces = rows.sparkSession.sparkContext.broadcast({str(i): piece for piece, i in self.ranks.items()})
 
-        @F.pandas_udf("binary")
-        def concatenated(ids: pd.Series) -> pd.Series:
+        @F.arrow_udf("binary")
+        def concatenated(ids: pa.Array) -> pa.Array:
             piece = pieces.value.__getitem__
-            return pd.Series([b"".join(map(piece, x.split(","))) if x else b"" for x in ids], dtype=object)
+            return pa.array([b"".join(map(piece, x.split(","))) if x else b"" for x in ids.to_pylist()], pa.binary())
 
         return rows.withColumn(to, concatenated(F.col(ids)))
 
@@ -297,5 +385,6 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     codec = BytePairCodec(load_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")), public_tokenizers.PATTERN)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    done = codec.decode(codec.encode(docs, keep_text=False))
+    codec.learn_words(docs)
+    done = codec.encode(docs, decoded="decoded", keep_text=False)
     return done.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
