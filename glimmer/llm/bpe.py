@@ -13,7 +13,8 @@ Decoding concatenates the binary pieces of the ids.
 
 Bounds: a task holds at most ``most_words`` folded words and then begins anew, which costs time and changes nothing. A
 fold of n bytes costs n^2 small steps, so words of over ``LONG_WORD`` bytes are joined by a heap (n log n) in the first
-pass instead, to the same ids; tests hold both against the library.
+pass instead, to the same ids; tests hold both against the library. A table of the commonest words, learnt from a
+bounded sample and folded likewise, spares tasks the folds that they have in common.
 
 Defined results: a null or empty text has no ids and decodes to no bytes; a null doc_id keeps its row; repeated rows
 all come back; an empty table gives an empty one; whole texts are read; extra columns pass through ``encode`` and
@@ -47,6 +48,8 @@ _NEAR = 0x250
 #: Words of more bytes are not folded by higher-order functions.
 LONG_WORD = 1024
 _ROW_WORDS = 512
+#: Bytes after which a batch to or from the fold goes on.
+_CHUNK = 4 << 20
 _ID_BITS, _RANK_BITS = 20, 22
 _NONE = 1 << _RANK_BITS
 #: A token in a fold is one long: rank of the pair that it opens, place in the word, id.
@@ -185,12 +188,12 @@ def byte_array(words: list[bytes], ids: np.ndarray, first: np.ndarray) -> pa.Lis
 
 
 class _Numbers(dict):
-    """Word to number: under 0 for a piece or learnt word, a running number for any other."""
+    """Word to number: the place of a piece or learnt word in their list, running numbers beyond it for any other."""
 
-    def __init__(self, pieces: dict[str, int]):
-        super().__init__(pieces)
+    def __init__(self, listed: list[str]):
+        super().__init__(zip(listed, range(len(listed))))
         self.new: list[str] = []
-        self.next = 0
+        self.next = len(listed)
 
     def __missing__(self, word: str) -> int:
         self.new.append(word)
@@ -200,7 +203,7 @@ class _Numbers(dict):
 
 
 class BytePairCodec:
-    def __init__(self, ranks: dict[bytes, int], pattern: str, most_words: int = 200_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, most_words: int = 250_000):
         """Every byte must be a piece. ``most_words`` bounds the folded words that a task holds."""
         self.ranks, self.pattern, self.most_words = ranks, unicode_spaces(pattern), most_words
         self.pairs = joined_pairs(ranks)
@@ -243,13 +246,13 @@ class BytePairCodec:
 
         return F.aggregate(F.sequence(F.lit(1), F.size(word)), word, lambda s, _: step(s), lambda s: F.array_join(F.transform(F.slice(s, F.lit(2), F.size(s) - 2), lambda x: token(x).cast("string")), ","))
 
-    def learn_words(self, docs: DataFrame, text: str = "text", most_words: int = 200_000, most_docs: int = 20_000) -> None:
+    def learn_words(self, docs: DataFrame, text: str = "text", most_words: int = 131_072, most_docs: int = 20_000) -> None:
         """Fold the commonest words of about ``most_docs`` documents (drawn by a hash) once for all tasks.
 
         The bounded table that tasks then share changes the cost and never a result."""
         total = max(docs.count(), 1)
         drawn = docs.where(F.pmod(F.xxhash64(text), F.lit(1_000_000)) < int(1_000_000 * min(1.0, most_docs / total))).select(F.col(text).cast("string"))
-        pieces, pattern = self._pieces(), self.pattern
+        pieces, pattern = {*self._pieces()}, self.pattern
 
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             find, seen = word_finder(pattern), Counter()
@@ -272,12 +275,12 @@ class BytePairCodec:
         made = common.select("w").repartition(parts).mapInArrow(arrays, "w string, word array<bigint>").select("w", let(self.rank_map, lambda literal: self.fold(F.col("word"), literal)).alias("ids")).toArrow()
         self.known = dict(zip(made.column(0).to_pylist(), made.column(1).to_pylist()))
 
-    def _pieces(self) -> dict[str, int]:
-        """Pieces that are texts of their own, by the negative of their id and one."""
+    def _pieces(self) -> dict[str, str]:
+        """Pieces that are texts of their own, with their ids."""
         out = {}
         for piece, i in self.ranks.items():
             try:
-                out[piece.decode()] = -1 - i
+                out[piece.decode()] = str(i)
             except UnicodeDecodeError:
                 continue
         return out
@@ -290,20 +293,18 @@ class BytePairCodec:
             raise ValueError(f"columns {sorted(clash)} are reserved")
         rest = docs.select([c for c in docs.columns if c not in (to, count, decoded) and (keep_text or c != text)])
         source = docs.select(*(F.col(f"`{c}`") for c in rest.columns), F.col(text).cast("string").alias("_words"))
-        numbered = self._pieces()
-        lowest = -1 - max(self.ranks.values())
-        named = {n: str(-1 - n) for n in numbered.values()}
-        for k, (word, ids) in enumerate(self.known.items(), 1):
-            numbered[word], named[lowest - k] = lowest - k, ids
+        listed = {**self.known, **self._pieces()}
         # as large as the vocabulary and the learnt words
-        shared = docs.sparkSession.sparkContext.broadcast((numbered, named, self.byte_ids, self.byte_rows, self.pairs, {str(i): piece for piece, i in self.ranks.items()}))
+        context = docs.sparkSession.sparkContext
+        to_cut = context.broadcast((list(listed), self.byte_ids, self.byte_rows, self.pairs))
+        to_write = context.broadcast((list(listed.values()), {str(i): piece for piece, i in self.ranks.items()}))
         pattern, most_words, width = self.pattern, self.most_words, len(rest.columns)
 
         def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             find = word_finder(pattern)
-            numbered, _, byte_ids, byte_rows, pairs, _ = shared.value
-            numbers = _Numbers(numbered)
-            sent = 0
+            listed, byte_ids, byte_rows, pairs = to_cut.value
+            numbers = _Numbers(listed)
+            sent = least = numbers.next
 
             def words_of(schema: pa.Schema) -> pa.RecordBatch:
                 raw = [w.encode() for w in numbers.new]
@@ -316,12 +317,11 @@ class BytePairCodec:
 
             for batch in batches:
                 schema, texts = batch.schema, batch.column(width)
-                begin, coded = 0, []
+                begin, size, coded = 0, 0, []
 
                 def documents() -> Iterator[pa.RecordBatch]:
                     if numbers.new:
                         yield words_of(schema)
-                        numbers.new = []
                     if coded:
                         n = len(coded)
                         out = {"_words": pa.nulls(n, pa.list_(pa.list_(pa.int64()))), "_done": pa.nulls(n, pa.list_(pa.string())), "_first": pa.nulls(n, pa.int32()), "_numbers": pa.array(coded, pa.binary())}
@@ -329,12 +329,16 @@ class BytePairCodec:
 
                 for k in range(len(texts)):
                     t = texts[k].as_py()
-                    if numbers.next > most_words:  # no document needs words of two generations
+                    new_words = numbers.next - least > most_words  # no document needs words of two generations
+                    if new_words or size > _CHUNK:
                         yield from documents()
-                        begin, coded, numbers, sent = k, [], _Numbers(numbered), 0
+                        begin, size, coded, numbers.new, sent = k, 0, [], [], numbers.next
+                        if new_words:
+                            numbers, sent = _Numbers(listed), least
                     coded.append(np.fromiter(map(numbers.__getitem__, find(t)), np.int32).tobytes() if t else b"")
+                    size += len(coded[-1])
                 yield from documents()
-                sent = numbers.next
+                numbers.new, sent = [], numbers.next
 
         plain = T.StructType([T.StructField(f.name, f.dataType, True) for f in rest.schema])
         sent = source.mapInArrow(cut, T.StructType([*plain, *T._parse_datatype_string("_words array<array<bigint>>, _done array<string>, _first int, _numbers binary").fields]))
@@ -343,27 +347,34 @@ class BytePairCodec:
         names = [to, count] + [decoded] * bool(decoded)
 
         def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            _, named, *_, pieces = shared.value
-            new: list[str] = []  # by number; numbers under 0 are of pieces and learnt words
-            old, piece = named.__getitem__, pieces.__getitem__
+            listed, pieces = to_write.value
+            known = [*listed]
+            name, piece = known.__getitem__, pieces.__getitem__
+
+            def made(batch, rows: list[int], out) -> pa.RecordBatch:
+                columns = [pa.array(out[0], pa.string()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary())]
+                return pa.RecordBatch.from_arrays([batch.column(i).take(pa.array(rows)) for i in range(width)] + columns[: len(names)], names=[*batch.schema.names[:width], *names])
+
             for batch in batches:
                 first, words, numbers = (batch.column(width + i) for i in (1, 0, 2))
-                rows, out = [], ([], [], [])
+                rows, out, size = [], ([], [], []), 0
                 for k, at in enumerate(first.to_pylist()):
                     if at is not None:
-                        if at == 0:
-                            new = []
-                        new += words[k].as_py()
+                        if at == len(listed):
+                            del known[at:]
+                        known += words[k].as_py()
                         continue
-                    ns = np.frombuffer(numbers[k].as_py(), np.int32).tolist()
-                    said = ",".join([new[n] if n >= 0 else old(n) for n in ns])
+                    said = ",".join(map(name, np.frombuffer(numbers[k].as_py(), np.int32).tolist()))
                     ids = said.split(",") if said else []
                     rows.append(k)
                     for column, value in zip(out, (said, len(ids), b"".join(map(piece, ids)) if decoded else None)):
                         column.append(value)
+                    size += len(said)
+                    if size > _CHUNK:
+                        yield made(batch, rows, out)
+                        rows, out, size = [], ([], [], []), 0
                 if rows:
-                    made = [pa.array(out[0], pa.string()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary())]
-                    yield pa.RecordBatch.from_arrays([batch.column(i).take(pa.array(rows)) for i in range(width)] + made[: len(names)], names=[*batch.schema.names[:width], *names])
+                    yield made(batch, rows, out)
 
         kinds = [T.StringType(), T.LongType(), T.BinaryType()]
         return sent.mapInArrow(write, T.StructType([*plain, *(T.StructField(n, k) for n, k in zip(names, kinds))]))

@@ -5,12 +5,15 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from typing import TYPE_CHECKING
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+if TYPE_CHECKING:  # workers that need no pandas don't load it
+    import pandas as pd
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder of the cluster: ``spark.checkpoint.dir``, or one of our own where that is unset (tests)."""
@@ -54,6 +57,8 @@ EDGES_IN_ONE_TASK = 2_000_000
 
 
 def _in_one_task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    import pandas as pd
+
     edges = [b for b in batches if len(b)]
     if not edges:
         return
