@@ -284,21 +284,31 @@ class Scanner:
             own = np.zeros(len(self.index) + 1, dtype=np.int32)  # number of a word within the template, 0 for others
             own[[self.index[w] for w in count]] = range(1, len(count) + 1)
             self.templates.append((name, t, count, needed(t, least_coverage), own, np.array([0, *count.values()]), own[[self.index[w] for w in t]]))
+        # of all templates one behind the other: their distinct words, how often they hold each, and where they begin
+        self.held = np.array([self.index[w] for x in self.templates for w in x[2]], dtype=np.int64)
+        self.times = np.array([n for x in self.templates for n in x[2].values()], dtype=np.int64)
+        self.begins = np.cumsum([0, *(len(x[2]) for x in self.templates)])[:-1]
 
-    def run(self, words: list[str], where: dict[str, list[int]], t: list[str], count: Counter, need: int, least: float, could, xs: np.ndarray, ts: np.ndarray) -> tuple[int, int, int]:
+    def run(self, words: list[str], t: list[str], count: Counter, need: int, least: float, most: int, counts: np.ndarray, xs: np.ndarray, ts: np.ndarray) -> tuple[int, int, int]:
         seen = np.bincount(xs, minlength=len(count) + 1)[1:]
-        rare = list(count)[int(np.where(seen > 0, seen, len(xs) + 1).argmin())]
+        rare = int(np.where(seen > 0, seen, len(xs) + 1).argmin()) + 1
         reach = len(t) + self.slack
         own, done, numbers = (0, 0, 0), None, ts.tolist()
-        for i in where[rare]:
-            a, b = max(0, i - reach), min(len(words), i + reach + 1)
-            if (a, b) != done and could(a, b) >= max(least, own[0] + 1):  # else the same window again, or one that makes no difference
-                own = max(own, best_run([(x + a, y) for x, y in align(xs[a:b].tolist(), numbers, xs[a:b], ts)], self.slack), key=lambda r: r[0])
+        held = np.flatnonzero(xs)  # words that the template lacks match nothing
+        mine = xs[held]
+        for i in held[mine == rare].tolist():
+            a, b = held.searchsorted((i - reach, i + reach + 1)).tolist()
+            if (a, b) != done and b - a >= max(least, own[0] + 1):  # else the same window again, or one that makes no difference
+                at, near = held[a:b], mine[a:b]
+                own = max(own, best_run([(int(at[x]), y) for x, y in align(near.tolist(), numbers, near, ts)], self.slack), key=lambda r: r[0])
             done = a, b
-        if could(0, len(words)) < need or own[0] == len(t) or own[0] >= need and len(t) > self.long:
+        if most < need or own[0] == len(t) or own[0] >= need and len(t) > self.long:
             return own
+        where: dict[str, list[int]] = {}
+        for i in held.tolist():
+            where.setdefault(words[i], []).append(i)
         for a, b in stretches(anchors(count, where, need), (len(t) - 1) * (self.slack + 1), len(words)):
-            if could(a, b) >= max(need, own[0] + 1):
+            if int(np.minimum(np.bincount(xs[a:b], minlength=len(counts))[1:], counts[1:]).sum()) >= max(need, own[0] + 1):
                 n, s, e = longest_run(words[a:b], t, self.slack)
                 own = max(own, (n, s + a, e + a), key=lambda r: r[0])
         return own
@@ -306,29 +316,20 @@ class Scanner:
     def __call__(self, text: str | None) -> tuple[Run, list[Run]]:
         """The best template, and all that reach least_coverage, the best first."""
         words = words_of(text)
-        where: dict[str, list[int]] = {}
-        for i, w in enumerate(words):
-            if w in self.index:
-                where.setdefault(w, []).append(i)
-        ids = np.full(len(words), len(self.index))
-        for w, at in where.items():
-            ids[at] = self.index[w]
-        hits = sum(map(len, where.values()))
         best: Run = (None, 0.0, 0, 0)
         rank = (0.0, 0)
         found: list[tuple[float, int, Run]] = []
-        for name, t, count, need, number, counts, ts in self.templates:
+        if not words or not self.templates:
+            return best, []
+        other = len(self.index)
+        ids = np.array([self.index.get(w, other) for w in words])
+        # how many words of each template the text has at most
+        most = np.add.reduceat(np.minimum(np.bincount(ids, minlength=other + 1)[self.held], self.times), self.begins).tolist()
+        for (name, t, count, need, number, counts, ts), could in zip(self.templates, most):
             least = min(need, rank[0] * len(t))  # a template that can't have so many words is neither best nor found
-            if not hits or hits < least:
-                continue
-            mine = number[ids]
-
-            def could(a: int, b: int) -> int:
-                return int(np.minimum(np.bincount(mine[a:b], minlength=len(counts)), counts).sum())
-
-            if could(0, len(words)) < max(least, 1):
+            if could < max(least, 1):
                 continue
-            n, s, e = self.run(words, where, t, count, need, least, could, mine, ts)
+            n, s, e = self.run(words, t, count, need, least, could, counts, number[ids], ts)
             score = (n / len(t), len(t))
             if n >= need:
                 found.append((-score[0], -len(t), (name, score[0], s, e)))
