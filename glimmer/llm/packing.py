@@ -12,6 +12,7 @@ empty table gives an empty one; extra columns are ignored; texts of any length a
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import unicodedata
@@ -20,6 +21,7 @@ from bisect import bisect_left, insort
 from collections.abc import Iterator
 from itertools import compress
 from operator import not_
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -27,15 +29,21 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import discard, materialize, table
 from .word_bpe import WordMerger
 
 CAPACITY = 2048
 _ODD_SPACE = "\x1c\x1d\x1e\x1f᠎"
 
 
-#: How the tokenizer file parts lower-cased text; only used for words whose letters all Unicode versions agree on.
-_PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+#: The steps before the merges that the fast path knows; a file with others goes to the library whole. The pattern parts
+#: lower-cased text and is only used for words whose letters all Unicode versions agree on.
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_KNOWN = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": _PATTERN}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+}
+_PIECE = regex.compile(_PATTERN)
 _BEYOND = re.compile("[^\\x00-\u024f]")
 
 
@@ -45,13 +53,17 @@ class WordTokenizer:
     Words repeat, and their parts even more, so the ids of both are kept as bytes: two generations of each,
     of which the older is dropped when the younger is full. Parts are merged by
     ``WordMerger``, many at a time. Words with letters beyond Latin, on whose classes and cases Unicode versions may
-    differ, go to the library's tokenizer whole.
+    differ, go to the library's tokenizer; so do whole texts that hold an added token of the file (one id, as the
+    library has it), and all texts where the file's normaliser or pre-tokens are not those that the fast path knows.
     """
 
     def __init__(self, path: str, most_words: int = 250_000, most_pieces: int = 250_000):
         self.path = path
         self._tokenizer = None
-        self.merger = WordMerger(path)
+        file = json.loads(Path(path).read_text())
+        self.plain = all(file.get(k) == v for k, v in _KNOWN.items())
+        self.marks = [x["content"] for x in file.get("added_tokens") or []]
+        self.merger = WordMerger(path) if self.plain else None
         self.most = {"words": most_words, "pieces": most_pieces}
         self.words: tuple[dict, dict] = ({}, {})
         self.pieces: tuple[dict, dict] = ({}, {})
@@ -63,7 +75,6 @@ class WordTokenizer:
             from tokenizers import Tokenizer
 
             self._tokenizer = Tokenizer.from_file(self.path)
-            self._tokenizer.encode_special_tokens = True
         return self._tokenizer
 
     def _whole(self, words: list[str]) -> list[bytes]:
@@ -128,7 +139,7 @@ class WordTokenizer:
                 text = texts[i] or ""
                 i += 1
                 size += len(text)
-                if any(c in text for c in _ODD_SPACE):
+                if not self.plain or any(c in text for c in _ODD_SPACE) or any(m in text for m in self.marks):
                     part.append(text)
                     continue
                 if not unicodedata.is_normalized("NFC", text):
@@ -207,9 +218,13 @@ def lower_bound(lengths: np.ndarray, capacity: int) -> int:
     For a threshold p up to half the capacity, sizes over capacity - p count whole and sizes under p not at all; for
     k = 1.., a size s counts floor((k+1)s/capacity)/k, or s/capacity where (k+1)s is a multiple of the capacity.
     """
-    if not len(lengths):
+    return bound_of(np.bincount(lengths, minlength=capacity + 1).astype(np.int64), capacity)
+
+
+def bound_of(count: np.ndarray, capacity: int) -> int:
+    """As ``lower_bound``, of how many items there are of each size from 0."""
+    if not count.any():
         return 0
-    count = np.bincount(lengths, minlength=capacity + 1).astype(np.int64)
     size = np.arange(capacity + 1)
     many, mass = np.cumsum(count), np.cumsum(count * size)
     p = np.arange(0, capacity // 2 + 1)
@@ -222,11 +237,16 @@ def lower_bound(lengths: np.ndarray, capacity: int) -> int:
     return best
 
 
-def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, partition_pieces: int = 50_000, rounds: int = 3, loose_share: float = 0.1) -> DataFrame:
-    """``pieces`` (any columns, with length) plus sequence_id and offset.
+def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, partition_pieces: int = 50_000, rounds: int | None = None, loose_share: float = 0.1) -> DataFrame:
+    """``pieces`` (any columns, with length) plus sequence_id and offset; columns of these names are replaced, and one
+    named ``_uid`` is refused.
 
-    ``partition_pieces`` is the expected size of a partition and bounds what one task holds.
+    ``partition_pieces`` is the expected size of a partition and bounds what one task holds. Partitions exchange until
+    no gap is left or two rounds in a row saved no sequence (``rounds`` bounds them where given).
     """
+    if "_uid" in pieces.columns:
+        raise ValueError("column _uid is reserved")
+    pieces = pieces.drop("sequence_id", "offset")
     names = pieces.columns
     marked = materialize(pieces.withColumn("_uid", F.monotonically_increasing_id()))
     full = marked.where(F.col("length") >= capacity).select(*names, (-F.col("_uid") - 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
@@ -244,8 +264,8 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, partition_pieces: i
             was = rows["_bin"].nunique() if number else bins + 1
             gap = bins > lower_bound(lengths, capacity)
             taken = bins < was
-            if not taken:  # as good as before: the packing stays
-                return pd.DataFrame({"_uid": rows["_uid"], "length": lengths, "_bin": rows["_bin"], "_offset": rows["_offset"], "_loose": False})
+            if not taken:  # as good as before: the packing stays, and meets others next time where it has a gap
+                return pd.DataFrame({"_uid": rows["_uid"], "length": lengths, "_bin": rows["_bin"], "_offset": rows["_offset"], "_loose": gap})
             load = np.bincount(at, lengths, bins)
             loose = np.zeros(bins, bool)
             if gap:
@@ -258,17 +278,32 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, partition_pieces: i
     k = groups_of(n)
     dealt = todo.select("*", F.lit(0).cast("long").alias("_bin"), F.lit(0).cast("long").alias("_offset"), F.pmod(F.xxhash64("_uid"), F.lit(k)).alias("_group"))
     now = materialize(dealt.groupBy("_group").applyInPandas(packer(0), schema))
-    for number in range(1, rounds + 1):
+    number, idle, before = 0, 0, None
+    while k > 1 and idle < 2 and (rounds is None or number < rounds):
+        number += 1
         loose = now.where("_loose")
-        m = loose.count() if k > 1 else 0
+        m = loose.count()
         if not m:
             break
         again = loose.select("_uid", "length", "_bin", "_offset", F.pmod(F.xxhash64("_bin", F.lit(number)), F.lit(groups_of(m))).alias("_group"))
-        now = materialize(now.where("not _loose").unionByName(again.groupBy("_group").applyInPandas(packer(number), schema)))
+        new = materialize(now.where("not _loose").unionByName(again.groupBy("_group").applyInPandas(packer(number), schema)))
+        discard(now)
+        now, all_bins = new, new.select(F.count_distinct("_bin")).first()[0]
+        idle, before = (idle + 1 if all_bins == before else 0), all_bins
     placed = marked.where(F.col("length") < capacity).join(now.select("_uid", F.col("_bin").alias("sequence_id"), F.col("_offset").alias("offset")), "_uid").select(*names, "sequence_id", "offset")
     return full.unionByName(placed)
 
 
+def packing_gap(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """One row: sequences, the certified lower bound over all lengths, and how many sequences lie between them."""
+    sizes = packed.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()  # at most ``capacity`` rows
+    count = np.zeros(capacity + 1, np.int64)
+    for r in sizes:
+        count[r.length] = r.n
+    bound = bound_of(count, capacity)
+    return packed.agg(F.count_distinct("sequence_id").alias("sequences")).select("sequences", F.lit(bound).cast("long").alias("bound"), (F.col("sequences") - bound).alias("gap"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
