@@ -23,7 +23,7 @@ from pandas.util import hash_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import discard, materialize, table
 
 _DIMS = 1 << 16
 _SHAPE = bytes(ord("X") if 65 <= i <= 90 else ord("x") if 97 <= i <= 122 or i >= 128 else ord("9") if 48 <= i <= 57 else i for i in range(256))
@@ -166,15 +166,11 @@ def train_quality(docs: DataFrame, most_rows: int = 30_000) -> QualityModel:
                     out.append((key, 0, u.tobytes(), x.tobytes()))
             yield pd.DataFrame(out + [(k, n, None, None) for k, n in counted.items()], columns=["pattern", "n", "at", "x"])
 
-    seen = docs.select("text", drawn.alias("drawn")).mapInPandas(patterns, "pattern string, n long, at binary, x binary")
-    rows = seen.collect()  # bounded: the sample, and one row per pattern and batch
-    counted: Counter = Counter()
-    sample = []
-    for r in rows:
-        if r.n:
-            counted[r.pattern] += r.n
-        else:
-            sample.append((r.pattern, np.frombuffer(bytes(r.at), np.int32), np.frombuffer(bytes(r.x), np.float32)))
+    seen = materialize(docs.select("text", drawn.alias("drawn")).mapInPandas(patterns, "pattern string, n long, at binary, x binary"))
+    # bounded: one row for each pattern, and the sample
+    counted = {r.pattern: r.n for r in seen.where("n > 0").groupBy("pattern").agg(F.sum("n").alias("n")).collect()}
+    sample = [(r.pattern, np.frombuffer(bytes(r.at), np.int32), np.frombuffer(bytes(r.x), np.float32)) for r in seen.where("n = 0").select("pattern", "at", "x").collect()]
+    discard(seen)
     keys = sorted(counted)
     as_votes = lambda ks: np.array([["-0+".index(c) - 1 for c in k] for k in ks], int).reshape(-1, len(LABELLERS))
     labels = fit_label_model(as_votes(keys), np.array([counted[k] for k in keys], float))
@@ -183,10 +179,8 @@ def train_quality(docs: DataFrame, most_rows: int = 30_000) -> QualityModel:
 
 
 def score_quality(docs: DataFrame, model: QualityModel, threshold: float = 0.5) -> DataFrame:
-    """``docs`` with quality (chance of good by the scorer), posterior (by the labellers alone) and kept.
-
-    Kept: the scorer's chance reaches ``threshold``; a text under 20 words, too short for the scorer, is kept too
-    unless a labeller finds a fault in it."""
+    """``docs`` with quality (chance of good by the scorer), posterior (by the labellers alone) and kept: the scorer's
+    chance reaches ``threshold``."""
     weights = model
 
     @F.pandas_udf("struct<quality double, posterior double, kept boolean>")
@@ -195,8 +189,7 @@ def score_quality(docs: DataFrame, model: QualityModel, threshold: float = 0.5)
         for i, t in enumerate(text):
             votes[i], shapes = measures(t)
             quality[i] = weights.score(shapes)
-        spared = (votes[:, 0] == 0) & (votes.min(1, initial=0) >= 0)
-        return pd.DataFrame({"quality": quality, "posterior": weights.labels.posterior(votes), "kept": (quality >= threshold) | spared})
+        return pd.DataFrame({"quality": quality, "posterior": weights.labels.posterior(votes), "kept": quality >= threshold})
 
     docs = docs.drop("quality", "posterior", "kept")
     return docs.withColumn("_judged", judged(F.col("text"))).select(*docs.columns, "_judged.quality", "_judged.posterior", "_judged.kept")

@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -216,18 +217,39 @@ def test_url_rules_equal_brute_force(spark, sf_dir):
 def test_mined_rules_are_those_of_counting(spark):
     rng = random.Random(1)
     rows = [([t for t in "abcd" if rng.random() < 0.5], rng.choice(["allow", "block"])) for _ in range(300)] + [(["x", "y"], "block")] * 40 + [(["x"], "allow")] * 40
-    df = spark.createDataFrame([(t, v, i) for i, (t, v) in enumerate(rows)], "tokens array<string>, verdict string, order_hash long")
+    df = spark.createDataFrame([(t, v == "block", i) for i, (t, v) in enumerate(rows)], "tokens array<string>, blocked boolean, order_hash long")
     mined = {r.tokens: r for r in url_filter.mine_rules(df, 0.05, 0.9)}
     assert set(mined) == {frozenset("y")}
     assert mined[frozenset("y")].confidence == 1.0 and abs(mined[frozenset("y")].support - 40 / 380) < 1e-9
 
 
 def test_rules_are_mined_from_all_tokens_of_a_long_url(spark):
-    rows = [([f"p=r{i}x{k}" for k in range(40)] + ["p=late"] * (i % 2), "block" if i % 2 else "allow", i) for i in range(60)]
-    labelled = spark.createDataFrame(rows, "tokens array<string>, verdict string, order_hash long")
+    rows = [([f"p=r{i}x{k}" for k in range(40)] + ["p=late"] * (i % 2), bool(i % 2), i) for i in range(60)]
+    labelled = spark.createDataFrame(rows, "tokens array<string>, blocked boolean, order_hash long")
     assert [set(r.tokens) for r in url_filter.mine_rules(labelled, min_support=0.1)] == [{"p=late"}]
 
 
+def test_undecided_urls_are_judged_by_counting(spark):
+    """Every combination of tokens, counted by brute force; undecided urls count against a rule."""
+    rng = random.Random(8)
+    urls = [f"http://{rng.choice(['a', 'b', 'c'])}.{rng.choice(['net', 'org', 'example.com'])}/{rng.choice(['es'] * 9 + ['fr', 'de', 'en', 'en', 'x/es', 'x/en'])}/{rng.choice(['one', 'two'])}" for _ in range(800)]
+    rows = [*enumerate(urls)] + [(900, None), (901, "nothing"), (902, "http://" + "a/" * 5000), (902, "http://z.net/es/" + "q/" * 3000)]
+    df = spark.createDataFrame([(i, u, "mine", "mine", 1) for i, u in rows], "page_id long, url string, verdict string, rule string, blocked int")
+    got = {r.page_id: r for r in url_filter.filter_urls(df.where("page_id < 902"), min_support=0.01, min_confidence=0.8).collect()}
+    host_path = url_filter.with_host_and_path(df.where("page_id < 902").select("page_id", "url"))
+    tokens = {r.page_id: frozenset(r.t) for r in host_path.select("page_id", url_filter.url_tokens(F.col("host"), F.col("path")).alias("t")).collect()}
+    given = {i: judged(u)[3] for i, u in rows if i < 902}
+    counted = Counter(c for i, ts in tokens.items() for k in range(1, len(ts) + 1) for c in map(frozenset, combinations(sorted(ts), k)))
+    bad = Counter(c for i, ts in tokens.items() if given[i] == "block" for k in range(1, len(ts) + 1) for c in map(frozenset, combinations(sorted(ts), k)))
+    share = sum(v == "block" for v in given.values()) / len(given)
+    rules = [c for c, n in counted.items() if bad[c] / len(given) >= 0.01 and bad[c] / n >= max(0.8, 1.5 * share)]
+    assert rules and not any(c in rules for c in (frozenset(["h0=net"]), frozenset(["p=es"])))
+    held = {i: any(c <= ts for c in rules) for i, ts in tokens.items()}
+    for i, v in given.items():
+        assert got[i].verdict == (v or ("block" if held[i] else "allow")) and got[i].mined == (v is None and held[i])
+    assert any(r.mined for r in got.values()) and url_filter.filter_urls(df).count() == len(rows)
+
+
 # --- 4 I-Match -----------------------------------------------------------------------------------------------------
 def imatch_rows(spark, docs, tmp_path):
     docs.write.parquet(f"{tmp_path}/documents.parquet")
@@ -462,8 +484,8 @@ def test_tokens_equal_the_library_and_packing_is_sound(spark, odd, docs, nothing
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(path)
-    library.encode_special_tokens = True
-    rows = odd.select("doc_id", "text").where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(docs.select((F.col("doc_id") + 1000).alias("doc_id"), "text"))
+    marks = spark.createDataFrame([(90, "a <|endoftext|> b"), (91, "x<|startoftext|><|endoftext|>y <|END"), (92, "<|endoftext|>")], "doc_id long, text string")
+    rows = odd.select("doc_id", "text").where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(marks).unionByName(docs.select((F.col("doc_id") + 1000).alias("doc_id"), "text"))
     got = packing.pack_pieces(packing.token_pieces(rows, path)).toPandas()
     for r in rows.collect():
         ids = np.array([*library.encode(r.text or "", add_special_tokens=False).ids, 0], "<u4")
@@ -483,7 +505,9 @@ def test_partitions_with_gaps_pack_again(spark):
     rows = [(i, 0, rng.randint(1, 1400)) for i in range(2000)]
     df = spark.createDataFrame(rows, "doc_id long, piece int, length long")
     alone = packing.pack_pieces(df, partition_pieces=100, rounds=0).select("sequence_id").distinct().count()
-    again = packing.pack_pieces(df, partition_pieces=100, rounds=3)
+    again = packing.pack_pieces(df.withColumn("offset", F.lit("mine")), partition_pieces=100)
+    gap = packing.packing_gap(again).first()
+    assert gap.gap == gap.sequences - packing.lower_bound(np.array([r[2] for r in rows]), 2048) and gap.gap >= 0
     bins = again.select("sequence_id").distinct().count()
     assert packing.lower_bound(np.array([r[2] for r in rows]), 2048) <= bins <= alone
     assert again.count() == 2000 and again.groupBy("sequence_id").agg(F.sum("length").alias("s")).where("s > 2048").count() == 0
