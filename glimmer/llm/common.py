@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -16,12 +17,15 @@ if TYPE_CHECKING:  # workers that need no pandas don't load it
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster: ``spark.checkpoint.dir``, or one of our own where that is unset (tests)."""
+    """The shared folder of the cluster: ``spark.checkpoint.dir``, or one of our own where that is unset and all runs in
+    one process (tests); on a cluster without the setting this fails."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         option = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = option.get() if option.isDefined() else None
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="glimmer-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")

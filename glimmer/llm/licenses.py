@@ -10,7 +10,8 @@ license by chance: the aligned pairs are cut where the text skips more than ``sl
 the best run counts.
 
 Defined results: null and empty texts have no match (license null, coverage 0.0, licenses empty); ties go to the longer template,
-then the first name; repeated rows are judged alike; an empty table gives an empty one; extra columns are ignored.
+then the first name; repeated rows are judged alike; an empty table gives an empty one; columns but doc_id and text are
+ignored, so their names can't clash.
 """
 
 from __future__ import annotations
@@ -230,8 +231,10 @@ def longest_run(text: list[str], template: list[str], slack: int) -> tuple[int,
     return best
 
 
-def needed(template: list[str], least_coverage: float) -> int:
-    """The fewest words whose share of the template reaches least_coverage."""
+def needed(template: list[str], least_coverage: float, whole_under: int = 0) -> int:
+    """The fewest words whose share of the template reaches least_coverage; all of a template of under whole_under."""
+    if len(template) < whole_under:
+        return len(template)
     n = max(1, math.floor(least_coverage * len(template)))
     return n if n / len(template) >= least_coverage else n + 1
 
@@ -274,7 +277,7 @@ class Scanner:
     is what the alignment found.
     """
 
-    def __init__(self, templates: dict[str, list[str]], slack: int = 12, least_coverage: float = 0.8, long: int = 400):
+    def __init__(self, templates: dict[str, list[str]], slack: int = 12, least_coverage: float = 0.8, long: int = 400, whole_under: int = 0):
         self.slack, self.long = slack, long
         ordered = sorted(((k, t) for k, t in templates.items() if t), key=lambda x: (len(x[1]), x[0]))  # short ones first: they raise what long ones must beat
         self.index = {w: i for i, w in enumerate(sorted(set().union(*templates.values())))}
@@ -283,7 +286,7 @@ class Scanner:
             count = Counter(sorted(t))
             own = np.zeros(len(self.index) + 1, dtype=np.int32)  # number of a word within the template, 0 for others
             own[[self.index[w] for w in count]] = range(1, len(count) + 1)
-            self.templates.append((name, t, count, needed(t, least_coverage), own, np.array([0, *count.values()]), own[[self.index[w] for w in t]]))
+            self.templates.append((name, t, count, needed(t, least_coverage, whole_under), own, np.array([0, *count.values()]), own[[self.index[w] for w in t]]))
         # of all templates one behind the other: their distinct words, how often they hold each, and where they begin
         self.held = np.array([self.index[w] for x in self.templates for w in x[2]], dtype=np.int64)
         self.times = np.array([n for x in self.templates for n in x[2].values()], dtype=np.int64)
@@ -343,17 +346,18 @@ def scan_text(text: str | None, templates: dict[str, list[str]], slack: int = 12
     return Scanner(templates, slack, least_coverage)(text)[0]
 
 
-def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, least_coverage: float = 0.8) -> DataFrame:
+def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, least_coverage: float = 0.8, whole_under: int = 10) -> DataFrame:
     """doc_id, license (null under ``least_coverage``), coverage of the best template, first_word, end_word, and
-    licenses: every template that reaches ``least_coverage``, the best first."""
+    licenses: every template that reaches ``least_coverage``, the best first. Notices of under ``whole_under`` words,
+    most of them common ones, reach it with all of them only."""
     parsed = {k: words_of(v) for k, v in (TEMPLATES if templates is None else templates).items()}
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scanner = Scanner(parsed, least_coverage=least_coverage)
+        scanner = Scanner(parsed, least_coverage=least_coverage, whole_under=whole_under)
         for b in batches:
             both = [scanner(t) for t in b.text]
-            found = [f for f, _ in both]
-            ok = [f[1] >= least_coverage for f in found]
+            ok = [bool(every) for _, every in both]
+            found = [every[0] if every else f for f, every in both]
             yield pd.DataFrame(
                 {
                     "doc_id": b.doc_id.astype("Int64"),

@@ -380,6 +380,19 @@ def test_license_scan_on_awkward_tables(odd, nothing):
     assert {r.license for r in licenses.scan_licenses(odd).collect()} == {None}
 
 
+def test_short_notices_need_every_word(spark):
+    prose = "They were released under the bridge, the license of the river was old."
+    scan = licenses.Scanner({k: licenses.words_of(v) for k, v in licenses.TEMPLATES.items()}, whole_under=10)
+    assert scan(prose)[1] == []
+    assert scan("so " * 30 + "Released under the MIT License. " + "so " * 30)[1][0][0] == "MIT"
+    mit = licenses.TEMPLATES["MIT-text"].split()
+    far = "word " * 300 + mit[7] + " word" * 300
+    edited = " ".join("odd" if k == 11 else w for k, w in enumerate(mit))
+    for text in (edited, edited + " " + far, far + " " + edited, edited + " " + far + " " + edited):
+        best = scan(text)[1][0]
+        assert best[0].startswith("MIT") and best[1] > 0.9
+
+
 # --- 7 quality -----------------------------------------------------------------------------------------------------
 def test_quality_agrees_with_labels_it_never_saw(spark):
     sf = "/root/testdata/sf0.01"
