@@ -1,8 +1,12 @@
 """A corpus pipeline over `documents`: toxicity, quality, near duplicates, packing. Part of subpackage llm.
 
 ``STAGES`` lists (name, function); each function takes (spark, docs, sf_dir) and returns a DataFrame, which is written
-as Parquet and read again as the next one's docs. Stages keep null doc_ids, empty texts, repeated rows and extra
-columns as their operators define it.
+as Parquet and read again as the next one's docs.
+
+Defined results: null and empty texts are scored as such, and stay unless a model rejects them; rows without a doc_id
+are nobody's duplicates; rows that share a doc_id are one document, of which the near-duplicate stage keeps the row
+with the least text; an empty table goes through as an empty one; extra columns stay, whatever their names, but the
+last stage returns pieces only.
 """
 
 from __future__ import annotations
@@ -34,8 +38,12 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     found = materialize(jaccard_components(docs.select("doc_id", "text")))
     gone = found.where("doc_id <> component_id").select("doc_id").distinct()
     kept = docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, "doc_id", "left_anti").select(*docs.columns)
-    repeated = found.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count()
-    return kept.where("doc_id is null").unionByName(kept.where("doc_id is not null").dropDuplicates(["doc_id"])) if repeated else kept
+    shared = found.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
+    if not shared.limit(1).count():
+        return kept
+    several = kept.join(shared, "doc_id", "left_semi").select(*docs.columns)
+    one = several.groupBy("doc_id").agg(F.min_by(F.struct(*several.columns), F.struct(F.coalesce("text", F.lit("")), F.xxhash64(*several.columns))).alias("row")).select("row.*")
+    return kept.join(shared, "doc_id", "left_anti").select(*docs.columns).unionByName(one.select(*docs.columns))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
