@@ -151,7 +151,7 @@ def sketches(docs: DataFrame, frequent: np.ndarray, words: int = WORDS, percent:
     return _texts(docs).mapInPandas(make, "doc_id long, n long, set_key binary, prefix array<long>")
 
 
-def scan_runs(percent: int, hot: int = HOT_RUN, flush: int = 1_000_000):
+def scan_runs(percent: int, hot: int = HOT_RUN, flush: int = 250_000):
     """Over rows (gram, n, node) sorted so: the block's product, and the rows of hot runs.
 
     A run of 2 to ``hot`` rows gives its pairs within the length bound, whose counts are added up for the whole block
