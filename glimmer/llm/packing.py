@@ -57,7 +57,7 @@ class WordTokenizer:
     library has it), and all texts where the file's normaliser or pre-tokens are not those that the fast path knows.
     """
 
-    def __init__(self, path: str, most_words: int = 250_000, most_pieces: int = 250_000):
+    def __init__(self, path: str, most_words: int = 150_000, most_pieces: int = 150_000):
         self.path = path
         self._tokenizer = None
         file = json.loads(Path(path).read_text())
@@ -151,10 +151,6 @@ class WordTokenizer:
             for x in part:
                 yield b"".join(map(get, x)) if isinstance(x, list) else self._whole([x])[0]
 
-    def forget(self) -> None:
-        """Drop the kept words and parts, as a worker may go on to other work."""
-        self.words, self.pieces = ({}, {}), ({}, {})
-
     def encode(self, text: str | None) -> list[int]:
         return np.frombuffer(next(self.encode_batch([text])), "<u4").tolist()
 
@@ -184,7 +180,6 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
                     out.append((doc_id, piece, start // 4, len(part) // 4, zlib.crc32(part)))
             made = pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
             yield made.astype({"doc_id": "Int64"})
-        t.forget()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
