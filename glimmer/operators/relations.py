@@ -131,6 +131,15 @@ def ordered_key() -> list[Column]:
     return out
 
 
+def shown_after(row) -> tuple:
+    """``ordered_key`` of a collected row."""
+    out = [TYPE_RANK[row["type"]]]
+    for side in ("from", "to"):
+        kind = row[f"{side}_kind"]
+        out += [KIND_RANK[kind], int(kind != "span"), row[f"{side}_trace"], row[f"{side}_span"], row[f"{side}_serial"]]
+    return tuple(out)
+
+
 def capped(relations: DataFrame, generation: list[Column], max_relations: int) -> DataFrame:
     """The first ``max_relations`` in generation order (a top-k), to be sorted for show by ``ordered_key``."""
     return relations.orderBy(*generation).limit(max_relations)

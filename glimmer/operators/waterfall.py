@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections import defaultdict, deque
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from glimmer.operators.relations import members
@@ -63,21 +63,9 @@ def waterfall(spans: DataFrame) -> DataFrame:
     return members(spans).select(*dict.fromkeys(cols)).groupBy("trace_id").applyInPandas(_walk, "trace_id string, span_id string, ordinal long, depth int")
 
 
-def waterfall_of(spark: SparkSession, spans: DataFrame, trace_id: str) -> DataFrame:
-    """One subject's waterfall as a recursive query: the trace is filtered first, so every round joins a few rows."""
-    own = members(spans, trace_id).withColumn("p", F.row_number().over(Window.orderBy(*KEY)))
-    own.createOrReplaceTempView("_glimmer_trace")
-    spark.conf.set("spark.sql.cteRecursionLevelLimit", "100000")
-    return spark.sql(
-        """
-        WITH RECURSIVE root AS (SELECT span_id FROM _glimmer_trace WHERE parent_span_id IS NULL ORDER BY p LIMIT 1),
-        walk(span_id, path, seen) AS (
-          SELECT t.span_id, array(t.p), array(t.span_id) FROM _glimmer_trace t JOIN root r ON t.span_id = r.span_id
-          UNION ALL
-          SELECT t.span_id, array_append(w.path, t.p), array_append(w.seen, t.span_id) FROM walk w JOIN _glimmer_trace t ON t.parent_span_id = w.span_id AND NOT array_contains(w.seen, t.span_id))
-        SELECT span_id, CAST(size(path) - 1 AS INT) AS depth, row_number() OVER (ORDER BY size(path), path) AS ordinal FROM walk
-        """
-    )
+def waterfall_of(spans: DataFrame, trace_id: str) -> DataFrame:
+    """One subject's waterfall: span_id, depth (-1: not reached), ordinal. The trace is filtered first."""
+    return waterfall(spans.where(F.col("trace_id") == trace_id)).select("span_id", "depth", "ordinal")
 
 
 def _tree(rows: pd.DataFrame) -> pd.DataFrame:

@@ -225,12 +225,12 @@ def rel_capped(spark, d):
 @query(
     f"""{_MEM}, u AS ({_SI} UNION ALL {_TI} UNION ALL {_PC} UNION ALL {_EX}),
     r AS (SELECT *, CASE type WHEN 'span_identity' THEN 0 WHEN 'trace_identity' THEN 1 WHEN 'parent_child' THEN 2 ELSE 4 END AS tr, CASE from_kind WHEN 'span' THEN 0 WHEN 'log' THEN 1 ELSE 2 END AS fk FROM u)
-    SELECT type, from_kind, from_trace, from_span, from_serial, to_kind, to_trace, to_span, to_serial, facts FROM r ORDER BY tr, fk, from_trace, from_span, from_serial, to_trace, to_span, to_serial LIMIT 1000"""
+    SELECT type, from_kind, from_trace, from_span, from_serial, to_kind, to_trace, to_span, to_serial, facts FROM r ORDER BY tr, fk, from_trace, from_span, from_serial, to_trace, to_span, to_serial"""
 )
 def rel_ordered_union(spark, d):
     s, l, p = S.spans(spark, d), S.logs(spark, d), S.points(spark, d)
     union = _rel(R.span_identity(s, l)).unionByName(_rel(R.trace_identity(s, l))).unionByName(_rel(R.parent_child(s))).unionByName(_rel(R.exemplar(p, s)))
-    return union.orderBy(*R.ordered_key()).limit(1000)
+    return union.orderBy(*R.ordered_key())
 
 
 @query(f"{_MEM}, u AS ({_SI}) SELECT u.* FROM u WHERE from_serial IN (SELECT serial FROM logs WHERE severity >= 13) AND (to_trace, to_span) IN (SELECT trace_id, span_id FROM spans WHERE flags = 1)")
@@ -251,9 +251,9 @@ def subject_members(spark, d):
     return R.members(S.spans(spark, d), SUBJECT).select("trace_id", "span_id", "name", "start_ns")
 
 
-@query("SELECT l.serial, l.trace_id, l.span_id, s.name AS span_name FROM logs l JOIN spans s ON s.trace_id = l.trace_id AND s.span_id = l.span_id WHERE l.serial <= 100")
+@query("SELECT l.serial, l.trace_id, l.span_id, s.name AS span_name FROM logs l JOIN spans s ON s.trace_id = l.trace_id AND s.span_id = l.span_id")
 def log_to_trace(spark, d):
-    l = S.logs(spark, d).where("serial <= 100").select("serial", "trace_id", "span_id")
+    l = S.logs(spark, d).select("serial", "trace_id", "span_id")
     return l.join(S.spans(spark, d).select("trace_id", "span_id", F.col("name").alias("span_name")), ["trace_id", "span_id"])
 
 
@@ -280,17 +280,49 @@ def waterfall_bfs(spark, d):
     SELECT span_id, depth, row_number() OVER (ORDER BY depth, span_id) AS ordinal FROM walk"""
 )
 def waterfall_subject(spark, d):
-    return W.waterfall_of(spark, S.spans(spark, d), SUBJECT)
+    return W.waterfall_of(S.spans(spark, d), SUBJECT)
 
 
-@query(
-    f"""{_MEM}, walk AS (SELECT trace_id, span_id, 0 AS depth FROM mem WHERE parent_span_id IS NULL UNION ALL SELECT m.trace_id, m.span_id, w.depth + 1 FROM walk w JOIN mem m ON m.trace_id = w.trace_id AND m.parent_span_id = w.span_id)
-    SELECT trace_id, span_id, row_number() OVER (PARTITION BY trace_id ORDER BY depth, span_id) AS row, depth, EXISTS (SELECT 1 FROM mem c WHERE c.trace_id = walk.trace_id AND c.parent_span_id = walk.span_id) AS has_children FROM walk"""
-)
+_DFS = """, ranked AS (SELECT *, row_number() OVER (PARTITION BY trace_id ORDER BY start_ns, admitted_at, span_key) AS p FROM {spans}),
+    walk AS (SELECT trace_id, span_id, [p] AS path FROM ranked r WHERE parent_span_id IS NULL OR parent_span_id = span_id OR NOT EXISTS (SELECT 1 FROM ranked x WHERE x.trace_id = r.trace_id AND x.span_id = r.parent_span_id)
+      UNION ALL SELECT m.trace_id, m.span_id, list_append(w.path, m.p) FROM walk w JOIN ranked m ON m.trace_id = w.trace_id AND m.parent_span_id = w.span_id AND m.span_id <> w.span_id)
+    SELECT trace_id, span_id, row_number() OVER (PARTITION BY trace_id ORDER BY path) AS row, len(path) - 1 AS depth,
+      EXISTS (SELECT 1 FROM ranked c WHERE c.trace_id = walk.trace_id AND c.parent_span_id = walk.span_id AND c.span_id <> walk.span_id) AS has_children FROM walk"""
+#: Traces that branch, of the same rows: several roots, none, orphans, self parents and siblings that start in another order.
+_BRANCHING = """, b AS (SELECT * EXCLUDE (parent_span_id, start_ns), CAST('0x' || span_id AS BIGINT) - 1 AS turn, CAST('0x' || trace_id AS BIGINT) AS conv FROM mem),
+    branching AS (SELECT *, CASE WHEN (turn = 0 AND conv % 7 <> 3) OR turn % 6 = 5 THEN NULL WHEN turn = 0 OR turn % 5 = 4 THEN repeat('f', 16) WHEN turn % 11 = 7 THEN span_id ELSE lpad(lower(to_hex((turn - 1) // 2 + 1)), 16, '0') END AS parent_span_id,
+      turn * 7 % 10 AS start_ns FROM b)"""
+
+
+def _branching(spark, d):
+    own = R.members(S.spans(spark, d)).withColumn("turn", F.conv("span_id", 16, 10).cast("long") - 1).withColumn("conv", F.conv("trace_id", 16, 10).cast("long"))
+    turn, conv = F.col("turn"), F.col("conv")
+    parent = F.when(((turn == 0) & (conv % 7 != 3)) | (turn % 6 == 5), F.lit(None).cast("string")).when((turn == 0) | (turn % 5 == 4), "f" * 16).when(turn % 11 == 7, F.col("span_id")).otherwise(S.span_hex(F.floor((turn - 1) / 2) + 1))
+    return own.withColumn("parent_span_id", parent).withColumn("start_ns", turn * 7 % 10)
+
+
+@query(_MEM + _DFS.replace("{spans}", "mem"))
 def waterfall_tree_dfs(spark, d):
     return W.tree(S.spans(spark, d))
 
 
+@query(_MEM + _BRANCHING + _DFS.replace("{spans}", "branching"))
+def branching_tree_dfs(spark, d):
+    return W.tree(_branching(spark, d))
+
+
+@query(
+    _MEM + _BRANCHING + """, ranked AS (SELECT *, row_number() OVER (PARTITION BY trace_id ORDER BY admitted_at, span_key) AS p FROM branching),
+    rooted AS (SELECT trace_id, coalesce(min(p) FILTER (parent_span_id IS NULL), 1) AS p FROM ranked GROUP BY 1),
+    walk AS (SELECT r.trace_id, r.span_id, [r.p] AS path FROM ranked r JOIN rooted USING (trace_id, p)
+      UNION ALL SELECT m.trace_id, m.span_id, list_append(w.path, m.p) FROM walk w JOIN ranked m ON m.trace_id = w.trace_id AND m.parent_span_id = w.span_id AND m.span_id <> w.span_id AND NOT list_contains(w.path, m.p)),
+    every AS (SELECT r.trace_id, r.span_id, r.p, w.path FROM ranked r LEFT JOIN walk w USING (trace_id, span_id))
+    SELECT trace_id, span_id, row_number() OVER (PARTITION BY trace_id ORDER BY path IS NULL, len(path), path, p) AS ordinal, coalesce(len(path), 0) - 1 AS depth FROM every"""
+)
+def branching_waterfall(spark, d):
+    return W.waterfall(_branching(spark, d))
+
+
 @query(f"{_MEM} SELECT trace_id, min(start_ns) AS start_ns, max(coalesce(end_ns, start_ns)) AS end_ns FROM mem GROUP BY 1")
 def waterfall_extent(spark, d):
     return W.extents(S.spans(spark, d))
