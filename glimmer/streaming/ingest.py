@@ -2,8 +2,11 @@
 
 A Structured Streaming query reads payload files; each micro-batch is decoded in parallel, admitted export by export
 against what is resident, appended as Parquet and followed by retention. Duplicates and conflicts inside a batch and
-against the resident set are one window over the natural key. The batch is committed by a manifest that names its
-files, written last, so a batch that is run again replaces what it left.
+against the resident set are one window over the natural key. The ceilings hold for all kinds together: what is
+evicted is the oldest of any kind. A batch is committed by a manifest of its own, written aside and then renamed to a
+name that did not exist, so a crash leaves the last committed batch whole, and a batch that is run again replaces what
+it left. The resident tables, which the ceilings bound, are written anew by a batch that changes them; what only
+batches before the last two needed is deleted after the commit.
 """
 
 from __future__ import annotations
@@ -19,6 +22,7 @@ from pyspark.sql.streaming import StreamingQuery
 from glimmer.functions.columns import NO_SPAN, NO_TRACE
 from glimmer.operators.retention import Ceilings, retention_tick_s, surviving
 from glimmer.sources import otlp
+from glimmer.sources.tables import KEY
 
 PAYLOAD_SCHEMA = "export_id long, received_ns long, signal string, payload binary"
 SIGNALS = ("traces", "logs", "metrics")
@@ -68,19 +72,40 @@ class TelemetryStore:
     def _p(self, name: str):
         return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
 
-    def manifest(self) -> dict:
-        if not self._fs().exists(self._p("manifest/part.json")):
-            return {"batch": -1, "serial": 0, "clock": 0, "tables": {}, "counters": {}}
-        return json.loads(self.spark.read.text(f"{self.path}/manifest/part.json", wholetext=True).first().value)
+    def _committed(self) -> list[int]:
+        """Committed batches, oldest first."""
+        fs, at = self._fs(), self._p("manifest")
+        names = [f.getPath().getName() for f in fs.listStatus(at)] if fs.exists(at) else []
+        return sorted(int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit())
+
+    def manifest(self, batch: int | None = None) -> dict:
+        """Of a committed batch, or of the last."""
+        batches = self._committed()
+        batch = batch if batch is not None else batches[-1] if batches else None
+        if batch not in batches:
+            return {"batch": -1, "serial": 0, "clock": 0, "tables": {}, "counters": {}, "evicted": {}}
+        return json.loads(self.spark.read.text(f"{self.path}/manifest/{batch:020d}.json", wholetext=True).first().value)
 
     def _commit(self, manifest: dict) -> None:
         fs = self._fs()
-        fresh, kept = self._p("manifest/next.json"), self._p("manifest/part.json")
+        fresh, kept = self._p(f"manifest/{manifest['batch']:020d}.writing"), self._p(f"manifest/{manifest['batch']:020d}.json")
         out = fs.create(fresh, True)
         out.write(bytearray(json.dumps(manifest).encode()))
         out.close()
-        fs.delete(kept, False)
-        fs.rename(fresh, kept)
+        if not fs.rename(fresh, kept):
+            raise RuntimeError(f"batch {manifest['batch']} could not be committed")
+
+    def _clean(self, batch: int) -> None:
+        """Delete what neither the last two manifests nor a batch to come needs."""
+        fs = self._fs()
+        for name in ("staged", "judged"):
+            fs.delete(self._p(f"{name}/{batch}"), True)
+        batches = self._committed()
+        used = {at for b in batches[-2:] for at in self.manifest(b)["tables"].values()}
+        for b in batches[:-2]:
+            for at in set(self.manifest(b)["tables"].values()) - used:
+                fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(at), True)
+            fs.delete(self._p(f"manifest/{b:020d}.json"), False)
 
     def resident(self, signal: str) -> DataFrame | None:
         at = self.manifest()["tables"].get(signal)
@@ -90,11 +115,13 @@ class TelemetryStore:
         """Admit one micro-batch; returns counts by signal and outcome. A batch that was committed is left alone."""
         state = self.manifest()
         if batch <= state["batch"]:
-            return state["counters"].get(str(batch), {})
+            return self.manifest(batch)["counters"].get(str(batch), {})
         clock = AdmissionClock(state["clock"])
         counters: dict[str, int] = {}
         tables = dict(state["tables"])
         serial = state["serial"]
+        now = {signal: self.spark.read.parquet(at) for signal, at in tables.items()}
+        fresh = set()
         for signal in SIGNALS:
             rows = otlp.decode(payloads, signal)
             staged = f"{self.path}/staged/{batch}/{signal}"
@@ -147,14 +174,32 @@ class TelemetryStore:
                 out = out.unionByName(natural)
             if signal == "metrics":
                 out = out.withColumn("stream_key", F.col("identity_key"))
-            whole = out if before is None else before.unionByName(out, allowMissingColumns=True)
-            kept_at = f"{self.path}/resident/{signal}/{batch}"
-            kept = surviving(whole, self.ceilings)
-            kept.write.mode("overwrite").parquet(kept_at)
-            tables[signal] = kept_at
-        self._commit({"batch": batch, "serial": serial, "clock": clock.last, "tables": tables, "counters": {**state["counters"], str(batch): counters}})
+            now[signal] = out if before is None else before.unionByName(out, allowMissingColumns=True)
+            fresh.add(signal)
+        evicted: dict[str, int] = {}
+        if fresh:
+            oldest = self._oldest_kept(now)
+            for signal, whole in now.items():
+                stays = F.lit(False) if oldest is None else F.struct(*KEY) >= F.struct(*(F.lit(oldest[c]).cast(whole.schema[c].dataType).alias(c) for c in KEY))
+                gone = whole.where(~stays).count()
+                if gone:
+                    evicted[signal] = gone
+                if gone or signal in fresh:
+                    tables[signal] = f"{self.path}/resident/{signal}/{batch}"
+                    whole.where(stays).write.mode("overwrite").parquet(tables[signal])
+        self._commit({"batch": batch, "serial": serial, "clock": clock.last, "tables": tables, "counters": {str(batch): counters}, "evicted": evicted})
+        self._clean(batch)
         return counters
 
+    def _oldest_kept(self, now: dict[str, DataFrame]):
+        """The first row, of any kind, that the ceilings let stay."""
+        light = None
+        for whole in now.values():
+            extra = [F.col(c) if c in whole.columns else F.lit(None).cast(t).alias(c) for c, t in (("stream_key", "string"), ("identity_bytes", "long"))]
+            own = whole.select(*KEY, "accounted_bytes", *extra).withColumn("stream_key", F.coalesce("stream_key", F.concat_ws("/", F.lit("record"), *KEY)))
+            light = own if light is None else light.unionByName(own)
+        return surviving(light, self.ceilings).orderBy(*KEY).first()
+
     def start(self, landing: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
         """The streaming query; with ``available_now`` it drains what has landed and ends."""
         source = self.spark.readStream.schema(PAYLOAD_SCHEMA).parquet(landing)

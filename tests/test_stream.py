@@ -1,3 +1,4 @@
+import pytest
 import wire as w
 
 from glimmer.operators.retention import Ceilings
@@ -33,3 +34,45 @@ def test_a_batch_is_admitted_once_and_retention_holds(spark, tmp_path):
     batch = spark.createDataFrame([(1, 1, "logs", bytearray(w.export([w.log(i) for i in range(1, 6)])))], PAYLOAD_SCHEMA)
     assert store.admit(batch, 0) == store.admit(batch, 0) == {"logs.admitted": 5}
     assert sorted(r.serial for r in store.resident("logs").collect()) == [3, 4, 5]
+
+
+def test_ceilings_hold_for_all_kinds_together(spark, tmp_path):
+    store = TelemetryStore(spark, str(tmp_path / "s"), Ceilings(records=4))
+    store.admit(spark.createDataFrame([(1, 1, "traces", bytearray(w.export([w.span(T, S(i)) for i in range(1, 4)])))], PAYLOAD_SCHEMA), 0)
+    store.admit(spark.createDataFrame([(2, 2, "logs", bytearray(w.export([w.log(i) for i in range(1, 4)])))], PAYLOAD_SCHEMA), 1)
+    assert [store.resident(k).count() for k in ("traces", "logs")] == [1, 3]
+    assert store.manifest()["evicted"] == {"traces": 2} and store.manifest(0)["evicted"] == {}
+
+
+def test_a_crash_between_any_two_steps_loses_nothing(spark, tmp_path, monkeypatch):
+    batch = lambda i: spark.createDataFrame([(i, i, "logs", bytearray(w.export([w.log(i)])))], PAYLOAD_SCHEMA)
+
+    class Crash(Exception):
+        pass
+
+    def crash(*_):
+        raise Crash
+
+    for step in ("_oldest_kept", "_commit", "_clean"):
+        store = TelemetryStore(spark, str(tmp_path / step))
+        store.admit(batch(1), 0)
+        with monkeypatch.context() as m:
+            m.setattr(TelemetryStore, step, crash)
+            with pytest.raises(Crash):
+                store.admit(batch(2), 1)
+        again = TelemetryStore(spark, str(tmp_path / step))
+        assert sorted(r.serial for r in again.resident("logs").collect()) == ([1, 2] if step == "_clean" else [1])
+        assert again.admit(batch(2), 1) == {"logs.admitted": 1}
+        assert sorted(r.serial for r in again.resident("logs").collect()) == [1, 2]
+        (tmp_path / step / "manifest" / f"{2:020d}.writing").write_text("{")  # a commit that did not come to its rename
+        assert again.manifest()["batch"] == 1
+
+
+def test_files_that_no_batch_needs_are_deleted(spark, tmp_path):
+    store = TelemetryStore(spark, str(tmp_path / "s"))
+    for i in range(4):
+        store.admit(spark.createDataFrame([(i, i, "logs", bytearray(w.export([w.log(i + 1)])))], PAYLOAD_SCHEMA), i)
+    at = tmp_path / "s"
+    assert sorted(p.name for p in (at / "resident/logs").iterdir()) == ["2", "3"]
+    assert not any((at / "staged").iterdir()) and not any((at / "judged").iterdir())
+    assert store.resident("logs").count() == 4
