@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from glimmer.functions.shared import fixed
+
 #: Limits of what one record or export may hold.
 LIMITS = {
     "attributes": 256,
@@ -40,23 +42,18 @@ def anomalies(outcome_rows: DataFrame) -> DataFrame:
 
 
 def with_serials(records: DataFrame, order: list[str], first: int = 1, to: str = "assigned") -> DataFrame:
-    """Serials in arrival order without a global window: rows are ranged by ``order``, counted per partition, and each
-    partition starts where the ones before it end."""
-    spark = records.sparkSession
-    parts = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 256)
-    # written ranges would be safest on a cluster that loses executors; range bounds are sampled per plan, so the
-    # offsets are joined by the range's own key rather than by a partition number of another run
-    bounds = records.select(F.percentile_approx(order[0], F.array(*[F.lit((i + 1) / parts) for i in range(parts - 1)]), 1000).alias("b")).first().b if parts > 1 else []
-    bounds = sorted({b for b in bounds or []})
-    ranged = records.withColumn("_range", sum(((F.col(order[0]) > b).cast("int") for b in bounds), F.lit(0)))
-    counts = {r["_range"]: r["n"] for r in ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("n")).collect()}
+    """Serials in arrival order without a window: rows are ranged and sorted by ``order`` and fixed in that state, so a
+    row's place in its range is its running id there; each range starts where the ones before it end."""
+    ranged = fixed(records.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_place", F.monotonically_increasing_id()))
+    part = F.shiftrightunsigned("_place", 33)
+    counts = sorted((r.part, r.n) for r in ranged.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).collect())
     begin, at = [], first
-    for k in range(len(bounds) + 1):
-        begin.append(at)
-        at += counts.get(k, 0)
-    offset = F.element_at(F.array(*[F.lit(b).cast("long") for b in begin]), F.col("_range") + 1)
-    number = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
-    return ranged.withColumn(to, offset + number - 1).drop("_range")
+    for k, n in counts:
+        begin.append((k, at))
+        at += n
+    begins = records.sparkSession.createDataFrame(begin, "_part long, _begin long")  # a row for each partition
+    rows = ranged.withColumn("_part", part).join(F.broadcast(begins), "_part")
+    return rows.withColumn(to, F.col("_begin") + F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))).drop("_part", "_place", "_begin")
 
 
 def export_cap(records: DataFrame, export: str, cap: int) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glimmer.functions.columns import KIND_RANK, TYPE_RANK, valid_span, valid_trace
+from glimmer.functions.shared import fixed
 
 ENDS = ["from_kind", "from_trace", "from_span", "from_serial", "to_kind", "to_trace", "to_span", "to_serial"]
 
@@ -83,10 +84,12 @@ def resource_context(spans: DataFrame, logs: DataFrame, points: DataFrame, max_r
     refs = signal_refs(spans, logs, points)
     order = ["kind_rank", "admitted_at", "tag", "trace_key", "span_key", "serial"]
     sizes = refs.groupBy("resource_key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    # groups are as many as resources: a bounded dimension, summed after the combine
-    groups = sizes.withColumn("pairs", F.col("n") * (F.col("n") - 1) / 2).withColumn("group_at", F.coalesce(F.sum("pairs").over(Window.orderBy("resource_key").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long")).where(F.col("group_at") < max_relations)
+    # a group gives a pair at least, so the first of them in order are enough, and the running sum is over those only
+    groups = sizes.orderBy("resource_key").limit(max_relations).withColumn("pairs", F.col("n") * (F.col("n") - 1) / 2).withColumn("group_at", F.coalesce(F.sum("pairs").over(Window.orderBy("resource_key").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long")).where(F.col("group_at") < max_relations)
     # a member past the cap+1st of its group can neither start nor end a kept pair of the first member; keep what may
-    ranked = refs.join(groups, "resource_key").withColumn("i", F.row_number().over(Window.partitionBy("resource_key").orderBy(*order)) - 1).where(F.col("i") <= max_relations)
+    # (a bound on the number itself, so that Spark drops the others before the shuffle)
+    numbered = refs.join(groups, "resource_key").withColumn("_n", F.row_number().over(Window.partitionBy("resource_key").orderBy(*order))).where(F.col("_n") <= max_relations + 1)
+    ranked = fixed(numbered.withColumn("i", F.col("_n") - 1).drop("_n"))  # both sides of the join read it
     start = F.col("group_at") + F.col("i") * F.col("n") - F.col("i") * (F.col("i") + 1) / 2
     firsts = ranked.withColumn("start", start.cast("long")).where(F.col("start") < max_relations)
     a = firsts.select("resource_key", "start", *[F.col(c).alias(f"a_{c}") for c in ("i", "kind", "trace_key", "span_key", "serial")])
@@ -113,8 +116,8 @@ def temporal(spans: DataFrame, points: DataFrame, start: int, end: int, trace_id
     """Member spans of a subject active in the window, to the points in it.
 
     Both sides are cut by the window first; once they are, every pair is in reach, so the join is the product of the
-    two, which a caller bounds by ``max_relations``. The key is a constant so that the subject's side (one trace)
-    is hashed, never looped over.
+    two: one trace's spans, few thousands at most, by the points of the window. That product is the answer; a caller
+    bounds it by ``capped``.
     """
     s = members(spans, trace_id).where((F.col("start_ns") < end) & (F.coalesce("end_ns", "start_ns") > start)).select(F.lit(1).alias("k"), "trace_id", "span_id")
     p = points.where((F.col("time_ns") >= start) & (F.col("time_ns") < end)).select(F.lit(1).alias("k"), "serial", "time_ns")

@@ -243,7 +243,7 @@ def evidence_narrowing(spark, d):
 @query("SELECT p.serial, s.stream_id, p.stream_key, p.value FROM points p JOIN streams s USING (stream_key)")
 def point_stream_join(spark, d):
     p = S.points(spark, d)
-    return p.join(F.broadcast(S.streams(p)), "stream_key").select("serial", "stream_id", "stream_key", "value")
+    return p.join(S.streams(p), "stream_key").select("serial", "stream_id", "stream_key", "value")
 
 
 @query(f"{_MEM} SELECT trace_id, span_id, name, start_ns FROM mem WHERE trace_id = '{SUBJECT}'")
@@ -438,7 +438,7 @@ def shape_law(spark, d):
 )
 def retention_suffix(spark, d):
     p = S.points(spark, d)
-    rows = p.join(F.broadcast(S.streams(p).select("stream_key", "identity_bytes")), "stream_key").select(*S.KEY, "accounted_bytes", "stream_key", "identity_bytes")
+    rows = p.join(S.streams(p).select("stream_key", "identity_bytes"), "stream_key").select(*S.KEY, "accounted_bytes", "stream_key", "identity_bytes")
     return T.surviving(rows, T.Ceilings(3000, 400_000, 864_000 * 10**9)).select("serial", "stream_key")
 
 
