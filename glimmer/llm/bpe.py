@@ -7,7 +7,8 @@ Encoding is one narrow stage without a shuffle, so a lost executor costs no more
 2. Higher-order functions fold these byte arrays: the leftmost pair of lowest rank is joined until no pair has a rank,
    as the published encoders do. The rank map of pairs of ids is a literal: a perfect hash of two arrays, so a lookup
    is two reads and an XOR at any size.
-3. The next pass receives the folded words in the same order and writes the ids of each document.
+3. The next pass receives the folded words in the same order, writes and decodes the ids of each word once and joins
+   what its words have to each document by Arrow.
 
 Decoding concatenates the binary pieces of the ids.
 
@@ -36,6 +37,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -187,6 +189,22 @@ def byte_array(words: list[bytes], ids: np.ndarray, first: np.ndarray) -> pa.Lis
     return pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array((ranks << _LOW) + (place << _ID_BITS) + ids[raw]))
 
 
+def _joined(texts: pa.Array, of: pa.Array, starts: np.ndarray, between: str | bytes) -> pa.Array:
+    """The texts of those numbers, joined from start to start."""
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(starts, pa.int32()), texts.take(of)), between)
+
+
+def _named(words: pa.ListArray, id_texts: pa.Array, pieces: pa.Array) -> tuple[pa.Array, pa.Array, pa.Array]:
+    """Of each word's tokens between its edges: the ids joined by commas, their number, and the bytes they decode to."""
+    size = words.value_lengths().to_numpy()
+    ends = np.cumsum(size)
+    inside = np.ones(int(size.sum()), bool)
+    inside[ends - size] = inside[ends - 1] = False
+    ids = pa.array(words.flatten().to_numpy()[inside] & ((1 << _ID_BITS) - 1))
+    starts = np.append(0, np.cumsum(size - 2))
+    return _joined(id_texts, ids, starts, ","), pa.array(size - 2, pa.int64()), _joined(pieces, ids, starts, b"")
+
+
 class _Numbers(dict):
     """Word to number: the place of a piece or learnt word in their list, running numbers beyond it for any other."""
 
@@ -222,29 +240,40 @@ class BytePairCodec:
         self.byte_rows = ids, first
         self.known: dict[str, str] = {}
 
-    def fold(self, word: Column, literal: Column) -> Column:
-        """Ids of one word, joined by commas. ``word`` is the byte array as ``byte_array`` makes it; ``literal`` is the
-        rank map, bound by ``let``."""
+    def folded(self, word: Column, literal: Column) -> Column:
+        """The tokens of one word between its edges, with no pair left to join; the low bits of each are its id. ``word``
+        is the byte array as ``byte_array`` makes it; ``literal`` is the rank map, bound by ``let``.
+
+        These functions are interpreted, so each node of a step costs: a pair is packed once in one long and bound, and
+        bits are set rather than added."""
+
+        def long(value: int) -> Column:
+            return F.lit(value).cast("bigint")
 
-        def rank(left: Column, right: Column) -> Column:
-            key = F.shiftleft(left, _ID_BITS) + right
-            found = F.get(literal["entries"], (key + F.get(literal["shifts"], key % self.sizes[0])) % self.sizes[1]).bitwiseXOR(F.shiftleft(key, _RANK_BITS))
-            return F.shiftleft(F.least(found, F.lit(_NONE).cast("bigint")), _LOW)
+        token, place = (1 << _ID_BITS) - 1, ((1 << _PLACE_BITS) - 1) << _ID_BITS
 
-        def token(state: Column) -> Column:
-            return state.bitwiseAND((1 << _ID_BITS) - 1)
+        def opened(pair: Column) -> Column:
+            # of the left token's place, the left id and the right id: the left token with its pair's rank
+            key = pair.bitwiseAND(long((1 << 2 * _ID_BITS) - 1))
+            found = F.get(literal["entries"], (key + F.get(literal["shifts"], key % long(self.sizes[0]))) % long(self.sizes[1])).bitwiseXOR(F.shiftleft(key, _RANK_BITS))
+            return F.shiftleft(F.least(found, long(_NONE)), _LOW).bitwiseOR(F.shiftright(pair, _ID_BITS))
 
         def merged(s: Column, low: Column, at: Column) -> Column:
             joined, before, after = F.shiftright(low, _LOW), F.get(s, at - 2), F.get(s, at + 1)
-            place = ((1 << _PLACE_BITS) - 1) << _ID_BITS
-            middle = F.array(rank(token(before), joined) + before.bitwiseAND((1 << _LOW) - 1), rank(joined, token(after)) + low.bitwiseAND(place) + joined)
-            return F.flatten(F.array(F.slice(s, F.lit(1), at - 2), middle, F.slice(s, at + 2, F.lit(2**30))))
+            left = F.shiftleft(before.bitwiseAND(long((1 << _LOW) - 1)), _ID_BITS).bitwiseOR(joined)
+            right = F.shiftleft(low.bitwiseAND(long(place)).bitwiseOR(joined), _ID_BITS).bitwiseOR(after.bitwiseAND(long(token)))
+            return F.flatten(F.array(F.slice(s, F.lit(1), at - 2), F.transform(F.array(left, right), opened), F.slice(s, at + 2, F.lit(2**30))))
 
         def step(s: Column) -> Column:
             # the least entry is the leftmost pair of lowest rank
-            return let(F.array_min(s), lambda low: F.when(low >= (_NONE << _LOW), s).otherwise(let(F.array_position(s, low).cast("int"), lambda at: merged(s, low, at))))
+            return let(F.array_min(s), lambda low: F.when(low >= long(_NONE << _LOW), s).otherwise(let(F.array_position(s, low).cast("int"), lambda at: merged(s, low, at))))
 
-        return F.aggregate(F.sequence(F.lit(1), F.size(word)), word, lambda s, _: step(s), lambda s: F.array_join(F.transform(F.slice(s, F.lit(2), F.size(s) - 2), lambda x: token(x).cast("string")), ","))
+        # n bytes between two edges have n - 1 joins at most
+        return F.aggregate(F.slice(word, F.lit(4), F.lit(2**30)), word, lambda s, _: step(s))
+
+    def fold(self, word: Column, literal: Column) -> Column:
+        """Ids of one word, joined by commas."""
+        return let(self.folded(word, literal), lambda s: F.array_join(F.transform(F.slice(s, F.lit(2), F.size(s) - 2), lambda x: x.bitwiseAND((1 << _ID_BITS) - 1).cast("string")), ","))
 
     def learn_words(self, docs: DataFrame, text: str = "text", most_words: int = 131_072, most_docs: int = 20_000) -> None:
         """Fold the commonest words of about ``most_docs`` documents (drawn by a hash) once for all tasks.
@@ -285,6 +314,15 @@ class BytePairCodec:
                 continue
         return out
 
+    def _written(self, listed: dict[str, str]) -> tuple:
+        """What the ids of the listed words are written as, as ``_named`` gives it, and the decimal id and the piece of
+        each id."""
+        pieces: list[bytes] = [b""] * (self.edge + 1)
+        for piece, i in self.ranks.items():
+            pieces[i] = piece
+        by_id = pa.array(map(str, range(len(pieces))), pa.string()), pa.array(pieces, pa.binary())
+        return _named(pa.array([[0, *map(int, ids.split(",")), 0] for ids in listed.values()], pa.list_(pa.int64())), *by_id), *by_id
+
     def encode(self, docs: DataFrame, text: str = "text", to: str = "ids", count: str = "n_tokens", decoded: str | None = None, keep_text: bool = True) -> DataFrame:
         """``docs`` with the decimal ids of each text, joined by commas, and their number; with ``decoded`` also the
         bytes that these ids decode to, in the same pass."""
@@ -297,7 +335,7 @@ class BytePairCodec:
         # as large as the vocabulary and the learnt words
         context = docs.sparkSession.sparkContext
         to_cut = context.broadcast((list(listed), self.byte_ids, self.byte_rows, self.pairs))
-        to_write = context.broadcast((list(listed.values()), {str(i): piece for piece, i in self.ranks.items()}))
+        to_write = context.broadcast(self._written(listed))
         pattern, most_words, width = self.pattern, self.most_words, len(rest.columns)
 
         def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -308,11 +346,11 @@ class BytePairCodec:
 
             def words_of(schema: pa.Schema) -> pa.RecordBatch:
                 raw = [w.encode() for w in numbers.new]
-                done = [",".join(map(str, heap_fold(w, byte_ids, pairs))) if len(w) > LONG_WORD else None for w in raw]
+                done = [[0, *heap_fold(w, byte_ids, pairs), 0] if len(w) > LONG_WORD else None for w in raw]  # with edges, as folded words have
                 inner = byte_array([w if d is None else b"" for w, d in zip(raw, done)], *byte_rows)
                 starts = [*range(0, len(raw), _ROW_WORDS)]
                 outer = pa.array([*starts, len(raw)], pa.int32())
-                out = {"_words": pa.ListArray.from_arrays(outer, inner), "_done": pa.ListArray.from_arrays(outer, pa.array(done, pa.string())), "_first": pa.array([sent + s for s in starts], pa.int32()), "_numbers": pa.nulls(len(starts), pa.binary())}
+                out = {"_words": pa.ListArray.from_arrays(outer, inner), "_done": pa.ListArray.from_arrays(outer, pa.array(done, pa.list_(pa.int64()))), "_first": pa.array([sent + s for s in starts], pa.int32()), "_numbers": pa.nulls(len(starts), pa.binary())}
                 return pa.RecordBatch.from_arrays([pa.nulls(len(starts), f.type) for f in schema][:width] + [*out.values()], names=schema.names[:width] + [*out])
 
             for batch in batches:
@@ -324,7 +362,7 @@ class BytePairCodec:
                         yield words_of(schema)
                     if coded:
                         n = len(coded)
-                        out = {"_words": pa.nulls(n, pa.list_(pa.list_(pa.int64()))), "_done": pa.nulls(n, pa.list_(pa.string())), "_first": pa.nulls(n, pa.int32()), "_numbers": pa.array(coded, pa.binary())}
+                        out = {"_words": pa.nulls(n, pa.list_(pa.list_(pa.int64()))), "_done": pa.nulls(n, pa.list_(pa.list_(pa.int64()))), "_first": pa.nulls(n, pa.int32()), "_numbers": pa.array(coded, pa.binary())}
                         yield pa.RecordBatch.from_arrays([batch.column(i).slice(begin, n) for i in range(width)] + [*out.values()], names=schema.names[:width] + [*out])
 
                 for k in range(len(texts)):
@@ -341,40 +379,45 @@ class BytePairCodec:
                 numbers.new, sent = [], numbers.next
 
         plain = T.StructType([T.StructField(f.name, f.dataType, True) for f in rest.schema])
-        sent = source.mapInArrow(cut, T.StructType([*plain, *T._parse_datatype_string("_words array<array<bigint>>, _done array<string>, _first int, _numbers binary").fields]))
-        folded = F.when(F.col("_words").isNotNull(), let(self.rank_map, lambda literal: F.zip_with("_words", "_done", lambda w, d: F.coalesce(d, self.fold(w, literal)))))
+        sent = source.mapInArrow(cut, T.StructType([*plain, *T._parse_datatype_string("_words array<array<bigint>>, _done array<array<bigint>>, _first int, _numbers binary").fields]))
+        folded = F.when(F.col("_words").isNotNull(), let(self.rank_map, lambda literal: F.zip_with("_words", "_done", lambda w, d: F.coalesce(d, self.folded(w, literal)))))
         sent = sent.select(*(F.col(f"`{c}`") for c in rest.columns), folded.alias("_words"), "_first", "_numbers")
         names = [to, count] + [decoded] * bool(decoded)
 
         def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            listed, pieces = to_write.value
-            known = [*listed]
-            name, piece = known.__getitem__, pieces.__getitem__
-
-            def made(batch, rows: list[int], out) -> pa.RecordBatch:
-                columns = [pa.array(out[0], pa.string()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary())]
-                return pa.RecordBatch.from_arrays([batch.column(i).take(pa.array(rows)) for i in range(width)] + columns[: len(names)], names=[*batch.schema.names[:width], *names])
+            listed, id_texts, pieces = to_write.value
+            known, new = listed, []
 
             for batch in batches:
                 first, words, numbers = (batch.column(width + i) for i in (1, 0, 2))
-                rows, out, size = [], ([], [], []), 0
+                rows, coded, size = [], [], 0
+
+                def made() -> pa.RecordBatch:
+                    nonlocal known, new
+                    if new:
+                        known, new = tuple(map(pa.concat_arrays, zip(known, *new))), []
+                    of = pa.array(np.frombuffer(b"".join(coded), np.int32))
+                    starts = np.cumsum([0, *(len(c) // 4 for c in coded)])
+                    counts = np.append(0, np.cumsum(known[1].take(of).to_numpy()))[starts]
+                    columns = [_joined(known[0], of, starts, ","), pa.array(np.diff(counts), pa.int64())]
+                    if decoded:
+                        columns.append(_joined(known[2], of, starts, b""))
+                    return pa.RecordBatch.from_arrays([batch.column(i).take(pa.array(rows)) for i in range(width)] + columns, names=[*batch.schema.names[:width], *names])
+
                 for k, at in enumerate(first.to_pylist()):
+                    if at is None:
+                        rows.append(k)
+                        coded.append(numbers[k].as_py())
+                        size += len(coded[-1])
+                    if rows and (size > _CHUNK // 4 or at == len(listed[0])):
+                        yield made()
+                        rows, coded, size = [], [], 0
                     if at is not None:
-                        if at == len(listed):
-                            del known[at:]
-                        known += words[k].as_py()
-                        continue
-                    said = ",".join(map(name, np.frombuffer(numbers[k].as_py(), np.int32).tolist()))
-                    ids = said.split(",") if said else []
-                    rows.append(k)
-                    for column, value in zip(out, (said, len(ids), b"".join(map(piece, ids)) if decoded else None)):
-                        column.append(value)
-                    size += len(said)
-                    if size > _CHUNK:
-                        yield made(batch, rows, out)
-                        rows, out, size = [], ([], [], []), 0
+                        if at == len(listed[0]):
+                            known, new = listed, []
+                        new.append(_named(words[k].values, id_texts, pieces))
                 if rows:
-                    yield made(batch, rows, out)
+                    yield made()
 
         kinds = [T.StringType(), T.LongType(), T.BinaryType()]
         return sent.mapInArrow(write, T.StructType([*plain, *(T.StructField(n, k) for n, k in zip(names, kinds))]))

@@ -11,6 +11,7 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -491,6 +492,34 @@ def test_heap_and_fold_join_alike(spark):
             assert [int(x) for x in r.ids.split(",")] == want == bpe.heap_fold(r.w.encode(), codec.byte_ids, codec.pairs)
 
 
+def test_bpe_looks_up_a_pair_in_one_place_and_writes_a_word_once(spark, monkeypatch):
+    ranks = bpe.load_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    codec = bpe.BytePairCodec(ranks, public_tokenizers.PATTERN)
+    rng = random.Random(7)
+    words = sorted({w for w in ("".join(rng.choice("etaoinsrhlé漢字xyz") for _ in range(rng.randint(2, 30))) for _ in range(300)) if w.encode() not in ranks})
+    want = [library._encode_single_piece(w) for w in words]
+    df = spark.createDataFrame([*zip(words, bpe.byte_array([w.encode() for w in words], *codec.byte_rows).to_pylist())], "w string, word array<long>")
+    folded = df.select("w", bpe.let(codec.rank_map, lambda m: codec.folded(F.col("word"), m)).alias("tokens"))
+    # functions of arrays are interpreted: a step's two pairs share one lookup
+    plan = folded._jdf.queryExecution().analyzed().toString()
+    assert plan.count(".entries") == plan.count(".shifts") == 1
+    tokens = {r.w: r.tokens for r in folded.collect()}
+    texts, sizes, decoded = bpe._named(pa.array([tokens[w] for w in words], pa.list_(pa.int64())), *codec._written({})[1:])
+    assert texts.to_pylist() == [",".join(map(str, x)) for x in want]
+    assert sizes.to_pylist() == [len(x) for x in want] and decoded.to_pylist() == [w.encode() for w in words]
+    # batches and generations that end between any two documents
+    monkeypatch.setattr(bpe, "_CHUNK", 64)
+    said = lambda: " ".join(rng.choice([*words, "the", "\n\n", "x" * 1500]) for _ in range(rng.randint(0, 12)))
+    rows = [(i, rng.choice([said(), said(), said(), "", None])) for i in range(200)]
+    for most_words in (5, 250_000):
+        codec.most_words = most_words
+        got = {r.doc_id: r for r in codec.encode(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), decoded="decoded").collect()}
+        for i, text in rows:
+            ids = library.encode_ordinary(text or "")
+            assert (got[i].ids, got[i].n_tokens, bytes(got[i].decoded)) == (",".join(map(str, ids)), len(ids), (text or "").encode())
+
+
 # --- 10 packing ----------------------------------------------------------------------------------------------------
 def test_tokens_equal_the_library_and_packing_is_sound(spark, odd, docs, nothing):
     path = public_tokenizers.path("word_bpe_49k.json")
