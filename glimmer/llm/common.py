@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import TYPE_CHECKING
 
 import numpy as np
@@ -50,6 +50,21 @@ def discard(df: DataFrame) -> None:
         at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
 
 
+_KEPT: dict[object, object] = {}
+
+
+def kept(key: object, make: Callable[[], object]):
+    """What ``make`` gives, kept in this process from task to task until ``let_go``."""
+    if key not in _KEPT:
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+def let_go() -> None:
+    """Drop what other operators keep; Spark hands a Python worker on from operator to operator."""
+    _KEPT.clear()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the driver; texts go to Python in batches of 16 MB, so that a worker's memory does not follow them."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))

@@ -40,7 +40,7 @@ from pandas.util import hash_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import connected_components, discard, materialize, table
+from .common import connected_components, discard, let_go, materialize, table
 
 WORDS, PERCENT = 5, 75
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -98,6 +98,7 @@ def frequent_columns(docs: DataFrame, words: int, more_than: int) -> np.ndarray:
     """
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        let_go()
         held, size = [], 0
         for b in batches:
             for text in b.text:
@@ -137,6 +138,7 @@ def sketches(docs: DataFrame, frequent: np.ndarray, words: int = WORDS, percent:
     bits = docs.sparkSession.sparkContext.broadcast(frequent)  # 1 MB
 
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        let_go()
         for b in batches:
             out = []
             for text in b.text:

@@ -29,7 +29,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, table
+from .common import discard, kept, materialize, table
 from .word_bpe import WordMerger
 
 CAPACITY = 2048
@@ -155,13 +155,8 @@ class WordTokenizer:
         return np.frombuffer(next(self.encode_batch([text])), "<u4").tolist()
 
 
-_TOKENIZERS: dict[str, WordTokenizer] = {}
-
-
 def tokenizer_for(path: str) -> WordTokenizer:
-    if path not in _TOKENIZERS:
-        _TOKENIZERS[path] = WordTokenizer(path)
-    return _TOKENIZERS[path]
+    return kept(("tokenizer", path), lambda: WordTokenizer(path))
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, closing: int = 0) -> DataFrame:

@@ -23,7 +23,7 @@ from pandas.util import hash_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import let_go, table
 
 _WORD = re.compile(r"[^\W\d_]+")
 _DIMS = 1 << 20
@@ -136,6 +136,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, held_out: Column, most_po
     picked = rows.join(F.broadcast(chosen), "doc_id", "left").withColumn("unlabelled", other).where("positive or unlabelled")
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        let_go()
         for b in batches:
             yield pd.DataFrame({"positive": b.positive.eq(True), "unlabelled": b.unlabelled.astype(bool), "words": [np.unique(hashed([*set(_WORD.findall(t.lower()))])).astype(np.int32).tobytes() if t else b"" for t in b.text]})
 
@@ -155,6 +156,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, threshold: float = 0.3
 
     @F.pandas_udf("double")
     def score(text: pd.Series) -> pd.Series:
+        let_go()
         return pd.Series(model.scores(text.tolist()))
 
     return docs.withColumn("score", score(F.col("text"))).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
