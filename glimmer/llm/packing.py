@@ -19,7 +19,7 @@ import unicodedata
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
-from itertools import compress
+from itertools import chain, compress, islice
 from operator import not_
 from pathlib import Path
 
@@ -47,26 +47,35 @@ _PIECE = regex.compile(_PATTERN)
 _BEYOND = re.compile("[^\\x00-\u024f]")
 
 
+class _Numbers(dict):
+    """Numbers words from 0 in the order in which they are first asked for."""
+
+    def __missing__(self, word: str) -> int:
+        n = self[word] = len(self)
+        return n
+
+
 class WordTokenizer:
     """Ids of whole texts by a ``tokenizers`` file whose pre-tokens never hold white space.
 
-    Words repeat, and their parts even more, so the ids of both are kept as bytes: two generations of each,
-    of which the older is dropped when the younger is full. Parts are merged by
-    ``WordMerger``, many at a time. Words with letters beyond Latin, on whose classes and cases Unicode versions may
-    differ, go to the library's tokenizer; so do whole texts that hold an added token of the file (one id, as the
-    library has it), and all texts where the file's normaliser or pre-tokens are not those that the fast path knows.
+    Words repeat, so each gets a number when it is met and its ids are kept under it, in two generations of which the
+    older is dropped when the younger is full; what is met again moves to the younger. New words are merged by
+    ``WordMerger``, many at a time, their parts once for all of them. Words with letters beyond Latin, on whose classes
+    and cases Unicode versions may differ, go to the library's tokenizer; so do whole texts that hold an added token of
+    the file (one id, as the library has it), and all texts where the file's normaliser or pre-tokens are not those
+    that the fast path knows.
     """
 
-    def __init__(self, path: str, most_words: int = 150_000, most_pieces: int = 150_000):
+    def __init__(self, path: str, most_words: int = 150_000):
         self.path = path
         self._tokenizer = None
         file = json.loads(Path(path).read_text())
         self.plain = all(file.get(k) == v for k, v in _KNOWN.items())
         self.marks = [x["content"] for x in file.get("added_tokens") or []]
         self.merger = WordMerger(path) if self.plain else None
-        self.most = {"words": most_words, "pieces": most_pieces}
-        self.words: tuple[dict, dict] = ({}, {})
-        self.pieces: tuple[dict, dict] = ({}, {})
+        self.most_words = most_words
+        self.numbers, self.ids = _Numbers(), []
+        self.older: tuple[dict[str, int], list[bytes]] = ({}, [])
 
     @property
     def tokenizer(self):
@@ -80,60 +89,40 @@ class WordTokenizer:
     def _whole(self, words: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(words, add_special_tokens=False)] if words else []
 
-    def _known(self, name: str, want: set[str]) -> tuple[dict[str, bytes], list[str]]:
-        """(ids of those of ``want`` that are kept, the others); what is met again moves to the younger generation."""
-        young, old = getattr(self, name)
-        if len(young) > self.most[name]:
-            young, old = {}, young
-            setattr(self, name, (young, old))
-        have: dict[str, bytes] = {}
-        new = []
-        for w in want:
-            ids = young.get(w)
-            if ids is None:
-                ids = old.get(w)
-                if ids is None:
-                    new.append(w)
-                    continue
-                young[w] = ids
-            have[w] = ids
-        return have, new
-
-    def learn(self, words: set[str]) -> dict[str, bytes]:
-        """Ids of all of ``words``."""
-        have, new = self._known("words", words)
-        made: dict[str, bytes] = {}
-        if _BEYOND.search("".join(new)):
-            odd = [w for w in new if _BEYOND.search(w)]
-            made.update(zip(odd, self._whole(odd)))
-            new = [w for w in new if w not in made]
-        low = [*map(str.lower, new)]
-        plain = [*map(str.isalpha, low)]
-        single, singles = [*compress(new, plain)], [*compress(low, plain)]
-        parted: list[tuple[str, list[str]]] = []
-        for w, x in zip(compress(new, map(not_, plain)), compress(low, map(not_, plain))):
-            parted.append((w, [x[:-1], x[-1]] if x[-1] in ".,:;?!" and x[:-1].isalpha() else _PIECE.findall(x)))
-        want = set(singles)
-        for _, ps in parted:
-            want.update(ps)
-        pieces, ask = self._known("pieces", want)
+    def learn(self) -> None:
+        """Ids for all numbers that have none yet."""
+        new = [*islice(self.numbers, len(self.ids), None)]
+        older, ids = self.older
+        found = [*map(older.get, new)]
+        made = iter(self._made([w for w, k in zip(new, found) if k is None]))
+        self.ids.extend([next(made) if k is None else ids[k] for k in found])
+
+    def _made(self, words: list[str]) -> list[bytes]:
+        odd = [w for w in words if not w.isascii() and _BEYOND.search(w)]
+        if odd:
+            whole = dict(zip(odd, self._whole(odd)))
+            others = iter(self._made([w for w in words if w not in whole]))
+            return [whole[w] if w in whole else next(others) for w in words]
+        low = [*map(str.lower, words)]
+        single = [*map(str.isalpha, low)]
+        parted = [(x[:-1], x[-1]) if x[-1] in ".,:;?!" and x[:-1].isalpha() else _PIECE.findall(x) for x in compress(low, map(not_, single))]
+        ids = dict.fromkeys(chain(compress(low, single), chain.from_iterable(parted)))
+        ask = [*ids]
         for i in range(0, len(ask), 20_000):
             some = ask[i : i + 20_000]
-            pieces.update(zip(some, self.merger.encode([p.encode() for p in some])))
-        self.pieces[0].update((p, pieces[p]) for p in ask)
-        get = pieces.__getitem__
-        made.update(zip(single, map(get, singles)))
-        made.update((w, b"".join(map(get, ps))) for w, ps in parted)
-        self.words[0].update(made)
-        have.update(made)
-        return have
+            ids.update(zip(some, self.merger.encode([p.encode() for p in some])))
+        get = ids.__getitem__
+        parts = iter(parted)
+        return [get(x) if alone else b"".join(map(get, next(parts))) for x, alone in zip(low, single)]
 
     def encode_batch(self, texts: list[str | None], most_chars: int = 4_000_000) -> Iterator[bytes]:
         """Little-endian 32-bit ids of each text, in order; words are learned for some texts at a time."""
         i = 0
         while i < len(texts):
+            if len(self.numbers) > self.most_words:
+                self.older, self.numbers, self.ids = (self.numbers, self.ids), _Numbers(), []
+            number = self.numbers.__getitem__
             part: list = []
-            vocabulary: set[str] = set()
             size = 0
             while i < len(texts) and (not part or size < most_chars):
                 text = texts[i] or ""
@@ -144,10 +133,9 @@ class WordTokenizer:
                     continue
                 if not unicodedata.is_normalized("NFC", text):
                     text = unicodedata.normalize("NFC", text)
-                words = text.split()
-                vocabulary.update(words)
-                part.append(words)
-            get = self.learn(vocabulary).__getitem__
+                part.append([*map(number, text.split())])
+            self.learn()
+            get = self.ids.__getitem__
             for x in part:
                 yield b"".join(map(get, x)) if isinstance(x, list) else self._whole([x])[0]
 

@@ -555,6 +555,24 @@ def test_partitions_with_gaps_pack_again(spark):
     assert again.count() == 2000 and again.groupBy("sequence_id").agg(F.sum("length").alias("s")).where("s > 2048").count() == 0
 
 
+def test_tokenizer_numbers_words_and_merges_each_new_part_once():
+    import public_tokenizers
+
+    t = packing.WordTokenizer(public_tokenizers.path("word_bpe_49k.json"), most_words=4)
+    asked = []
+    encode = t.merger.encode
+    t.merger.encode = lambda words: asked.append(words) or encode(words)
+    texts = ["Alpha beta, alpha. Beta", "Alpha gamma!", "\u65e5\u672c alpha don't", None, "delta Alpha epsilon zeta eta", "Alpha \u65e5\u672c delta"]
+    got = [*t.encode_batch(texts)]
+    assert len(asked) == 1 and len(asked[0]) == len(set(asked[0])) and b"alpha" in asked[0]
+    assert len(t.ids) == len(t.numbers) == len({w for x in texts for w in (x or "").split()})
+    got += t.encode_batch(texts)  # all words are met again in the older generation
+    assert len(asked) == 1 and t.older[0]
+    got += t.encode_batch(texts, most_chars=1)  # words come and go
+    assert len(asked) > 1 and len(t.older[0]) <= 4 + 5
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [t.tokenizer.encode(x or "", add_special_tokens=False).ids for x in texts * 3]
+
+
 def test_bounds_never_pass_the_best_packing():
     rng = random.Random(7)
     for _ in range(200):
