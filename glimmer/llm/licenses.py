@@ -146,49 +146,69 @@ def gaps(pairs: list[tuple[int, int]], a: int, b: int, c: int, d: int) -> Iterat
         a, c = i + 1, j + 1
 
 
-def align(text: list, template: list, xs: np.ndarray | None = None, ts: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """(position in text, position in template) of aligned words, both increasing.
+def places(template: list) -> dict:
+    """The positions of each word of the template, in order."""
+    out: dict = {}
+    for j, w in enumerate(template):
+        out.setdefault(w, []).append(j)
+    return out
+
+
+#: From so many words of a text on, numpy finds the words of a gap that stand there once.
+_WIDE = 256
+
+
+def align(text: list, template: list, xs: np.ndarray | None = None, ts: np.ndarray | None = None, at: dict | None = None, beat: float = 0) -> list[tuple[int, int]]:
+    """(position in text, position in template) of aligned words, both increasing; none as soon as fewer than ``beat``
+    are sure to come of it.
 
     Words may be numbers from 1, and 0 in the text what the template lacks; xs and ts, the same as arrays, find the
-    anchors of wide gaps faster.
+    anchors of wide gaps faster. ``at`` has the ``places`` of the template, where they are at hand.
     """
+    at = places(template) if at is None else at
     out: list[tuple[int, int]] = []
     todo = [(0, len(text), 0, len(template))]
+    hope = min(len(text), len(template))  # aligned words, and the most that gaps may still give
     while todo:
         a, b, c, d = todo.pop()
+        hope -= min(b - a, d - c)
+        was = len(out)
         while a < b and c < d and text[a] == template[c]:
             out.append((a, c))
             a, c = a + 1, c + 1
         while a < b and c < d and text[b - 1] == template[d - 1]:
             b, d = b - 1, d - 1
             out.append((b, d))
-        if a >= b or c >= d:
-            continue
-        if xs is not None and b - a + d - c > 96:
-            many = int(ts.max()) + 1
-            once = (np.bincount(xs[a:b], minlength=many) == 1) & (np.bincount(ts[c:d], minlength=many) == 1)
-            once[0] = False
-            at = np.zeros(many, dtype=np.int64)
-            at[ts[c:d]] = np.arange(c, d)
-            found = np.flatnonzero(once[xs[a:b]]) + a
-            pairs = increasing(list(zip(found.tolist(), at[xs[found]].tolist())))
+        if a < b and c < d:
+            if xs is not None and b - a > _WIDE:
+                many = int(ts.max()) + 1
+                once = (np.bincount(xs[a:b], minlength=many) == 1) & (np.bincount(ts[c:d], minlength=many) == 1)
+                once[0] = False
+                own = np.zeros(many, dtype=np.int64)
+                own[ts[c:d]] = np.arange(c, d)
+                found = np.flatnonzero(once[xs[a:b]]) + a
+                pairs = list(zip(found.tolist(), own[xs[found]].tolist()))
+            else:
+                seen: dict = {}
+                for i in range(a, b):
+                    w = text[i]
+                    seen[w] = -1 if w in seen else i
+                pairs = []
+                for w, i in seen.items():  # in the order of the text
+                    if i >= 0 and w in at:
+                        js = at[w]
+                        k = bisect_left(js, c) if len(js) > 1 else 0
+                        if k < len(js) and c <= js[k] < d and (k + 1 == len(js) or js[k + 1] >= d):
+                            pairs.append((i, js[k]))
             if pairs:
-                todo.extend(gaps(pairs, a, b, c, d))
+                pairs = increasing(pairs) if len(pairs) > 1 else pairs
+                for gap in gaps(pairs, a, b, c, d):
+                    todo.append(gap)
+                    hope += min(gap[1] - gap[0], gap[3] - gap[2])
                 out.extend(pairs)
-            continue
-        want: dict = {}
-        for j in range(c, d):
-            want[template[j]] = -1 if template[j] in want else j
-        seen: dict = {}
-        for i in range(a, b):
-            w = text[i]
-            if want.get(w, -1) >= 0:
-                seen[w] = -1 if w in seen else i
-        pairs = increasing(sorted((i, want[w]) for w, i in seen.items() if i >= 0))
-        if not pairs:
-            continue
-        todo.extend(gaps(pairs, a, b, c, d))
-        out.extend(pairs)
+        hope += len(out) - was
+        if hope < beat:
+            return []
     return sorted(out)
 
 
@@ -286,24 +306,26 @@ class Scanner:
             count = Counter(sorted(t))
             own = np.zeros(len(self.index) + 1, dtype=np.int32)  # number of a word within the template, 0 for others
             own[[self.index[w] for w in count]] = range(1, len(count) + 1)
-            self.templates.append((name, t, count, needed(t, least_coverage, whole_under), own, np.array([0, *count.values()]), own[[self.index[w] for w in t]]))
+            ts = own[[self.index[w] for w in t]]
+            self.templates.append((name, t, count, needed(t, least_coverage, whole_under), own, np.array([0, *count.values()]), ts, ts.tolist(), places(ts.tolist())))
         # of all templates one behind the other: their distinct words, how often they hold each, and where they begin
         self.held = np.array([self.index[w] for x in self.templates for w in x[2]], dtype=np.int64)
         self.times = np.array([n for x in self.templates for n in x[2].values()], dtype=np.int64)
         self.begins = np.cumsum([0, *(len(x[2]) for x in self.templates)])[:-1]
+        self.spans = [(a, a + len(x[2])) for a, x in zip(self.begins.tolist(), self.templates)]
 
-    def run(self, words: list[str], t: list[str], count: Counter, need: int, least: float, most: int, counts: np.ndarray, xs: np.ndarray, ts: np.ndarray) -> tuple[int, int, int]:
-        seen = np.bincount(xs, minlength=len(count) + 1)[1:]
-        rare = int(np.where(seen > 0, seen, len(xs) + 1).argmin()) + 1
+    def run(self, words: list[str], t: list[str], count: Counter, need: int, least: float, most: int, counts: np.ndarray, seen: np.ndarray, xs: np.ndarray, ts: np.ndarray, numbers: list[int], at: dict[int, list[int]]) -> tuple[int, int, int]:
+        rare = int(seen.argmin()) + 1
         reach = len(t) + self.slack
-        own, done, numbers = (0, 0, 0), None, ts.tolist()
+        own, done = (0, 0, 0), None
         held = np.flatnonzero(xs)  # words that the template lacks match nothing
         mine = xs[held]
-        for i in held[mine == rare].tolist():
-            a, b = held.searchsorted((i - reach, i + reach + 1)).tolist()
-            if (a, b) != done and b - a >= max(least, own[0] + 1):  # else the same window again, or one that makes no difference
-                at, near = held[a:b], mine[a:b]
-                own = max(own, best_run([(int(at[x]), y) for x, y in align(near.tolist(), numbers, near, ts)], self.slack), key=lambda r: r[0])
+        middle = held[mine == rare]
+        for a, b in zip(held.searchsorted(middle - reach).tolist(), held.searchsorted(middle + reach + 1).tolist()):
+            beat = max(least, own[0] + 1)
+            if (a, b) != done and b - a >= beat:  # else the same window again, or one that makes no difference
+                near, stand = mine[a:b], held[a:b].tolist()
+                own = max(own, best_run([(stand[x], y) for x, y in align(near.tolist(), numbers, near, ts, at, beat)], self.slack), key=lambda r: r[0])
             done = a, b
         if most < need or own[0] == len(t) or own[0] >= need and len(t) > self.long:
             return own
@@ -326,13 +348,15 @@ class Scanner:
             return best, []
         other = len(self.index)
         ids = np.array([self.index.get(w, other) for w in words])
-        # how many words of each template the text has at most
-        most = np.add.reduceat(np.minimum(np.bincount(ids, minlength=other + 1)[self.held], self.times), self.begins).tolist()
-        for (name, t, count, need, number, counts, ts), could in zip(self.templates, most):
-            least = min(need, rank[0] * len(t))  # a template that can't have so many words is neither best nor found
+        # how often the text has each word of each template, and how many words of a template it has at most
+        has = np.bincount(ids, minlength=other + 1)[self.held]
+        most = np.add.reduceat(np.minimum(has, self.times), self.begins).tolist()
+        has[has == 0] = len(ids) + 1  # so that a rarest word is one that the text has
+        for (name, t, count, need, number, counts, ts, numbers, at), (begin, end), could in zip(self.templates, self.spans, most):
+            least = min(need, rank[0] * len(t) - 1e-9)  # a template that can't have so many words is neither best nor found
             if could < max(least, 1):
                 continue
-            n, s, e = self.run(words, t, count, need, least, could, counts, number[ids], ts)
+            n, s, e = self.run(words, t, count, need, least, could, counts, has[begin:end], number[ids], ts, numbers, at)
             score = (n / len(t), len(t))
             if n >= need:
                 found.append((-score[0], -len(t), (name, score[0], s, e)))

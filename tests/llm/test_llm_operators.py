@@ -364,6 +364,27 @@ def test_license_coverage_is_that_of_the_longest_run():
         assert got == want if want >= 0.8 else got <= want
 
 
+def test_alignment_ends_where_it_can_no_longer_win(monkeypatch):
+    rng = random.Random(12)
+    for _ in range(60):
+        t = [rng.randint(1, 30) for _ in range(rng.randint(1, 40))]
+        x = [w if rng.random() < 0.7 else rng.randint(1, max(t)) for w in t for _ in range(rng.choice((0, 1, 1, 2)))]
+        full = licenses.align(x, t)
+        for wide in (0, 10**9):  # anchors by numpy and by the places of the template
+            monkeypatch.setattr(licenses, "_WIDE", wide)
+            for beat in range(len(t) + 2):
+                assert licenses.align(x, t, np.array(x, np.int64), np.array(t), beat=beat) == (full if len(full) >= beat else [])
+    calls = []
+    monkeypatch.setattr(licenses, "increasing", lambda pairs, f=licenses.increasing: calls.append(1) or f(pairs))
+    prose = (
+        "You may use the work free of charge, and any person may copy it without limitation, so the river is free to all. In no event is it held, and this is the work of all "
+        "who do it, or who publish it, with the rights that they have under the sun. Redistribution is permitted in any form, provided that the notice and the conditions of "
+        "this license are in all copies of the software."
+    )
+    found = licenses.Scanner({k: licenses.words_of(v) for k, v in licenses.TEMPLATES.items()}, whole_under=10)(prose)
+    assert found[0][:2] == ("Apache-2.0", 2 / 7) and not found[1] and len(calls) < 60  # 120 with every alignment to its end
+
+
 def test_every_license_of_a_text_is_found(spark):
     parsed = {k: licenses.words_of(v) for k, v in licenses.TEMPLATES.items()}
     for name, text in licenses.TEMPLATES.items():
