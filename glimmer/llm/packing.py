@@ -18,8 +18,9 @@ import struct
 import unicodedata
 import zlib
 from bisect import bisect_left, insort
+from collections import defaultdict
 from collections.abc import Iterator
-from itertools import chain, compress, islice
+from itertools import chain, compress, count, islice, repeat
 from operator import not_
 from pathlib import Path
 
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import discard, kept, materialize, table
-from .word_bpe import WordMerger
+from .word_bpe import IdRows, WordMerger
 
 CAPACITY = 2048
 _ODD_SPACE = "\x1c\x1d\x1e\x1f᠎"
@@ -47,12 +48,9 @@ _PIECE = regex.compile(_PATTERN)
 _BEYOND = re.compile("[^\\x00-\u024f]")
 
 
-class _Numbers(dict):
+def _numbers() -> defaultdict[str, int]:
     """Numbers words from 0 in the order in which they are first asked for."""
-
-    def __missing__(self, word: str) -> int:
-        n = self[word] = len(self)
-        return n
+    return defaultdict(count().__next__)
 
 
 class WordTokenizer:
@@ -74,8 +72,8 @@ class WordTokenizer:
         self.marks = [x["content"] for x in file.get("added_tokens") or []]
         self.merger = WordMerger(path) if self.plain else None
         self.most_words = most_words
-        self.numbers, self.ids = _Numbers(), []
-        self.older: tuple[dict[str, int], list[bytes]] = ({}, [])
+        self.numbers, self.ids = _numbers(), IdRows()
+        self.older: tuple[dict[str, int], IdRows] = ({}, IdRows())
 
     @property
     def tokenizer(self):
@@ -86,41 +84,52 @@ class WordTokenizer:
             self._tokenizer = Tokenizer.from_file(self.path)
         return self._tokenizer
 
-    def _whole(self, words: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(words, add_special_tokens=False)] if words else []
+    def _whole(self, words: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch(words, add_special_tokens=False)] if words else []
 
     def learn(self) -> None:
         """Ids for all numbers that have none yet."""
         new = [*islice(self.numbers, len(self.ids), None)]
+        if not new:
+            return
         older, ids = self.older
-        found = [*map(older.get, new)]
-        made = iter(self._made([w for w, k in zip(new, found) if k is None]))
-        self.ids.extend([next(made) if k is None else ids[k] for k in found])
-
-    def _made(self, words: list[str]) -> list[bytes]:
-        odd = [w for w in words if not w.isascii() and _BEYOND.search(w)]
-        if odd:
-            whole = dict(zip(odd, self._whole(odd)))
-            others = iter(self._made([w for w in words if w not in whole]))
-            return [whole[w] if w in whole else next(others) for w in words]
-        low = [*map(str.lower, words)]
+        at = np.fromiter(map(older.get, new, repeat(-1)), np.int64, len(new))
+        made = self._made([*compress(new, (at < 0).tolist())])
+        at[at < 0] = np.arange(len(made)) + len(ids)
+        self.ids = self.ids + (ids + made).take(at)
+
+    def _made(self, words: list[str]) -> IdRows:
+        joined = "\n".join(words)
+        if not joined.isascii() and _BEYOND.search(joined):
+            far = np.array([not w.isascii() and _BEYOND.search(w) is not None for w in words])
+            whole = IdRows.of(self._whole([*compress(words, far.tolist())]))
+            at = np.where(far, np.cumsum(far) - 1, len(whole) + np.cumsum(~far) - 1)
+            return (whole + self._made([*compress(words, (~far).tolist())])).take(at)
+        low = joined.lower().split("\n") if words else []
         single = [*map(str.isalpha, low)]
         parted = [(x[:-1], x[-1]) if x[-1] in ".,:;?!" and x[:-1].isalpha() else _PIECE.findall(x) for x in compress(low, map(not_, single))]
-        ids = dict.fromkeys(chain(compress(low, single), chain.from_iterable(parted)))
-        ask = [*ids]
+        parts = _numbers()
+        alone = np.fromiter(map(parts.__getitem__, compress(low, single)), np.int64)
+        others = np.fromiter(map(parts.__getitem__, chain.from_iterable(parted)), np.int64)
+        # of each word the parts, end to end
+        single = np.array(single, bool)
+        size = np.ones(len(low), np.int64)
+        size[~single] = [*map(len, parted)]
+        of = np.empty(int(size.sum()), np.int64)
+        whole = np.repeat(single, size)
+        of[whole], of[~whole] = alone, others
+        ask = [*parts]
+        made = IdRows()
         for i in range(0, len(ask), 20_000):
-            some = ask[i : i + 20_000]
-            ids.update(zip(some, self.merger.encode([p.encode() for p in some])))
-        get = ids.__getitem__
-        parts = iter(parted)
-        return [get(x) if alone else b"".join(map(get, next(parts))) for x, alone in zip(low, single)]
+            made = made + self.merger.encode("\n".join(ask[i : i + 20_000]).encode().split(b"\n"))
+        return made.take(of).joined(size)
 
     def encode_batch(self, texts: list[str | None], most_chars: int = 4_000_000) -> Iterator[bytes]:
         """Little-endian 32-bit ids of each text, in order; words are learned for some texts at a time."""
         i = 0
         while i < len(texts):
             if len(self.numbers) > self.most_words:
-                self.older, self.numbers, self.ids = (self.numbers, self.ids), _Numbers(), []
+                self.older, self.numbers, self.ids = (self.numbers, self.ids), _numbers(), IdRows()
             number = self.numbers.__getitem__
             part: list = []
             size = 0
@@ -133,11 +142,13 @@ class WordTokenizer:
                     continue
                 if not unicodedata.is_normalized("NFC", text):
                     text = unicodedata.normalize("NFC", text)
-                part.append([*map(number, text.split())])
+                words = text.split()
+                part.append(np.fromiter(map(number, words), np.int32, len(words)))
             self.learn()
-            get = self.ids.__getitem__
+            known = [x for x in part if not isinstance(x, str)]
+            ids = iter(self.ids.take(np.concatenate(known)).joined(np.array([*map(len, known)])).bytes()) if known else iter(())
             for x in part:
-                yield b"".join(map(get, x)) if isinstance(x, list) else self._whole([x])[0]
+                yield self._whole([x])[0].tobytes() if isinstance(x, str) else next(ids)
 
     def encode(self, text: str | None) -> list[int]:
         return np.frombuffer(next(self.encode_batch([text])), "<u4").tolist()

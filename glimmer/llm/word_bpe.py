@@ -27,6 +27,40 @@ def byte_letters() -> list[str]:
     return out
 
 
+class IdRows:
+    """Rows of ids, end to end in one array."""
+
+    def __init__(self, flat: np.ndarray | None = None, size: np.ndarray | None = None):
+        self.flat = np.zeros(0, "<u4") if flat is None else flat
+        self.size = np.zeros(0, np.int32) if size is None else size.astype(np.int32, copy=False)
+        self.ends = np.cumsum(self.size, dtype=np.int64)
+
+    @classmethod
+    def of(cls, rows: list[np.ndarray]) -> IdRows:
+        return cls(np.concatenate([np.zeros(0, "<u4"), *rows]), np.array([*map(len, rows)], np.int32))
+
+    def __len__(self) -> int:
+        return len(self.size)
+
+    def __add__(self, other: IdRows) -> IdRows:
+        return IdRows(np.concatenate([self.flat, other.flat]), np.concatenate([self.size, other.size])) if len(self) else other
+
+    def take(self, at: np.ndarray) -> IdRows:
+        """The rows of those numbers, which may repeat."""
+        size = self.size[at]
+        ends = np.cumsum(size, dtype=np.int64)
+        return IdRows(self.flat[np.repeat(self.ends[at] - ends, size) + np.arange(ends[-1] if len(ends) else 0)], size)
+
+    def joined(self, rows: np.ndarray) -> IdRows:
+        """So many rows, one after the other, as one."""
+        return IdRows(self.flat, np.diff(np.append(0, self.ends)[np.append(0, np.cumsum(rows))]))
+
+    def bytes(self) -> list[bytes]:
+        """Each row as little-endian 32-bit ids."""
+        raw, cuts = self.flat.tobytes(), (np.append(0, self.ends) * 4).tolist()
+        return [raw[a:b] for a, b in zip(cuts, cuts[1:])]
+
+
 class WordMerger:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
@@ -49,6 +83,9 @@ class WordMerger:
                 at = (at + 1) & mask
             if self.slots[at] < 0:
                 self.slots[at], self.ranks[at] = key, rank
+        # ranks of byte pairs, within a word and at its end
+        letters = np.arange(1 << 16)
+        self.first = self._rank(self.inner[letters >> 8], self.inner[letters & 255]), self._rank(self.inner[letters >> 8], self.last[letters & 255])
 
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
@@ -68,8 +105,8 @@ class WordMerger:
             todo, at = todo[on], (at[on] + 1) & mask
         return out
 
-    def encode(self, words: list[bytes]) -> list[bytes]:
-        """Little-endian 32-bit ids of each word, given as its UTF-8 bytes (none may be empty)."""
+    def encode(self, words: list[bytes]) -> IdRows:
+        """The ids of each word, given as its UTF-8 bytes (none may be empty)."""
         size = np.array([len(w) for w in words], np.int64)
         raw = np.frombuffer(b"".join(words), np.uint8)
         ends = np.cumsum(size)
@@ -85,11 +122,11 @@ class WordMerger:
         value = np.full(n, _NONE)
         inner = np.flatnonzero(after >= 0)
 
-        def put(at: np.ndarray) -> None:
-            rank = self._rank(symbol[at], symbol[after[at]])
+        def put(at: np.ndarray, rank: np.ndarray) -> None:
             value[at] = np.where(rank == _NONE, _NONE, (rank << 32) + at)  # the lowest rank, then the leftmost
 
-        put(inner)
+        pair = raw[inner].astype(np.int64) << 8 | raw[inner + 1]
+        put(inner, np.where(after[inner + 1] < 0, self.first[1][pair], self.first[0][pair]))
         active = np.flatnonzero(size > 1)
         while len(active):
             # the places of the words that are still at work, end to end
@@ -111,10 +148,7 @@ class WordMerger:
             has = follow >= 0
             before[follow[has]] = at[has]
             value[at[~has]] = _NONE
-            put(at[has])
             prior = before[at]
-            put(prior[prior >= 0])
-        ids = symbol[alive].astype("<u4").tobytes()
-        kept = np.add.reduceat(alive.astype(np.int64), starts) if len(starts) else np.zeros(0, np.int64)
-        cuts = (np.append(0, np.cumsum(kept)) * 4).tolist()
-        return [ids[cuts[i] : cuts[i + 1]] for i in range(len(words))]
+            changed = np.concatenate([at[has], prior[prior >= 0]])
+            put(changed, self._rank(symbol[changed], symbol[after[changed]]))
+        return IdRows(symbol[alive].astype("<u4"), np.add.reduceat(alive.astype(np.int32), starts) if len(starts) else None)

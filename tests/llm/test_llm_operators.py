@@ -16,7 +16,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from glimmer.llm import bpe, chat_format, embedding_join, imatch, licenses, ngram_join, packing, quality, toxicity, url_filter
+from glimmer.llm import bpe, chat_format, embedding_join, imatch, licenses, ngram_join, packing, quality, toxicity, url_filter, word_bpe
 from glimmer.llm.common import connected_components, table
 
 DOCS = "doc_id long, text string, score string, label int, component_id string, n long"
@@ -594,6 +594,28 @@ def test_tokenizer_numbers_words_and_merges_each_new_part_once():
     assert [np.frombuffer(x, "<u4").tolist() for x in got] == [t.tokenizer.encode(x or "", add_special_tokens=False).ids for x in texts * 3]
 
 
+def test_ids_of_words_lie_in_one_array():
+    rng = random.Random(21)
+    rows = [[rng.randint(0, 2**32 - 1) for _ in range(rng.randint(0, 4))] for _ in range(40)]
+    held = word_bpe.IdRows.of([np.array(x, "<u4") for x in rows[:25]]) + word_bpe.IdRows.of([np.array(x, "<u4") for x in rows[25:]])
+    at = [rng.randrange(40) for _ in range(100)]
+    taken = held.take(np.array(at))
+    written = [np.array(rows[k], "<u4").tobytes() for k in at]
+    assert len(held) == 40 and taken.bytes() == written and held.take(np.zeros(0, np.int64)).bytes() == []
+    assert taken.joined(np.array([0, 60, 1, 0, 39, 0])).bytes() == [b"", b"".join(written[:60]), written[60], b"", b"".join(written[61:]), b""]
+
+    t = packing.WordTokenizer(public_tokenizers.path("word_bpe_49k.json"), most_words=3)
+    ranked = []
+    rank = t.merger._rank
+    t.merger._rank = lambda a, b: ranked.append(len(a)) or rank(a, b)
+    texts = ["", " ", None, "it", "The \u65e5\u672c<|endoftext|> it", "They're no. 12 (or so), he'd said: \u00bd caf\u00e9.%%% \u65e5\u672c! \u0130x", "so it said <|END", "Caf\u00e9"]
+    for _ in range(3):
+        for size in (1, 30, 4_000_000):
+            assert [np.frombuffer(x, "<u4").tolist() for x in t.encode_batch(texts, most_chars=size)] == [t.tokenizer.encode(x or "", add_special_tokens=False).ids for x in texts]
+    ranked.clear()
+    assert len(t.merger.encode([b"qq", b"q"])) == 2 and not ranked  # pairs of bytes have a table of their own
+
+
 def test_bounds_never_pass_the_best_packing():
     rng = random.Random(7)
     for _ in range(200):
