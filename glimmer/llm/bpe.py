@@ -3,9 +3,10 @@
 Encoding is one narrow stage without a shuffle, so a lost executor costs no more than its tasks:
 
 1. A pass over the texts cuts them into words. A word that is itself a piece has its id; any other gets a number, and
-   its byte array leaves once in a task, ahead of the first document that needs it.
-2. Higher-order functions fold these byte arrays: the leftmost pair of lowest rank is joined until no pair has a rank,
-   as the published encoders do. The rank map of pairs of ids is a literal: a perfect hash of two arrays, so a lookup
+   its byte array, with its first ``FIRST_JOINS`` joins made by numpy, leaves once in a task, ahead of the first document
+   that needs it.
+2. Higher-order functions fold these arrays: the leftmost pair of lowest rank is joined until no pair has a rank, as
+   the published encoders do. The rank map of pairs of ids is a literal: a perfect hash of two arrays, so a lookup
    is two reads and an XOR at any size.
 3. The next pass receives the folded words in the same order, writes and decodes the ids of each word once and joins
    what its words have to each document by Arrow.
@@ -49,6 +50,8 @@ _SPACE = r"\t-\r \x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
 _NEAR = 0x250
 #: Words of more bytes are not folded by higher-order functions.
 LONG_WORD = 1024
+#: The first joins of a word are made where its byte array is; the fold makes all others.
+FIRST_JOINS = 3
 _ROW_WORDS = 512
 #: Bytes after which a batch to or from the fold goes on.
 _CHUNK = 4 << 20
@@ -175,9 +178,15 @@ def heap_fold(word: bytes, byte_ids: list[int], pairs: dict[int, dict[int, int]]
     return [x for x in ids if x is not None]
 
 
-def byte_array(words: list[bytes], ids: np.ndarray, first: np.ndarray) -> pa.ListArray:
-    """The byte array of each word between two edges, as a fold begins with it: each byte's id, its place, and the rank
-    of the byte pair that it opens, in one long."""
+def ranks_of(keys: np.ndarray, shifts: np.ndarray, entries: np.ndarray) -> np.ndarray:
+    """The ids that pairs of ids join to, or ``_NONE``, by the tables of ``displaced``."""
+    return np.minimum(entries[(keys + shifts[keys % len(shifts)]) % len(entries)] ^ (keys << _RANK_BITS), _NONE)
+
+
+def byte_array(words: list[bytes], ids: np.ndarray, first: np.ndarray, shifts: np.ndarray, entries: np.ndarray, joins: int = FIRST_JOINS) -> pa.ListArray:
+    """The array of each word between two edges, as a fold begins with it: each token's id, its place, and the rank of
+    the pair that it opens, in one long. Tokens are bytes, of which up to ``joins`` pairs are joined as the fold would
+    join them, in all words at once."""
     size = np.array([len(w) + 2 for w in words], np.int64)
     starts = np.append(0, np.cumsum(size))
     raw = np.full(int(starts[-1]), 256, np.int64)
@@ -186,7 +195,22 @@ def byte_array(words: list[bytes], ids: np.ndarray, first: np.ndarray) -> pa.Lis
     raw[inside] = np.frombuffer(b"".join(words), np.uint8)
     ranks = first[raw, np.append(raw[1:], 256)]
     place = np.arange(len(raw)) - np.repeat(starts[:-1], size)
-    return pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array((ranks << _LOW) + (place << _ID_BITS) + ids[raw]))
+    tokens = (ranks << _LOW) + (place << _ID_BITS) + ids[raw]
+    id_of, none = (1 << _ID_BITS) - 1, _NONE << _LOW
+    for _ in range(joins if words else 0):
+        low = np.minimum.reduceat(tokens, starts[:-1])
+        on = low < none
+        at = np.flatnonzero((tokens == np.repeat(low, size)) & np.repeat(on, size))  # one in a word, as places differ
+        if not len(at):
+            break
+        joined = tokens[at] >> _LOW
+        left, right = tokens[at - 1], tokens[at + 2]
+        tokens[at - 1] = (ranks_of(((left & id_of) << _ID_BITS) + joined, shifts, entries) << _LOW) + (left & ((1 << _LOW) - 1))
+        tokens[at] = (ranks_of((joined << _ID_BITS) + (right & id_of), shifts, entries) << _LOW) + (tokens[at] & (((1 << _PLACE_BITS) - 1) << _ID_BITS)) + joined
+        tokens = np.delete(tokens, at + 1)
+        size -= on
+        starts = np.append(0, np.cumsum(size))
+    return pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(tokens))
 
 
 def _joined(texts: pa.Array, of: pa.Array, starts: np.ndarray, between: str | bytes) -> pa.Array:
@@ -237,7 +261,7 @@ class BytePairCodec:
         for i, left in enumerate(self.byte_ids):
             row = self.pairs.get(left, {})
             first[i, :256] = [row.get(right, _NONE) for right in self.byte_ids]
-        self.byte_rows = ids, first
+        self.byte_rows = ids, first, np.array(shifts, np.int64), np.array(entries, np.int64)
         self.known: dict[str, str] = {}
 
     def folded(self, word: Column, literal: Column) -> Column:

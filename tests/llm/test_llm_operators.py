@@ -541,6 +541,27 @@ def test_bpe_looks_up_a_pair_in_one_place_and_writes_a_word_once(spark, monkeypa
             assert (got[i].ids, got[i].n_tokens, bytes(got[i].decoded)) == (",".join(map(str, ids)), len(ids), (text or "").encode())
 
 
+def test_first_joins_are_those_of_the_fold():
+    ranks = bpe.load_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    codec = bpe.BytePairCodec(ranks, public_tokenizers.PATTERN)
+    rng = random.Random(8)
+    words = [b"", *("".join(rng.choice("aeetoinsrhlé漢xyz") for _ in range(rng.randint(1, 30))).encode() for _ in range(300)), b"a" * 1024, b""]
+    pieces = codec._written({})[-1]
+    sizes = []
+    for joins in (0, 1, 2, 3, 2000):
+        rows = bpe.byte_array(words, *codec.byte_rows, joins=joins).to_pylist()
+        sizes.append(sum(map(len, rows)))
+        for word, row in zip(words, rows):
+            ids = [x & (1 << bpe._ID_BITS) - 1 for x in row]
+            assert ids[0] == ids[-1] == codec.edge and b"".join(pieces[i].as_py() for i in ids[1:-1]) == word
+            assert [x >> bpe._LOW for x in row] == [codec.pairs.get(i, {}).get(j, bpe._NONE) for i, j in zip(ids, [*ids[1:], codec.edge])]
+            assert joins < 2000 or word in ranks or ids[1:-1] == (library._encode_single_piece(word) if word else [])
+    # without the first joins a fold had a step for every byte
+    assert sizes == sorted(sizes, reverse=True) and sum(map(len, bpe.byte_array(words, *codec.byte_rows).to_pylist())) == sizes[bpe.FIRST_JOINS] < sizes[0]
+    assert len(bpe.byte_array([], *codec.byte_rows)) == 0
+
+
 # --- 10 packing ----------------------------------------------------------------------------------------------------
 def test_tokens_equal_the_library_and_packing_is_sound(spark, odd, docs, nothing):
     path = public_tokenizers.path("word_bpe_49k.json")
